@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import op2_token_counts, op3_secret_scan, op6_packing, op7_pii, op8_license_scan, op9_bpe_sql, op10_quality_rules
+from . import op1_quality_crf, op2_token_counts, op3_secret_scan, op4_ball_tree, op6_packing, op7_pii, op8_license_scan, op9_bpe_sql, op10_quality_rules
 
 QUERIES = {
+    "op1_quality_crf": op1_quality_crf.op1_quality_crf,
     "op2_token_counts": op2_token_counts.op2_token_counts,
     "op3_secret_scan": op3_secret_scan.op3_secret_scan,
+    "op4_ball_tree": op4_ball_tree.op4_ball_tree,
     "op6_packing": op6_packing.op6_packing,
     "op7_pii": op7_pii.op7_pii,
     "op8_license_scan": op8_license_scan.op8_license_scan,
@@ -14,4 +16,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules.op10_quality_rules,
 }
 
-ORACLES = {"op8_license_scan": op8_license_scan.ORACLE, "op10_quality_rules": op10_quality_rules.ORACLE}
+ORACLES = {"op4_ball_tree": op4_ball_tree.ORACLE, "op8_license_scan": op8_license_scan.ORACLE, "op10_quality_rules": op10_quality_rules.ORACLE}
