@@ -104,8 +104,12 @@ def apply_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULE
 
 
 def kept_only(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, with their columns."""
-    return measured(docs, text_col).where(~base_failed() & compiled(rules, metrics())).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that pass, with their columns.
+
+    A verdict that isn't deterministic stays where it is: pushed below the projections, it would repeat them for each word.
+    """
+    verdict = ~base_failed() & compiled(rules, metrics()) & (F.monotonically_increasing_id() >= 0)
+    return measured(docs, text_col).withColumn("_q_kept", verdict).where("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 1. Texts become sets of 64-bit shingle hashes; equal sets are one class (known by a 128-bit digest), so exact copies cost nothing more.
 2. Extended prefix filter: of two linked sets, the prefixes of n - ceil(t n) + l hashes share at least l. Counting the prefixes' hashes
    leaves the classes with enough hashes that another class has too; only their whole sets are made again, from their texts.
-3. Their prefixes (hashes in more than HOT of them last) give index lists; lists with the same members are one. A list is dealt in blocks of
+   The count is repeated among what was left, which drops those that shared with dropped ones only.
+3. Their prefixes (hashes in more than HOT of them last) give index lists; lists with the same members are one. Lists that hang together
+   and have at most BLOCK_TOKENS hashes are joined at one place, so each set moves once. Of larger ones, each list is dealt in blocks of
    about BLOCK_TOKENS hashes by set size, and pairs of blocks whose sizes can't link are skipped.
 4. In a block pair, sets follow by size. The first set's overlaps with all others come from the index lists; the next set's are derived
    from a computed similar set's by the lists of the hashes in which the two differ. Positions out of the size range are skipped, and so are
@@ -150,6 +152,22 @@ def _postings(whole: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
     return whole.select("cls", "tokens").mapInArrow(run, "cls binary, n long, token long")
 
 
+def refined(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    """Keys of the candidate classes after further rounds among themselves."""
+    keys = written(candidate_classes(sets, percent), "candidates")
+    for _ in range(rounds - 1):
+        keys = written(candidate_classes(sets.withColumn("key", key_of()).join(keys, "key", "left_semi"), percent), "candidates")
+    return keys
+
+
+def bundled(lists: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cls, bundle of the classes whose lists hang together with at most BLOCK_TOKENS hashes in all."""
+    leader = lists.groupBy("list").agg(F.min("cls").alias("b"))
+    place = components(lists.join(leader, "list").select(F.col("cls").alias("a"), "b").distinct()).select(F.col("node").alias("cls"), F.col("label").alias("bundle"))
+    small = place.join(sizes, "cls").groupBy("bundle").agg(F.sum("n").alias("total")).where(F.col("total") <= BLOCK_TOKENS).select("bundle")
+    return place.join(small, "bundle").select("cls", "bundle")
+
+
 def index_lists(whole: DataFrame, percent: int) -> DataFrame:
     """cls, list, k: the lists of two or more sets that each class is in, of those with the same members one; k: blocks of a size class."""
     counts = _postings(whole, percent, np.zeros(0, np.int64)).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("token")
@@ -257,7 +275,7 @@ def _join_groups(pairs: DataFrame, percent: int) -> DataFrame:
         some = np.flatnonzero(total)
         return pd.DataFrame({"a": [cls[i] for i, _ in edges] + [cls[i] for i in some], "b": [cls[j] for _, j in edges] + [None] * len(some), "k": [0] * len(edges) + total[some].tolist()})
 
-    return pairs.groupBy("list", "left", "right").applyInPandas(run, "a binary, b binary, k long")
+    return pairs.groupBy("bundle", "list", "left", "right").applyInPandas(run, "a binary, b binary, k long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -265,7 +283,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sets = written(set_table(rows, words, percent, False), "sets")
     classes = sets.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("mult"))
-    keys = written(candidate_classes(sets, percent), "candidates")
+    keys = refined(sets, percent)
     chosen = sets.select("doc_id", "cls", key_of().alias("key")).join(keys, "key", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     chosen = written(chosen, "chosen")
     n_chosen = chosen.count()
@@ -273,12 +291,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     again = rows.alias("r").join((F.broadcast(ids) if n_chosen <= broadcast_ids else ids).alias("i"), F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
     whole = set_table(again, words, percent, True).join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "tokens")
     whole = written(whole, "whole-sets")
-    lists = written(index_lists(whole, percent), "lists")
-    of_set = lists.groupBy("cls").agg(F.collect_list("list").alias("lists"))
-    mult = classes.select("cls", "mult")
-    full = whole.join(of_set, "cls").join(mult, "cls").select("cls", "mult", "tokens", "lists")
-    pairs = dealt(lists, whole.select("cls", "n")).join(full, "cls")
-    links = written(_join_groups(pairs, percent), "links")
+    lists, sizes = written(index_lists(whole, percent), "lists"), whole.select("cls", "n")
+    bundles = written(bundled(lists, sizes), "bundles")
+    apart = lists.join(bundles, "cls", "left_anti")
+    of_set = apart.groupBy("cls").agg(F.collect_list("list").alias("lists"))
+    one = F.struct(F.lit(0).alias("c"), F.lit(0).alias("r"))
+    here = bundles.select("bundle", F.lit(0).cast("long").alias("list"), one.alias("left"), one.alias("right"), one.alias("block"), "cls")
+    pairs = here.unionByName(dealt(apart, sizes).withColumn("bundle", F.lit(None).cast("binary")))
+    full = whole.join(of_set, "cls", "left").join(classes.select("cls", "mult"), "cls").select("cls", "mult", "tokens", F.coalesce("lists", F.array().cast("array<long>")).alias("lists"))
+    links = written(_join_groups(pairs.join(full, "cls"), percent), "links")
     label = components(links.where("b is not null"))
     number = links.where("b is null").groupBy("a").agg(F.sum("k").alias("links"))
     named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").join(number.withColumnRenamed("a", "cls"), "cls", "left")
