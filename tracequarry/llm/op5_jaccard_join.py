@@ -4,9 +4,11 @@
 2. Extended prefix filter: of two linked sets, the prefixes of n - ceil(t n) + l hashes share at least l. Counting the prefixes' hashes
    leaves the classes with enough hashes that another class has too; only their whole sets are made again, from their texts.
    The count is repeated among what was left, which drops those that shared with dropped ones only.
-3. Their prefixes (hashes in more than HOT of them last) give index lists; lists with the same members are one. Lists that hang together
-   and have at most BLOCK_TOKENS hashes are joined at one place, so each set moves once. Of larger ones, each list is dealt in blocks of
-   about BLOCK_TOKENS hashes by set size, and pairs of blocks whose sizes can't link are skipped.
+3. Their prefixes (hashes in more than HOT of them last) give index lists; lists with the same members are one, weighted. Pairs of short
+   lists (SHORT members at most) are counted, and remain if they share as many prefix hashes as links must. What hangs together by
+   remaining pairs and long lists, with at most BLOCK_TOKENS hashes, is joined at one place, so each set moves once. Beyond that size, each
+   long list is dealt in blocks of about BLOCK_TOKENS hashes by set size, pairs of blocks whose sizes can't link are skipped, and the
+   remaining pairs that share no long list are looked at each by itself.
 4. In a block pair, sets follow by size. The first set's overlaps with all others come from the index lists; the next set's are derived
    from a computed similar set's by the lists of the hashes in which the two differ. Positions out of the size range are skipped, and so are
    pairs that an earlier common list decides. What leaves is a spanning forest of the links and each set's number of links, never the pairs.
@@ -35,7 +37,9 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Share of a set's hashes by which the first filter's prefixes are longer than needed.
 EXTRA = 0.05
-BLOCK_TOKENS, HOT, HOT_MOST = 2_000_000, 1000, 200_000
+BLOCK_TOKENS, HOT, HOT_MOST, SHORT = 3_000_000, 50, 200_000, 32
+#: The same for the prefixes that make the index lists.
+LIST_EXTRA = 0.1
 #: Ids that may be broadcast (16 bytes each); beyond, texts are shuffled.
 BROADCAST_IDS = 1_000_000
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -139,7 +143,7 @@ def _postings(whole: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
             cls, n, token = [], [], []
             for c, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = tokens.values.to_numpy()
-                p = len(t) - least_overlap(len(t), percent) + 1
+                p = len(t) - least_overlap(len(t), percent) + max(1, int(LIST_EXTRA * len(t)))
                 if len(hot):
                     late = np.isin(t, hot)
                     t = np.concatenate([t[~late], t[late]])
@@ -160,23 +164,33 @@ def refined(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     return keys
 
 
-def bundled(lists: DataFrame, sizes: DataFrame) -> DataFrame:
-    """cls, bundle of the classes whose lists hang together with at most BLOCK_TOKENS hashes in all."""
-    leader = lists.groupBy("list").agg(F.min("cls").alias("b"))
-    place = components(lists.join(leader, "list").select(F.col("cls").alias("a"), "b").distinct()).select(F.col("node").alias("cls"), F.col("label").alias("bundle"))
-    small = place.join(sizes, "cls").groupBy("bundle").agg(F.sum("n").alias("total")).where(F.col("total") <= BLOCK_TOKENS).select("bundle")
-    return place.join(small, "bundle").select("cls", "bundle")
-
-
-def index_lists(whole: DataFrame, percent: int) -> DataFrame:
-    """cls, list, k: the lists of two or more sets that each class is in, of those with the same members one; k: blocks of a size class."""
-    counts = _postings(whole, percent, np.zeros(0, np.int64)).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("token")
-    found = counts.limit(HOT_MOST + 1).toArrow().column(0).to_numpy()  # an order must be the same for all sets, but may be any
-    postings = written(_postings(whole, percent, np.sort(found) if len(found) <= HOT_MOST else np.zeros(0, np.int64)), "postings")
+def index_lists(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The postings (cls, n, token) and the lists (token, m, total, weight) of two or more sets; those with the same members are one."""
+    counts = _postings(whole, percent, np.zeros(0, np.int64)).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
+    hot = counts.orderBy(F.desc("k"), "token").limit(HOT_MOST).select("token").toArrow().column(0).to_numpy()  # any order will do that is the same for all sets
+    postings = written(_postings(whole, percent, np.sort(hot)), "postings")
     lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"))
     lists = lists.where("m > 1").where(f"m > 2 or least * 100 >= most * {percent}")
-    lists = lists.groupBy("s1", "s2", "m").agg(F.min("token").alias("token"), F.max("total").alias("total"))
-    return postings.join(lists.select("token", F.ceil(F.col("total") / BLOCK_TOKENS).cast("int").alias("k")), "token").select("cls", F.col("token").alias("list"), "k")
+    return postings, written(lists.groupBy("s1", "s2", "m").agg(F.min("token").alias("token"), F.max("total").alias("total"), F.count("*").alias("weight")), "lists")
+
+
+def short_pairs(postings: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs that share enough prefix hashes by short lists; a list gives SHORT * SHORT / 2 pairs at most."""
+    rows = postings.join(lists.where(F.col("m") <= SHORT).select("token", "weight"), "token")
+    groups = rows.groupBy("token", "weight").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("g"))
+    each = groups.select("weight", "g", F.posexplode("g").alias("i", "x")).select("weight", "x", F.explode(F.slice(F.col("g"), F.col("i") + 2, F.lit(SHORT))).alias("y"))
+    each = each.where((F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
+    shared = each.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.n", "y.n").alias("n")).agg(F.sum("weight").alias("k"))
+    return shared.where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(LIST_EXTRA) - F.lit(1e-6)))).select("a", "b")
+
+
+def bundled(pairs: DataFrame, long: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cls, bundle of the classes that hang together by pairs (a, b) and long lists (cls, list) with at most BLOCK_TOKENS hashes in all."""
+    leader = long.groupBy("list").agg(F.min("cls").alias("b"))
+    edges = pairs.union(long.join(leader, "list").select(F.col("cls").alias("a"), "b"))
+    place = components(edges).select(F.col("node").alias("cls"), F.col("label").alias("bundle"))
+    small = place.join(sizes, "cls").groupBy("bundle").agg(F.sum("n").alias("total")).where(F.col("total") <= BLOCK_TOKENS).select("bundle")
+    return place.join(small, "bundle").select("cls", "bundle")
 
 
 def dealt(lists: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -275,7 +289,7 @@ def _join_groups(pairs: DataFrame, percent: int) -> DataFrame:
         some = np.flatnonzero(total)
         return pd.DataFrame({"a": [cls[i] for i, _ in edges] + [cls[i] for i in some], "b": [cls[j] for _, j in edges] + [None] * len(some), "k": [0] * len(edges) + total[some].tolist()})
 
-    return pairs.groupBy("bundle", "list", "left", "right").applyInPandas(run, "a binary, b binary, k long")
+    return pairs.groupBy("key").applyInPandas(run, "a binary, b binary, k long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -291,13 +305,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     again = rows.alias("r").join((F.broadcast(ids) if n_chosen <= broadcast_ids else ids).alias("i"), F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
     whole = set_table(again, words, percent, True).join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "tokens")
     whole = written(whole, "whole-sets")
-    lists, sizes = written(index_lists(whole, percent), "lists"), whole.select("cls", "n")
-    bundles = written(bundled(lists, sizes), "bundles")
-    apart = lists.join(bundles, "cls", "left_anti")
-    of_set = apart.groupBy("cls").agg(F.collect_list("list").alias("lists"))
+    sizes = whole.select("cls", "n")
+    postings, lists = index_lists(whole, percent)
+    near = written(short_pairs(postings, lists, percent), "pairs")
+    long = lists.where(F.col("m") > SHORT).select("token", F.ceil(F.col("total") / BLOCK_TOKENS).cast("int").alias("k"))
+    long = written(postings.join(long, "token").select("cls", F.col("token").alias("list"), "k"), "long-lists")
+    bundles = written(bundled(near, long, sizes), "bundles")
+    apart = long.join(bundles, "cls", "left_anti")
+    of_set = written(apart.groupBy("cls").agg(F.collect_list("list").alias("lists")), "lists-of-sets")
+    a, b = (of_set.select(F.col("cls").alias(c), F.col("lists").alias(f"{c}_lists")) for c in "ab")
+    alone = near.join(bundles.select(F.col("cls").alias("a")), "a", "left_anti").join(a, "a", "left").join(b, "b", "left").where("not coalesce(arrays_overlap(a_lists, b_lists), false)")
     one = F.struct(F.lit(0).alias("c"), F.lit(0).alias("r"))
-    here = bundles.select("bundle", F.lit(0).cast("long").alias("list"), one.alias("left"), one.alias("right"), one.alias("block"), "cls")
-    pairs = here.unionByName(dealt(apart, sizes).withColumn("bundle", F.lit(None).cast("binary")))
+    here = lambda key, cls: (key.alias("key"), F.lit(0).cast("long").alias("list"), one.alias("left"), one.alias("right"), one.alias("block"), cls.alias("cls"))
+    pairs = bundles.select(*here(F.col("bundle"), F.col("cls")))
+    pairs = pairs.unionByName(alone.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).select(*here(F.concat("a", "b"), F.col("cls"))))
+    split = dealt(apart, sizes)
+    pairs = pairs.unionByName(split.select(F.to_binary(F.to_json(F.struct("list", "left", "right")), F.lit("utf-8")).alias("key"), *split.columns))
     full = whole.join(of_set, "cls", "left").join(classes.select("cls", "mult"), "cls").select("cls", "mult", "tokens", F.coalesce("lists", F.array().cast("array<long>")).alias("lists"))
     links = written(_join_groups(pairs.join(full, "cls"), percent), "links")
     label = components(links.where("b is not null"))
