@@ -4,7 +4,7 @@
 2. Extended prefix filter: of two linked sets, the prefixes of n - ceil(t n) + l hashes share at least l. Counting the prefixes' hashes
    leaves the classes with enough hashes that another class has too; only their whole sets are made again, from their texts.
    The count is repeated among what was left, which drops those that shared with dropped ones only.
-3. Their prefixes (hashes in more than HOT of them last) give index lists; lists with the same members are one, weighted. Pairs of short
+3. Their prefixes (hashes in more than HOT of them last, by that number) give index lists; lists with the same members are one, weighted. Pairs of short
    lists (SHORT members at most) are counted, and remain if they share as many prefix hashes as links must. What hangs together by
    remaining pairs and long lists, with at most BLOCK_TOKENS hashes, is joined at one place, so each set moves once. Beyond that size, each
    long list is dealt in blocks of about BLOCK_TOKENS hashes by set size, pairs of blocks whose sizes can't link are skipped, and the
@@ -135,8 +135,8 @@ def candidate_classes(sets: DataFrame, percent: int) -> DataFrame:
     return each.join(twice, "token", "left_semi").groupBy("key", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("key")
 
 
-def _postings(whole: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """cls, n, token of the prefixes by (hot, hash)."""
+def _postings(whole: DataFrame, percent: int, hot: np.ndarray, count: np.ndarray) -> DataFrame:
+    """cls, n, token of the prefixes; hot hashes, in order, come last, by their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +145,8 @@ def _postings(whole: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
                 t = tokens.values.to_numpy()
                 p = len(t) - least_overlap(len(t), percent) + max(1, int(LIST_EXTRA * len(t)))
                 if len(hot):
-                    late = np.isin(t, hot)
-                    t = np.concatenate([t[~late], t[late]])
+                    at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
+                    t = t[np.argsort(np.where(hot[at] == t, count[at], 0), kind="stable")]
                 token.append(t[:p])
                 cls += [c] * p
                 n += [len(t)] * p
@@ -166,9 +166,10 @@ def refined(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
 
 def index_lists(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The postings (cls, n, token) and the lists (token, m, total, weight) of two or more sets; those with the same members are one."""
-    counts = _postings(whole, percent, np.zeros(0, np.int64)).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
-    hot = counts.orderBy(F.desc("k"), "token").limit(HOT_MOST).select("token").toArrow().column(0).to_numpy()  # any order will do that is the same for all sets
-    postings = written(_postings(whole, percent, np.sort(hot)), "postings")
+    none = np.zeros(0, np.int64)
+    counts = _postings(whole, percent, none, none).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
+    hot = counts.orderBy(F.desc("k"), "token").limit(HOT_MOST).toPandas().sort_values("token")  # any order will do that is the same for all sets
+    postings = written(_postings(whole, percent, hot["token"].to_numpy(np.int64), hot["k"].to_numpy(np.int64)), "postings")
     lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"))
     lists = lists.where("m > 1").where(f"m > 2 or least * 100 >= most * {percent}")
     return postings, written(lists.groupBy("s1", "s2", "m").agg(F.min("token").alias("token"), F.max("total").alias("total"), F.count("*").alias("weight")), "lists")
