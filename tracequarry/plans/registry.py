@@ -1,8 +1,361 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL. Log queries run on the rendered events log."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracequarry.functions.profiles import EDA, template
+from tracequarry.operators import answers, logs, retrieval
+from tracequarry.sources.logs import RENDERED, classified, json_records, rendered
+
+LOG = RENDERED.format(events="events").replace("as string", "as varchar")
+CLASSED = rf"""
+log as ({LOG}),
+c as (
+    select *, epoch_us(ts) // 1000000 as ts_s,
+           case when regexp_matches(line, '(?i)\b(FATAL|PANIC|ABORT|core dumped|Segmentation fault)\b') then 'fatal'
+                when regexp_matches(line, '(?i)\b(ERROR|ERR|FAIL(ED|URE)?)\b') then 'error'
+                when regexp_matches(line, '(?i)\bWARN(ING)?\b') then 'warn' end as severity,
+           coalesce(nullif(regexp_extract(line, '\(([A-Z][A-Z0-9]+-\d+)\)', 1), ''), '(uncoded)') as code
+    from log
+),
+codes as (select file, code, arg_min(severity, line_no) as severity, count(*)::bigint as n, min(line_no) as first_line from c where severity is not null group by all)
+"""
+STAGED = r"""
+b as (
+    select file, line_no, regexp_extract(line, '--- (Starting|Ending) "([^"]+)"', 1) as kind, regexp_extract(line, '--- (Starting|Ending) "([^"]+)"', 2) as name
+    from c where regexp_matches(line, '--- (Starting|Ending) "')
+), b1 as (select *, sum(case when kind = 'Starting' then 1 else -1 end) over (partition by file, name order by line_no) as bal from b),
+b2 as (select *, bal - least(0, min(bal) over (partition by file, name order by line_no)) as depth from b1),
+b3 as (select *, case when kind = 'Starting' then depth else lag(depth, 1, 0) over (partition by file, name order by line_no) end as level from b2),
+b4 as (
+    select *, lead(line_no) over (partition by file, name, level order by line_no) as nxt, lead(kind) over (partition by file, name, level order by line_no) as nk
+    from b3 where level > 0
+), ranges as (
+    select file, name, line_no as start_line, case when nk = 'Ending' then nxt else total end as end_line, coalesce(nk, '') <> 'Ending' as incomplete
+    from b4 join (select file, count(*) as total from c group by file) t using (file) where kind = 'Starting'
+), owned as (
+    select s.file, s.line_no, s.severity, s.code, coalesce(arg_max(r.name, r.start_line), '<pre-stage>') as stage
+    from (select * from c where severity is not null) s left join ranges r on r.file = s.file and r.start_line <= s.line_no and s.line_no < r.end_line
+    group by all
+), hist as (
+    select file, stage, count_if(severity = 'fatal')::bigint as n_fatal, count_if(severity = 'error')::bigint as n_error, count_if(severity = 'warn')::bigint as n_warn,
+           count(distinct code)::bigint as n_codes, min(case when severity <> 'warn' then line_no end) as first_severe_line
+    from owned group by all
+)
+"""
+INCIDENT = r"""
+i1 as (select *, max(case when severity is not null then line_no end) over (partition by file order by line_no) as head from c),
+i2 as (
+    select *, max(case when line_no = head or (regexp_matches(line, '^[ \t]|^\s*$') and line_no - head <= 15) then 0 else 1 end)
+        over (partition by file, head order by line_no) as broken
+    from i1 where head is not null
+), incidents as (select file, head, max(line_no) as body_end, arg_min(severity, line_no) as severity from i2 where broken = 0 group by file, head)
+"""
 QUERIES: dict = {}
 ORACLES: dict = {}
+ANCHOR = 1_704_100_000
+
+
+def query(sql: str | None = None, parts: str = CLASSED):
+    """Registers a function of (lines classified, sf_dir) on the log; sql follows the parts."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            c = classified(rendered(spark, sf_dir), EDA).withColumn("ts_s", F.unix_seconds(F.col("ts").cast("timestamp")))
+            return f(c)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = f"with {parts} {sql}"
+        return f
+
+    return add
+
+
+def table_query(sql: str | None = None):
+    """Registers a function of (spark, read) on tables; read gives a table by name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+SEVERE = ", ".join(f"count_if(severity = '{s}')::bigint as n_{s}" for s in ("fatal", "error", "warn"))
+
+
+@query("select file, line_no, line from log")
+def log_render(c):
+    return c.select("file", "line_no", "line")
+
+
+@query(f"select file, {SEVERE}, count(*)::bigint as total from c group by file")
+def severity_census(c):
+    return logs.census(c)
+
+
+@query("select * from codes")
+def code_table(c):
+    return logs.code_order(logs.code_table(c))
+
+
+@query("""select prefix, sum(n)::bigint as n, arg_max(code, (n, code)) as primary_code, string_agg(code, ',' order by code) as codes
+from (select regexp_replace(code, '-[^-]*$', '') as prefix, code, sum(n) as n from codes where code <> '(uncoded)' group by all) group by prefix""")
+def prefix_families(c):
+    return logs.prefix_families(logs.code_table(c))
+
+
+@query("""select file, min(line_no) as first_line, count(*)::bigint as n from (
+    select *, sum(brk) over (partition by file order by line_no) as run from (
+        select *, case when line is distinct from lag(line) over (partition by file order by line_no) then 1 else 0 end as brk from log)
+) where trim(line) <> '' group by file, run having count(*) >= 3""")
+def repeats(c):
+    return logs.repeats(c)
+
+
+@query("select * from incidents", f"{CLASSED}, {INCIDENT}")
+def incidents(c):
+    return logs.incidents(c)
+
+
+@query("""select w.file, w.line_no, i.head, i.body_end, i.severity, w.line_no <= i.body_end as inside
+from (select file, line_no from log where line_no % 100 = 7) w asof join incidents i on i.file = w.file and w.line_no >= i.head""", f"{CLASSED}, {INCIDENT}")
+def incident_around(c):
+    return logs.incident_around(logs.incidents(c), c.where("line_no % 100 = 7").select("file", "line_no"))
+
+
+@query("select * from ranges", f"{CLASSED}, {STAGED}")
+def stage_ranges(c):
+    return logs.stage_ranges(c)
+
+
+@query("select * from hist", f"{CLASSED}, {STAGED}")
+def stage_hist(c):
+    return logs.stage_hist(c, logs.stage_ranges(c))
+
+
+@query("""select r.file, r.name, r.start_line, r.end_line, coalesce(n_fatal, 0) as n_fatal, coalesce(n_error, 0) as n_error,
+case when incomplete then 'INCOMPLETE' when n_fatal > 0 then 'FATAL' when n_error > 0 then 'ERROR' else 'OK' end as status
+from ranges r left join hist h on h.file = r.file and h.stage = r.name""", f"{CLASSED}, {STAGED}")
+def stage_timeline(c):
+    return logs.stage_timeline(c, logs.stage_ranges(c))
+
+
+@query("select file, stage, min(line_no) as first_line, arg_min(code, line_no) as code, count(*)::bigint as n from owned where severity <> 'warn' group by file, stage", f"{CLASSED}, {STAGED}")
+def stage_errors(c):
+    return logs.stage_errors(c, logs.stage_ranges(c))
+
+
+@query("""select file, line_no, line, is_hit from (
+    select *, max(is_hit::int) over (partition by file order by line_no rows between 2 preceding and 2 following) as near
+    from (select *, coalesce(severity = 'fatal', false) as is_hit from c)) where near = 1""")
+def context_window(c):
+    return logs.context(c, F.coalesce(F.col("severity") == "fatal", F.lit(False))).select("file", "line_no", "line", "is_hit")
+
+
+@query("select file, line_no, line, severity from c where severity in ('error', 'fatal')")
+def severity_filter(c):
+    return c.where(F.col("severity").isin("error", "fatal")).select("file", "line_no", "line", "severity")
+
+
+@query(r"select file, line_no, line from c where regexp_matches(line, '(?i)mod[0-2]\.py') and regexp_matches(line, '(?i)\b(ERROR|ERR|FAIL(ED|URE)?)\b')")
+def pattern_filter(c):
+    return logs.pattern_filter(c, EDA, r"mod[0-2]\.py", ["error"]).select("file", "line_no", "line")
+
+
+@query("""select distinct file, line_no, line from (
+    select *, row_number() over (partition by file, severity in ('fatal', 'error') order by line_no) as a,
+           row_number() over (partition by file, severity in ('fatal', 'error') order by line_no desc) as z from c)
+where (severity in ('fatal', 'error') and (a <= 20 or z <= 15)) or severity = 'fatal' or regexp_matches(line, '--- (Starting|Ending) "')""")
+def triage(c):
+    return logs.triage(c)
+
+
+@query("select file, line_no, line from log join (select file, count(*) as total from log group by file) using (file) where line_no < 10 or line_no >= total - 15")
+def head_tail(c):
+    return logs.head_tail(c.select("file", "line_no", "line"), 10, 15)
+
+
+@query("""select file, code, line_no, n from (select *, row_number() over (partition by file, code order by line_no) as k,
+count(*) over (partition by file, code) as n from c where severity is not null) where k = 3""")
+def nth_occurrence(c):
+    return logs.nth_occurrence(c, 3)
+
+
+MENTION_SQL = r"m as (select distinct file, unnest(regexp_extract_all(line, '\b([A-Za-z0-9_./\-]+\.(?:tcl|sdc|lef|def|vhd|sv|vh|v|lib|rpt|log|md|conf|yaml|yml|json|py|cpp|c|hpp|h|csh|sh))\b', 1)) as token, line_no from log)"
+
+
+@query("select file, token, count(*)::bigint as n, min(line_no) as first_line from m group by all", f"{CLASSED}, {MENTION_SQL}")
+def mentions(c):
+    return logs.mention_counts(c)
+
+
+@query("select file, token, line_no from m where contains(token, 'mod3')", f"{CLASSED}, {MENTION_SQL}")
+def find_mentions_substring(c):
+    return logs.mentions(c).where(F.col("token").contains("mod3"))
+
+
+@query(f"select file, {SEVERE}, count(distinct case when severity is not null then code end)::bigint as n_codes, min(ts_s) as first_ts, max(ts_s) as last_ts from c where line_no between 99 and 499 group by file")
+def region_summary(c):
+    return logs.region(c, 100, 500)
+
+
+@query("""select ts_s, file, line_no, line[:180] as line from c, (select max(ts_s) as anchor from c where file = 'app_1.log' and line_no = 100)
+where ts_s between anchor - 3600 and anchor + 3600 order by ts_s, file, line_no limit 200""")
+def correlate(c):
+    anchor = c.where("file = 'app_1.log' and line_no = 100").agg(F.max("ts_s")).first()[0] or 0
+    return logs.correlate(c, anchor, 3600)
+
+
+@query("""select file, line_no, coalesce(case when hl > ll then lt + floor((ht - lt) * (line_no - ll) / (hl - ll))::bigint end, lt, ht) as t from (
+    select file, line_no, last_value(k ignore nulls) over w as lt, last_value(l ignore nulls) over w as ll, first_value(k ignore nulls) over v as ht, first_value(l ignore nulls) over v as hl
+    from (select *, case when line_no % 10 = 3 then ts_s end as k, case when line_no % 10 = 3 then line_no end as l from c)
+    window w as (partition by file order by line_no rows between unbounded preceding and current row), v as (partition by file order by line_no rows between current row and unbounded following))""")
+def time_interpolate(c):
+    return logs.interpolated(c.withColumn("ts_s", F.when(F.col("line_no") % 10 == 3, F.col("ts_s"))))
+
+
+@query(r"""select file, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line,
+ '(?i)^\s*(\*\*)?(FATAL|ERROR|WARN(ING)?|INFO)\s*:?\s*', ''), '\([A-Z][A-Z0-9_]+-[0-9]+\)', ' ', 'g'), '[A-Za-z0-9_.\-]*/[A-Za-z0-9_./\-]+', ' ', 'g'), '0x[0-9a-fA-F]+', ' ', 'g'),
+ '"[^"]*"|''[^'']*''', ' ', 'g'), '[0-9]+(\.[0-9]+)?', ' ', 'g'), '\s+', ' ', 'g'), ' :.-') as template from log""")
+def template_normalise(c):
+    return c.select("file", "line_no", template(F.col("line")).alias("template"))
+
+
+@query("select id, path, line_no, case when total is null then 'file not found' when line_no < 1 or line_no > total then 'line out of range' else 'ok' end as reason from (select distinct file || '#' || line_no as id, case when line_no % 3 = 0 then 'gone.log' else file end as path, line_no * 2 as line_no from log where line_no % 50 = 0) x left join (select file, count(*) as total from log group by file) t on t.file = x.path")
+def cite_check(c):
+    told = F.concat(F.lit("see "), F.when(F.col("line_no") % 3 == 0, "gone.log").otherwise(F.col("file")), F.lit(":"), (F.col("line_no") * 2).cast("string"), F.lit(" for more"))
+    said = c.where("line_no % 50 = 0").select(F.concat_ws("#", "file", F.col("line_no").cast("string")).alias("id"), told.alias("text"))
+    return answers.checked(answers.citations(said), c.groupBy("file").agg(F.count("*").alias("total")))
+
+
+@query("select file as id, severity, claimed, claimed = case severity when 'fatal' then f when 'error' then e else w end as holds from (select file, count_if(severity = 'fatal') as f, count_if(severity = 'error') as e, count_if(severity = 'warn') as w from c group by file), lateral (values ('fatal', f::bigint), ('error', (e + 1)::bigint), ('warn', w::bigint)) as x(severity, claimed)")
+def numeric_claims(c):
+    n = logs.census(c)
+    said = n.select(F.col("file").alias("id"), F.concat_ws(" ", F.lit("There are"), F.col("n_fatal").cast("string"), F.lit("FATAL and"), (F.col("n_error") + 1).cast("string"), F.lit("errors and"), F.col("n_warn").cast("string"), F.lit("warnings.")).alias("text"))
+    true = n.select(F.col("file").alias("id"), F.posexplode(F.array("n_fatal", "n_error", "n_warn")).alias("k", "n")).withColumn("severity", F.element_at(F.array(*map(F.lit, ("fatal", "error", "warn"))), F.col("k") + 1))
+    return answers.numeric_claims(said).join(true, ["id", "severity"]).select("id", "severity", "claimed", (F.col("claimed") == F.col("n")).alias("holds"))
+
+
+@table_query("select event_id, json_extract_string(props, '$.k') as k from events where json_extract_string(props, '$.k') in ('1', '2', '3')")
+def json_field_filter(spark, read):
+    x = json_records(read("events").withColumnRenamed("props", "line"))
+    return x.select("event_id", F.col("m")["k"].alias("k")).where(F.col("k").isin("1", "2", "3"))
+
+
+@table_query("select case when event_type = 'error' then 'error' when event_type = 'click' then 'warn' end as severity, count(*)::bigint as n from events group by all")
+def json_severity(spark, read):
+    line = F.to_json(F.struct(F.when(F.col("event_type") == "error", "ERR").when(F.col("event_type") == "click", "warning").otherwise("info").alias("level")))
+    level = F.lower(F.coalesce(*(F.col("m")[k] for k in ("level", "severity", "lvl", "log.level", "loglevel"))))
+    severity = F.when(level.isin("fatal", "critical", "crit", "emerg", "emergency", "panic", "0", "1", "2"), "fatal").when(level.isin("error", "err", "severe", "exception", "3"), "error").when(level.isin("warn", "warning", "4"), "warn")
+    return json_records(read("events").select(line.alias("line"))).groupBy(severity.alias("severity")).agg(F.count("*").alias("n"))
+
+
+@table_query("select doc_id, (i - 1)::bigint as line_no, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))")
+def doc_lines(spark, read):
+    return read("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+TOKENS = "t as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9_]+') as t from documents)"
+BM25 = f"""{TOKENS}, p as (select id, len, token, count(*) as tf from (select id, len(t) as len, unnest(t) as token from t) group by all),
+q as (select qid, token, count(*) as qf from (select item_id as qid, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as token from benchmark where item_id < 20) where length(token) > 1 group by all),
+s as (
+    select qid, p.id, sum(qf * ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / a))) as score
+    from p join q using (token) join (select token, count(*) as df from p group by token) using (token), (select count(*) as n, avg(len(t)) as a from t) group by all
+)"""
+
+
+def _bm25(read):
+    docs = read("documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.bm25(docs, read("benchmark").where("item_id < 20").select(F.col("item_id").alias("qid"), "text"))
+
+
+def _top(df, k, score="score", by="qid"):
+    w = Window.partitionBy(by).orderBy(F.desc("r"), "id")
+    return df.withColumn("r", F.round(score, 6)).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select(by, "id", F.col("r").alias("score"))
+
+
+@table_query(f"with {TOKENS} select token, count(distinct id)::bigint as df from (select id, unnest(t) as token from t) group by token")
+def term_df(spark, read):
+    return retrieval.postings(read("documents").select(F.col("doc_id").alias("id"), "text")).groupBy("token").agg(F.count("*").alias("df"))
+
+
+@table_query(f"with {TOKENS} select id as doc_id, len(t)::bigint as n_tokens from t")
+def doc_len(spark, read):
+    return read("documents").select("doc_id", F.size(retrieval.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@table_query(f"with {BM25} select qid, id, r as score from (select *, row_number() over (partition by qid order by r desc, id) as k from (select qid, id, round(score, 6) as r from s)) where k <= 5")
+def bm25_topk(spark, read):
+    return _top(_bm25(read), 5)
+
+
+COS = """cs as (select q.vec_id as qid, v.vec_id as id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) as cos
+from (select vec_id, embedding::double[] as e from embeddings where vec_id < 20) q, (select vec_id, embedding::double[] as e from embeddings) v)"""
+
+
+def _cosine(read):
+    v = read("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.where("id < 20").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+    return v.crossJoin(F.broadcast(q)).select("qid", "id", retrieval.cosine(F.col("query"), F.col("embedding")).alias("cos"))  # a stated set of 20 queries
+
+
+@table_query(f"with {COS} select qid, id, r as score from (select *, row_number() over (partition by qid order by r desc, id) as k from (select qid, id, round(cos, 6) as r from cs)) where k <= 5")
+def cosine_topk(spark, read):
+    return _top(_cosine(read), 5, "cos")
+
+
+@table_query(f"""with {BM25}, {COS}, j as (select coalesce(s.qid, cs.qid) as qid, coalesce(s.id, cs.id) as id, coalesce(score, 0) as b, coalesce(cos, 0) as c from s full join cs on cs.qid = s.qid and cs.id = s.id),
+h as (select qid, id, 0.5e0 * case when max(b) over w > min(b) over w then (b - min(b) over w) / (max(b) over w - min(b) over w) else 0 end
+ + 0.5e0 * case when max(c) over w > min(c) over w then (c - min(c) over w) / (max(c) over w - min(c) over w) else 0 end as score from j window w as (partition by qid))
+select qid, id, r as score from (select *, row_number() over (partition by qid order by r desc, id) as k from (select qid, id, round(score, 6) as r from h)) where k <= 5""")
+def hybrid_rank(spark, read):
+    j = _bm25(read).withColumnRenamed("score", "b").join(_cosine(read), ["qid", "id"], "full").na.fill(0.0, ["b", "cos"])
+    w = Window.partitionBy("qid")
+    return _top(j.withColumn("score", F.lit(0.5) * retrieval.scaled("b", w) + F.lit(0.5) * retrieval.scaled("cos", w)), 5)
+
+
+@table_query()
+def chunk_documents(spark, read):
+    return retrieval.chunked(read("documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
+
+
+FACTS = "(0, 'expected', 'sub', 'THE'), (0, 'expected', 'regex', '[a-z]+ing'), (1, 'expected', 'sub', 'and'), (1, 'forbidden', 'sub', 'scum'), (2, 'forbidden', 'regex', '[0-9]{3}')"
+SCORES = f"""facts(case_id, kind, op, pattern) as (values {FACTS}),
+sc as (select id, count_if(kind = 'expected' and met)::bigint as hits, count_if(kind = 'expected' and not met)::bigint as misses, count_if(kind = 'forbidden' and met)::bigint as forbidden from (
+ select conv_id || '/' || turn as id, kind, case when op = 'regex' then regexp_matches(text, pattern) else contains(lower(text), lower(pattern)) end as met
+ from conversations join facts on case_id = conv_id % 3 where role = 'assistant') group by id)"""
+
+
+def _scores(spark, read):
+    said = read("conversations").where("role = 'assistant'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), (F.col("conv_id") % 3).alias("case_id"), "text")
+    facts = spark.sql(f"select * from values {FACTS} as t(case_id, kind, op, pattern)")
+    return answers.case_scores(said, F.broadcast(facts))
+
+
+@table_query(f"with {SCORES} select *, misses = 0 and forbidden = 0 as passed from sc")
+def eval_score(spark, read):
+    return _scores(spark, read)
+
+
+@table_query(f"with {SCORES} select count(*)::bigint as cases, round(avg((misses = 0 and forbidden = 0)::double), 6) as pass_rate, round(sum(hits) / sum(hits + misses), 6)::double as recall, round(avg((forbidden > 0)::double), 6) as hallucination_rate from sc")
+def eval_summary(spark, read):
+    return answers.summary(_scores(spark, read))
+
+
+@table_query("select conv_id, count(*)::bigint as turns, arg_max(text, turn) as last_question from conversations where role = 'user' group by conv_id")
+def session_manifest(spark, read):
+    return answers.sessions(read("conversations"))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What failed, how often, where first."""
+    return QUERIES["code_table"](spark, sf_dir)
