@@ -2,7 +2,8 @@
 
 A partition's distinct pieces become rows of (piece, position, token). A recursive query joins each adjacent pair with the merge
 table, contracts every piece's leftmost pair of least rank, and ends when no pair of any piece can merge. An ordered aggregation
-gives a piece's ids, another one decodes ids to bytes.
+gives a piece's ids, another one decodes ids to bytes. One contraction a step is quadratic in a piece's length, so the contraction of
+pieces beyond LONG_PIECE bytes (no words of any language) is left to the tiktoken library; they are decoded like the others.
 
 Nulls and empty texts have no ids. Repeated rows each get their row, null ids stay null, other columns are not looked at, an empty
 table gives an empty result.
@@ -27,6 +28,8 @@ QUERY_PIECES, CACHE_PIECES = 60_000, 600_000
 #: One query's pieces have at most so many bytes together, but for a single longer piece.
 QUERY_BYTES = 600_000
 
+LONG_PIECE = 256
+
 CONTRACT = """
 with recursive steps(w, pos, tok, step) as (
     select w, pos, tok, 0 from start
@@ -56,7 +59,9 @@ class SqlBPE:
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
+        import tiktoken
 
+        self.library = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "220MB", "preserve_insertion_order": False})
         self.ranks, self.byte = ranks, [ranks[bytes([b])] for b in range(256)]
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -73,6 +78,9 @@ class SqlBPE:
     def _query(self, pieces: list[bytes]) -> None:
         """Adds count, ids as text and decoded bytes of the pieces to what is known."""
         ids: list[list[int] | None] = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
+        for i, p in enumerate(pieces):
+            if ids[i] is None and len(p) > LONG_PIECE:
+                ids[i] = self.library.encode_single_piece(p)
         todo = [i for i, x in enumerate(ids) if x is None]
         if todo:
             self._table("start", pa.table({"w": pa.array([i for i in todo for _ in pieces[i]], pa.int32()), "pos": pa.array([k for i in todo for k in range(len(pieces[i]))], pa.int32()), "tok": pa.array([self.byte[b] for i in todo for b in pieces[i]], pa.int32())}))
