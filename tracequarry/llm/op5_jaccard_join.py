@@ -6,12 +6,10 @@
    The count is repeated among what was left, which drops those that shared with dropped ones only.
 3. Their prefixes (hashes in more than HOT of them last, by that number) give index lists; lists with the same members are one, weighted. Pairs of short
    lists (SHORT members at most) are counted, and remain if they share as many prefix hashes as links must. What hangs together by
-   remaining pairs and long lists, with at most BLOCK_TOKENS hashes, is joined at one place, so each set moves once. Beyond that size, each
-   long list is dealt in blocks of about BLOCK_TOKENS hashes by set size, pairs of blocks whose sizes can't link are skipped, and the
-   remaining pairs that share no long list are looked at each by itself.
+   remaining pairs and long lists is joined at one place, so each set moves once. What has more than BLOCK_TOKENS hashes in all is dealt in
+   blocks of about so many by hash and set size; pairs of blocks whose sizes can't link are skipped.
 4. In a block pair, sets follow by size. The first set's overlaps with all others come from the index lists; the next set's are derived
-   from a computed similar set's by the lists of the hashes in which the two differ. Positions out of the size range are skipped, and so are
-   pairs that an earlier common list decides. What leaves is a spanning forest of the links and each set's number of links, never the pairs.
+   from a computed similar set's by the lists of the hashes in which the two differ. Positions out of the size range are skipped. What leaves is a spanning forest of the links and each set's number of links, never the pairs.
 5. The forests' edges are contracted to components.
 
 A null or empty text, or one without words, has an empty set, links with nothing, and its component is its own doc_id. Repeated rows each
@@ -156,11 +154,16 @@ def _postings(whole: DataFrame, percent: int, hot: np.ndarray, count: np.ndarray
     return whole.select("cls", "tokens").mapInArrow(run, "cls binary, n long, token long")
 
 
-def refined(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def bounded(ids: DataFrame, most: int) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most so many rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def refined(sets: DataFrame, percent: int, broadcast_ids: int, rounds: int = 3) -> DataFrame:
     """Keys of the candidate classes after further rounds among themselves."""
     keys = written(candidate_classes(sets, percent), "candidates")
     for _ in range(rounds - 1):
-        keys = written(candidate_classes(sets.withColumn("key", key_of()).join(keys, "key", "left_semi"), percent), "candidates")
+        keys = written(candidate_classes(sets.withColumn("key", key_of()).join(bounded(keys, broadcast_ids), "key", "left_semi"), percent), "candidates")
     return keys
 
 
@@ -186,17 +189,17 @@ def short_pairs(postings: DataFrame, lists: DataFrame, percent: int) -> DataFram
 
 
 def bundled(pairs: DataFrame, long: DataFrame, sizes: DataFrame) -> DataFrame:
-    """cls, bundle of the classes that hang together by pairs (a, b) and long lists (cls, list) with at most BLOCK_TOKENS hashes in all."""
+    """cls, bundle, k: what hangs together by pairs (a, b) and long lists (cls, list), and the blocks it takes."""
     leader = long.groupBy("list").agg(F.min("cls").alias("b"))
     edges = pairs.union(long.join(leader, "list").select(F.col("cls").alias("a"), "b"))
-    place = components(edges).select(F.col("node").alias("cls"), F.col("label").alias("bundle"))
-    small = place.join(sizes, "cls").groupBy("bundle").agg(F.sum("n").alias("total")).where(F.col("total") <= BLOCK_TOKENS).select("bundle")
-    return place.join(small, "bundle").select("cls", "bundle")
+    place = written(components(edges).select(F.col("node").alias("cls"), F.col("label").alias("bundle")), "places")
+    total = place.join(sizes, "cls").groupBy("bundle").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("k"))
+    return place.join(total, "bundle").select("cls", "bundle", "k")
 
 
-def dealt(lists: DataFrame, sizes: DataFrame) -> DataFrame:
-    """list, left, right, block, cls: the block pairs to which each set of a list goes; a list of one block is one pair."""
-    rows = lists.join(sizes, "cls")
+def dealt(bundles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """bundle, left, right, block, cls: the block pairs to which each set of a bundle goes; a bundle of one block is one pair."""
+    rows = bundles.join(sizes, "cls")
     r, c = F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"), F.floor(F.log(F.col("n").cast("double")) / -math.log(0.84)).cast("int")
     rows = rows.withColumns({"r": r, "c": c})
     block = lambda c, r: F.struct(c.alias("c"), r.cast("int").alias("r"))
@@ -206,7 +209,7 @@ def dealt(lists: DataFrame, sizes: DataFrame) -> DataFrame:
     near = F.flatten(F.array(*(_near(others, own, pair, block, d) for d in (-1, 0, 1))))
     one = block(F.lit(0), F.lit(0))
     rows = rows.withColumn("block", F.when(F.col("k") == 1, one).otherwise(own))
-    return rows.withColumn("pair", F.explode(F.when(F.col("k") == 1, F.array(F.struct(one.alias("left"), one.alias("right")))).otherwise(near))).select("list", "pair.left", "pair.right", "block", "cls")
+    return rows.withColumn("pair", F.explode(F.when(F.col("k") == 1, F.array(F.struct(one.alias("left"), one.alias("right")))).otherwise(near))).select("bundle", "pair.left", "pair.right", "block", "cls")
 
 
 def _near(others, own, pair, block, d: int):
@@ -234,14 +237,12 @@ class Index:
         return np.bincount(self.who[np.repeat(a - (upto - n), n) + np.arange(total)], minlength=self.m)
 
 
-def links_of_group(n: np.ndarray, tokens: list[np.ndarray], lists: list[np.ndarray], own_list: int, left: np.ndarray, same: bool, percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, np.ndarray]]]:
+def links_of_group(n: np.ndarray, tokens: list[np.ndarray], left: np.ndarray, same: bool, percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, np.ndarray]]]:
     """Edges of a spanning forest of the links, and for each set with links the numbers of the sets linked to it after it by size.
 
     left: whether a set is in the left block; same: the blocks are one. Sets are given by size.
     """
     index = Index(tokens)
-    before = [x[x < own_list] for x in lists]
-    earlier = Index(before) if any(map(len, before)) else None
     component = np.arange(len(n))
     high = np.searchsorted(n * percent, n * 100, side="right")  # sets up to here are small enough to link
     edges, found = [], []
@@ -251,8 +252,6 @@ def links_of_group(n: np.ndarray, tokens: list[np.ndarray], lists: list[np.ndarr
         window[i + 1 : high[i]] = True
         if not same:
             window &= left != left[i]
-        if earlier is not None and len(before[i]):
-            window &= earlier.counts(earlier.own[i]) == 0
         if not window.any():
             continue
         own = index.own[i]
@@ -282,7 +281,7 @@ def _join_groups(pairs: DataFrame, percent: int) -> DataFrame:
         group = group.assign(n=[len(t) for t in group["tokens"]]).sort_values(["n", "cls"], ignore_index=True)
         n, cls, mult = group["n"].to_numpy(), group["cls"].tolist(), group["mult"].to_numpy()
         left = np.array([b == first["left"] for b in group["block"]])
-        edges, found = links_of_group(n, list(group["tokens"]), list(group["lists"]), int(first["list"]), left, same, percent)
+        edges, found = links_of_group(n, list(group["tokens"]), left, same, percent)
         total = np.zeros(len(n), np.int64)
         for i, hit in found:
             total[i] += mult[hit].sum()
@@ -290,7 +289,7 @@ def _join_groups(pairs: DataFrame, percent: int) -> DataFrame:
         some = np.flatnonzero(total)
         return pd.DataFrame({"a": [cls[i] for i, _ in edges] + [cls[i] for i in some], "b": [cls[j] for _, j in edges] + [None] * len(some), "k": [0] * len(edges) + total[some].tolist()})
 
-    return pairs.groupBy("key").applyInPandas(run, "a binary, b binary, k long")
+    return pairs.groupBy("bundle", "left", "right").applyInPandas(run, "a binary, b binary, k long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -298,8 +297,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sets = written(set_table(rows, words, percent, False), "sets")
     classes = sets.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("mult"))
-    keys = refined(sets, percent)
-    chosen = sets.select("doc_id", "cls", key_of().alias("key")).join(keys, "key", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    keys = refined(sets, percent, broadcast_ids)
+    chosen = sets.select("doc_id", "cls", key_of().alias("key")).join(bounded(keys, broadcast_ids), "key", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     chosen = written(chosen, "chosen")
     n_chosen = chosen.count()
     ids = chosen.select("doc_id").distinct()
@@ -309,21 +308,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sizes = whole.select("cls", "n")
     postings, lists = index_lists(whole, percent)
     near = written(short_pairs(postings, lists, percent), "pairs")
-    long = lists.where(F.col("m") > SHORT).select("token", F.ceil(F.col("total") / BLOCK_TOKENS).cast("int").alias("k"))
-    long = written(postings.join(long, "token").select("cls", F.col("token").alias("list"), "k"), "long-lists")
+    long = written(postings.join(lists.where(F.col("m") > SHORT).select("token"), "token").select("cls", F.col("token").alias("list")), "long-lists")
     bundles = written(bundled(near, long, sizes), "bundles")
-    apart = long.join(bundles, "cls", "left_anti")
-    of_set = written(apart.groupBy("cls").agg(F.collect_list("list").alias("lists")), "lists-of-sets")
-    a, b = (of_set.select(F.col("cls").alias(c), F.col("lists").alias(f"{c}_lists")) for c in "ab")
-    alone = near.join(bundles.select(F.col("cls").alias("a")), "a", "left_anti").join(a, "a", "left").join(b, "b", "left").where("not coalesce(arrays_overlap(a_lists, b_lists), false)")
-    one = F.struct(F.lit(0).alias("c"), F.lit(0).alias("r"))
-    here = lambda key, cls: (key.alias("key"), F.lit(0).cast("long").alias("list"), one.alias("left"), one.alias("right"), one.alias("block"), cls.alias("cls"))
-    pairs = bundles.select(*here(F.col("bundle"), F.col("cls")))
-    pairs = pairs.unionByName(alone.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).select(*here(F.concat("a", "b"), F.col("cls"))))
-    split = dealt(apart, sizes)
-    pairs = pairs.unionByName(split.select(F.to_binary(F.to_json(F.struct("list", "left", "right")), F.lit("utf-8")).alias("key"), *split.columns))
-    full = whole.join(of_set, "cls", "left").join(classes.select("cls", "mult"), "cls").select("cls", "mult", "tokens", F.coalesce("lists", F.array().cast("array<long>")).alias("lists"))
-    links = written(_join_groups(pairs.join(full, "cls"), percent), "links")
+    full = whole.join(classes.select("cls", "mult"), "cls").select("cls", "mult", "tokens")
+    links = written(_join_groups(dealt(bundles, sizes).join(full, "cls"), percent), "links")
     label = components(links.where("b is not null"))
     number = links.where("b is null").groupBy("a").agg(F.sum("k").alias("links"))
     named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").join(number.withColumnRenamed("a", "cls"), "cls", "left")
