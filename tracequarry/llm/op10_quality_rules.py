@@ -92,6 +92,11 @@ def base_failed() -> Column:
     return (F.col("_q_n_words") < 50) | (F.col("_q_n_repeat") * 100 > F.col("_q_n_words") * 50)
 
 
+def verdict(rules: list[tuple[str, str, str, float]]) -> Column:
+    """Whether a row passes. As it isn't deterministic, a filter on it stays above the projections; below, it would repeat them per word."""
+    return ~base_failed() & compiled(rules, metrics()) & (F.monotonically_increasing_id() >= 0)
+
+
 def apply_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed, kept of each row."""
     rows = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
@@ -99,17 +104,13 @@ def apply_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULE
         "doc_id",
         *(F.col(f"_q_{name}").alias(out) for name, out in (("n_words", "n_words"), ("word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("n_dup_lines", "n_dup_lines"), ("n_repeat", "n_repeat_words"))),
         base_failed().alias("base_failed"),
-        (~base_failed() & compiled(rules, metrics())).alias("kept"),
+        verdict(rules).alias("kept"),
     )
 
 
 def kept_only(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, with their columns.
-
-    A verdict that isn't deterministic stays where it is: pushed below the projections, it would repeat them for each word.
-    """
-    verdict = ~base_failed() & compiled(rules, metrics()) & (F.monotonically_increasing_id() >= 0)
-    return measured(docs, text_col).withColumn("_q_kept", verdict).where("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that pass, with their columns."""
+    return measured(docs, text_col).withColumn("_q_kept", verdict(rules)).where("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
