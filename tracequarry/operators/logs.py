@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tracequarry.functions.profiles import MENTION, SOURCE_COMMAND, STAGE, UNCODED, Profile, rank
 
 
+def levels():
+    return F.sequence(F.lit(0), F.lit(9))
+
+
 def ordered():
     return Window.partitionBy("file").orderBy("line_no")
 
@@ -56,10 +60,15 @@ def incidents(c: DataFrame, body: int = 15) -> DataFrame:
 
 
 def incident_around(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (file, line_no): the last incident that starts at or before it, and whether it reaches the line."""
-    x = wanted.join(found, (wanted["file"] == found["file"]) & (found["head"] <= wanted["line_no"])).select(wanted["file"], wanted["line_no"], "head", "body_end", "severity")
-    x = x.groupBy("file", "line_no").agg(F.max_by(F.struct("head", "body_end", "severity"), "head").alias("i"))
-    return x.select("file", "line_no", "i.head", "i.body_end", "i.severity", (F.col("line_no") <= F.col("i.body_end")).alias("inside"))
+    """For each wanted (file, line_no): the last incident that starts at or before it, and whether it reaches the line.
+
+    Both are laid along the file and the last incident is carried forward, so no pairs are made.
+    """
+    asked = wanted.select("file", "line_no").distinct()
+    laid = found.select("file", F.col("head").alias("line_no"), F.struct("head", "body_end", "severity").alias("i")).unionByName(asked, allowMissingColumns=True)
+    first = Window.partitionBy("file").orderBy("line_no", F.col("i").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = laid.withColumn("last", F.last("i", ignorenulls=True).over(first)).where("i is null and last is not null")
+    return x.select("file", "line_no", "last.head", "last.body_end", "last.severity", (F.col("line_no") <= F.col("last.body_end")).alias("inside"))
 
 
 def stage_ranges(lines: DataFrame) -> DataFrame:
@@ -74,16 +83,36 @@ def stage_ranges(lines: DataFrame) -> DataFrame:
     then = Window.partitionBy("file", "name", "level").orderBy("line_no")
     x = x.withColumns({"next": F.lead("line_no").over(then), "next_kind": F.lead("kind").over(then)}).where("kind = 'Starting'")
     closed = F.col("next_kind") == "Ending"
-    x = x.join(F.broadcast(total), "file")
+    x = x.join(total, "file")
     return x.select("file", "name", F.col("line_no").alias("start_line"), F.when(closed, F.col("next")).otherwise(F.col("total")).alias("end_line"), (~F.coalesce(closed, F.lit(False))).alias("incomplete"))
 
 
+def covers(start, end):
+    """Blocks (level, block) of 16**level lines that tile [start, end): at most 30 a level, so a logarithmic number for any length."""
+
+    def blocks(k):
+        w, wide = F.pow(F.lit(16.0), k).cast("long"), F.pow(F.lit(16.0), k + 1).cast("long")
+        low, high = F.ceil(start / w), F.floor(end / w)
+        left, right = F.least(high, F.ceil(start / wide) * 16), F.greatest(low, F.floor(end / wide) * 16)
+        span = lambda x, y: F.when(x < y, F.sequence(x.cast("long"), y.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+        found = F.when(F.ceil(start / wide) < F.floor(end / wide), F.concat(span(low, left), span(right, high))).otherwise(span(low, high))
+        return F.transform(found, lambda b: F.struct(k.alias("level"), b.alias("block")))
+
+    return F.flatten(F.transform(levels(), blocks))
+
+
 def stage_of_severe(c: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Severe lines with the open stage of greatest start; '<pre-stage>' where none is open. The file is always an equality key."""
+    """Severe lines with the open stage of greatest start; '<pre-stage>' where none is open.
+
+    Ranges are tiled by blocks of powers of 16 and each block keeps its latest start, so a line meets one row a level at most: the join is on
+    equal keys and makes no pairs of lines and ranges. Files of up to 16**10 lines.
+    """
     s = c.where("severity is not null").select("file", "line_no", "severity", "code")
-    r = ranges.select(F.col("file").alias("f"), "name", "start_line", "end_line")
-    x = s.join(r, (F.col("file") == F.col("f")) & (F.col("start_line") <= F.col("line_no")) & (F.col("line_no") < F.col("end_line")), "left")
-    return x.groupBy("file", "line_no", "severity", "code").agg(F.coalesce(F.max_by("name", "start_line"), F.lit("<pre-stage>")).alias("stage"))
+    tiles = ranges.select("file", "name", "start_line", F.explode(covers(F.col("start_line"), F.col("end_line"))).alias("t"))
+    tiles = tiles.groupBy("file", F.col("t.level").alias("level"), F.col("t.block").alias("block")).agg(F.max(F.struct("start_line", "name")).alias("latest"))
+    x = s.withColumn("level", F.explode(levels())).withColumn("block", F.floor(F.col("line_no") / F.pow(F.lit(16.0), F.col("level"))))
+    x = x.join(tiles, ["file", "level", "block"], "left").groupBy("file", "line_no", "severity", "code")
+    return x.agg(F.coalesce(F.max("latest")["name"], F.lit("<pre-stage>")).alias("stage"))
 
 
 def stage_hist(c: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -118,7 +147,7 @@ def pattern_filter(c: DataFrame, profile: Profile, pattern: str, severities: lis
 
 def head_tail(lines: DataFrame, head: int, tail: int) -> DataFrame:
     total = lines.groupBy("file").agg(F.count("*").alias("total"))
-    return lines.join(F.broadcast(total), "file").where((F.col("line_no") < head) | (F.col("line_no") >= F.col("total") - tail)).drop("total")
+    return lines.join(total, "file").where((F.col("line_no") < head) | (F.col("line_no") >= F.col("total") - tail)).drop("total")
 
 
 def triage(c: DataFrame, most: int = 60) -> DataFrame:
