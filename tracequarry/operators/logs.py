@@ -192,9 +192,9 @@ def correlate(timed: DataFrame, anchor: int, window: int, most: int = 200) -> Da
 
 def interpolated(lines: DataFrame) -> DataFrame:
     """lines with t: their own second, or one between the nearest timed lines, clamped at both ends."""
-    ahead = ordered().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy("file").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a frame to the end is quadratic
     known = F.when(F.col("ts_s").isNotNull(), F.struct("ts_s", "line_no"))
-    x = lines.withColumn("lo", F.last(known, ignorenulls=True).over(running())).withColumn("hi", F.first(known, ignorenulls=True).over(ahead))
+    x = lines.withColumn("lo", F.last(known, ignorenulls=True).over(running())).withColumn("hi", F.last(known, ignorenulls=True).over(ahead))
     span = F.col("hi.line_no") - F.col("lo.line_no")
     inside = F.col("lo.ts_s") + F.floor((F.col("hi.ts_s") - F.col("lo.ts_s")) * (F.col("line_no") - F.col("lo.line_no")) / span)
     return x.select("file", "line_no", F.coalesce(F.when(span > 0, inside), F.col("lo.ts_s"), F.col("hi.ts_s")).cast("long").alias("t"))
