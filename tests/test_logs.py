@@ -101,3 +101,28 @@ def test_entry_has_sql_for_its_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stage_tiles_meet_brute_force(spark):
+    import random
+
+    from tracequarry.operators import logs
+
+    rng = random.Random(5)
+    spans = [(n, s, s + rng.choice([1, 2, 15, 16, 17, 300, 5000])) for n, s in enumerate(rng.sample(range(6000), 60))]
+    lines = rng.sample(range(12000), 400)
+    ranges = spark.createDataFrame([("f", f"s{n}", s, e) for n, s, e in spans], "file string, name string, start_line long, end_line long")
+    severe = spark.createDataFrame([("f", i, "error", "A-1") for i in lines], "file string, line_no long, severity string, code string")
+    got = {r.line_no: r.stage for r in logs.stage_of_severe(severe, ranges).collect()}
+    want = {i: max(((s, f"s{n}") for n, s, e in spans if s <= i < e), default=(0, "<pre-stage>"))[1] for i in lines}
+    assert got == want
+
+
+def test_quotes_and_open_plans(spark):
+    from tracequarry.operators import answers
+
+    said = spark.createDataFrame([("a", "it says `failed to open the file now` and `src/some/long/path/file.py:12` and `no such thing anywhere`")], "id string, text string")
+    results = spark.createDataFrame([("a", "x failed to open the file now y"), ("b", "no such thing anywhere")], "id string, result string")
+    assert [r.quote for r in answers.unsupported(answers.quotes(said), results).collect()] == ["no such thing anywhere"]
+    plan = spark.createDataFrame([("a", "[1] read_logs(path = 'x.log')\n[2] stage_errors()")], "id string, text string")
+    assert [(r.step, r.call) for r in answers.todos(plan).orderBy("step").collect()] == [(1, "read_logs(path=x.log)"), (2, "stage_errors()")]

@@ -59,3 +59,27 @@ def clock_issues(lines: DataFrame) -> DataFrame:
     declared = x.select("file", "line_no", named.alias("clock")).where("clock <> ''").groupBy("file", "clock").agg(F.min("line_no").alias("declared"))
     used = x.select("file", "line_no", F.explode(F.regexp_extract_all("code", F.lit(r"get_clocks\s+\{?([A-Za-z0-9_]+)"), F.lit(1))).alias("clock"))
     return used.join(declared, ["file", "clock"], "left").where("declared is null or declared > line_no")
+
+
+def quotes(answers: DataFrame) -> DataFrame:
+    """id, quote of backtick texts of 20 characters or more that aren't path:line, each once."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("`([^`\\n]{20,})`"), F.lit(1))))
+    return answers.select("id", found.alias("quote")).where(~F.col("quote").rlike(r"^[A-Za-z0-9_./-]+\.[A-Za-z0-9]+:[0-9]+$"))
+
+
+def unsupported(said: DataFrame, results: DataFrame) -> DataFrame:
+    """Quotes (id, quote) whose first 40 characters no result (id, result) of the same id holds."""
+    r = results.select(F.col("id").alias("i"), "result")
+    return said.join(r, (F.col("id") == F.col("i")) & F.col("result").contains(F.left("quote", F.lit(40))), "left_anti")
+
+
+def todos(plans: DataFrame) -> DataFrame:
+    """id, step, call of '[N] tool(args)' in plans (id, text); quotes and blanks don't count in a call."""
+    rx = r"\[([0-9]+)\]\s*([A-Za-z_]\w*\([^()\n]*\))"
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(rx), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(rx), F.lit(2)).alias("call"))
+    return plans.select("id", F.explode(pairs).alias("p")).select("id", F.col("p.n").cast("long").alias("step"), F.regexp_replace("p.call", r"[\"'\s]", "").alias("call"))
+
+
+def signatures(calls: DataFrame, by: list[str]) -> DataFrame:
+    """How often each text comes per group, case, quotes and blanks aside."""
+    return calls.groupBy(*by, F.md5(F.regexp_replace(F.lower("text"), "[\"' ]", "")).alias("signature")).agg(F.count("*").alias("n"))

@@ -198,3 +198,45 @@ def interpolated(lines: DataFrame) -> DataFrame:
     span = F.col("hi.line_no") - F.col("lo.line_no")
     inside = F.col("lo.ts_s") + F.floor((F.col("hi.ts_s") - F.col("lo.ts_s")) * (F.col("line_no") - F.col("lo.line_no")) / span)
     return x.select("file", "line_no", F.coalesce(F.when(span > 0, inside), F.col("lo.ts_s"), F.col("hi.ts_s")).cast("long").alias("t"))
+
+
+def offsets(lines: DataFrame) -> DataFrame:
+    """lines with start, the byte at which each begins."""
+    own = F.octet_length("line") + 1
+    return lines.select("file", "line_no", "line", (F.sum(own).over(running()) - own).alias("start"))
+
+
+def listing(lines: DataFrame) -> DataFrame:
+    size = F.sum(F.octet_length("line") + 1)
+    return lines.groupBy("file").agg(F.count("*").alias("n_lines"), F.floor(size / 1024).alias("kb"))
+
+
+def summary(c: DataFrame) -> DataFrame:
+    """The code table with each code's first line, in code order; one aggregation, no join back to the lines."""
+    rows = c.where("severity is not null").groupBy("file", "code")
+    first = F.min_by(F.struct("severity", "line"), "line_no")
+    out = rows.agg(first.alias("f"), F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+    return code_order(out.select("file", "code", "f.severity", "n", "first_line", F.col("f.line").alias("example")))
+
+
+def retained(c: DataFrame, most: int = 16) -> DataFrame:
+    """The first and last hits of every code; a hit in both counts as head."""
+    up = Window.partitionBy("file", "code").orderBy("line_no")
+    down = Window.partitionBy("file", "code").orderBy(F.desc("line_no"))
+    x = c.where("severity is not null").withColumn("a", F.row_number().over(up)).withColumn("z", F.row_number().over(down))
+    return x.where((F.col("a") <= most) | (F.col("z") <= most)).select("file", "code", "line_no", F.when(F.col("a") <= most, "head").otherwise("tail").alias("part"))
+
+
+def gaps(shown: DataFrame) -> DataFrame:
+    """shown with gap: whether lines before this one, but not at the start, are left out."""
+    return shown.withColumn("gap", F.coalesce(F.col("line_no") != F.lag("line_no").over(ordered()) + 1, F.lit(False)))
+
+
+def unseen(c: DataFrame, shown: DataFrame) -> DataFrame:
+    """Per file, the severe lines that a view left out."""
+    severe = c.where("severity in ('fatal', 'error')").select("file", "line_no")
+    return severe.join(shown.select("file", "line_no"), ["file", "line_no"], "left_anti").groupBy("file").agg(F.count("*").alias("n_unseen"))
+
+
+def overlapping(ranges: DataFrame, start: int, end: int) -> DataFrame:
+    return ranges.where((F.col("start_line") <= end) & (F.col("end_line") >= start)).select("file", "name", "start_line", "end_line")
