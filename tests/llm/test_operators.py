@@ -228,3 +228,10 @@ def test_quality_learns(spark):
     assert {x["doc_id"] for x in held} == {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0}
     assert sum(x["predicted"] == int(x["doc_id"] % 3 > 0) for x in held) >= 0.98 * len(held)
     assert {x["score"] for x in o1.score(docs, o1.train(docs, labels.where("quality = 1"))).collect()} == {0.5}
+
+
+def test_secret_link_across_contained_part():
+    from tracequarry.llm.op3_secret_scan import WINDOW, spans_of
+
+    text = "token = " + "ab12" * 5 + "Zz" * 20 + " " * (WINDOW - 10) + "client_id = abcdef"
+    assert [k for _, k, _ in spans_of(text)[1]] == [0, 2, 3]

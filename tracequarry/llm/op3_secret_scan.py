@@ -86,7 +86,9 @@ def linked(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
     breaks = [m.start() for m in BLANK.finditer(text)]
     by: dict[str, list[tuple[int, int]]] = {}
     for a, k, b in sorted([*strong, *weak]):
-        by.setdefault(ROLE[KINDS[k]], []).append((a, b))
+        parts = by.setdefault(ROLE[KINDS[k]], [])
+        if not parts or b > parts[-1][1]:  # one inside another, as hex in an assignment, adds nothing
+            parts.append((a, b))
     out = []
     for a, k, b in weak:
         scope = bisect_left(breaks, a)
