@@ -123,9 +123,8 @@ def key_of(cls: str = "cls"):
     return F.xxhash64(cls)
 
 
-def candidate_classes(sets: DataFrame, percent: int) -> DataFrame:
-    """Keys of the classes with enough prefix hashes that another class's prefix has too."""
-    own = sets.where("n > 0").select("cls", "n", "tokens").dropDuplicates(["cls"])
+def candidate_classes(own: DataFrame, percent: int) -> DataFrame:
+    """Keys of the classes (cls, n, tokens; one row each) with enough prefix hashes that another class's prefix has too."""
     each = own.select(key_of().alias("key"), "n", F.explode("tokens").alias("token"))
     twice = each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     partner = F.ceil(F.col("n") * percent / 100)
@@ -161,9 +160,10 @@ def bounded(ids: DataFrame, most: int) -> DataFrame:
 
 def refined(sets: DataFrame, percent: int, broadcast_ids: int, rounds: int = 3) -> DataFrame:
     """Keys of the candidate classes after further rounds among themselves."""
-    keys = written(candidate_classes(sets, percent), "candidates")
+    own = written(sets.where("n > 0").select("cls", "n", "tokens").dropDuplicates(["cls"]), "prefixes")
+    keys = written(candidate_classes(own, percent), "candidates")
     for _ in range(rounds - 1):
-        keys = written(candidate_classes(sets.withColumn("key", key_of()).join(bounded(keys, broadcast_ids), "key", "left_semi"), percent), "candidates")
+        keys = written(candidate_classes(own.withColumn("key", key_of()).join(bounded(keys, broadcast_ids), "key", "left_semi"), percent), "candidates")
     return keys
 
 
