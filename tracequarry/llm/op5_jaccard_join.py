@@ -303,8 +303,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     n_chosen = chosen.count()
     ids = chosen.select("doc_id").distinct()
     again = rows.alias("r").join((F.broadcast(ids) if n_chosen <= broadcast_ids else ids).alias("i"), F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-    whole = set_table(again, words, percent, True).join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "tokens")
-    whole = written(whole, "whole-sets")
+    same = F.col("w.cls").eqNullSafe(F.col("c.cls")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id"))
+    whole = written(set_table(again, words, percent, True).alias("w").join(chosen.alias("c"), same, "left_semi").select("cls", "n", "tokens"), "whole-sets")
+    if whole.count() > n_chosen:  # repeated rows of one id and text
+        whole = written(whole.dropDuplicates(["cls"]), "whole-sets")
     sizes = whole.select("cls", "n")
     postings, lists = index_lists(whole, percent)
     near = written(short_pairs(postings, lists, percent), "pairs")
