@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates."""
-    return op5_jaccard_join.one_of_each(docs)
+    """The document of least id of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return op5_jaccard_join.one_of_each(docs, 5, 80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

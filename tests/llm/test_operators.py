@@ -235,3 +235,43 @@ def test_secret_link_across_contained_part():
 
     text = "token = " + "ab12" * 5 + "Zz" * 20 + " " * (WINDOW - 10) + "client_id = abcdef"
     assert [k for _, k, _ in spans_of(text)[1]] == [0, 2, 3]
+
+
+def near_copies():
+    """Texts with edited and shortened copies, some linked at five words and 80 % only, and some whose sizes are at the limit of a link."""
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(40):
+        seed = r.choices(vocab, k=115 if k % 2 else r.randrange(4, 160))
+        texts.append(" ".join(seed))
+        texts += [" ".join(seed[: 93 if k % 2 else len(seed) * r.randrange(75, 100) // 100])]
+        texts += [" ".join(r.choice(vocab) if r.random() < 0.02 else w for w in seed) for _ in range(r.randrange(3))]
+    r.shuffle(texts)
+    return [*texts, "", None, "one two", "ONE two"]
+
+
+def least_of_each(texts, words, percent):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()})
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((label[i], label[j]))
+                label = [x if p == y else p for p in label]
+    return sorted(set(label))
+
+
+@pytest.mark.parametrize("block_tokens", [o5.BLOCK_TOKENS, 100])
+def test_near_duplicate_stage_against_brute_force(spark, monkeypatch, block_tokens):
+    import corpus_pipeline
+
+    monkeypatch.setattr(o5, "BLOCK_TOKENS", block_tokens)
+    texts = near_copies()
+    want = least_of_each(texts, 5, 80)
+    assert want != least_of_each(texts, 4, 85)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want

@@ -197,10 +197,13 @@ def bundled(pairs: DataFrame, long: DataFrame, sizes: DataFrame) -> DataFrame:
     return place.join(total, "bundle").select("cls", "bundle", "k")
 
 
-def dealt(bundles: DataFrame, sizes: DataFrame) -> DataFrame:
-    """bundle, left, right, block, cls: the block pairs to which each set of a bundle goes; a bundle of one block is one pair."""
+def dealt(bundles: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """bundle, left, right, block, cls: the block pairs to which each set of a bundle goes; a bundle of one block is one pair.
+
+    A size class spans a little more than linked sets can differ by, so links are within a class or between two in a row.
+    """
     rows = bundles.join(sizes, "cls")
-    r, c = F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"), F.floor(F.log(F.col("n").cast("double")) / -math.log(0.84)).cast("int")
+    r, c = F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"), F.floor(F.log(F.col("n").cast("double")) / -math.log((percent - 1) / 100)).cast("int")
     rows = rows.withColumns({"r": r, "c": c})
     block = lambda c, r: F.struct(c.alias("c"), r.cast("int").alias("r"))
     own = block(F.col("c"), F.col("r"))
@@ -313,7 +316,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     long = written(postings.join(lists.where(F.col("m") > SHORT).select("token"), "token").select("cls", F.col("token").alias("list")), "long-lists")
     bundles = written(bundled(near, long, sizes), "bundles")
     full = whole.join(classes.select("cls", "mult"), "cls").select("cls", "mult", "tokens")
-    links = written(_join_groups(dealt(bundles, sizes).join(full, "cls"), percent), "links")
+    links = written(_join_groups(dealt(bundles, sizes, percent).join(full, "cls"), percent), "links")
     label = components(links.where("b is not null"))
     number = links.where("b is null").groupBy("a").agg(F.sum("k").alias("links"))
     named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").join(number.withColumnRenamed("a", "cls"), "cls", "left")
@@ -325,12 +328,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int, percent: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of rows with one doc_id the first stays.
 
     Rows with a null doc_id can't be told apart and stay.
     """
-    found = written(jaccard_components(docs).select("doc_id", "component_id"), "groups")
+    found = written(jaccard_components(docs, words, percent, broadcast_ids).select("doc_id", "component_id"), "groups")
     lost = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(F.broadcast(lost) if lost.count() <= broadcast_ids else lost, "doc_id", "left_anti").select(*docs.columns)
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
