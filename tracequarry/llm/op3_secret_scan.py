@@ -55,9 +55,7 @@ def base_spans(text: str) -> list[Span]:
 
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     """Weak parts that don't overlap a strong one."""
-    if ":" not in text and "=" not in text:
-        return []
-    found = [(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)]
+    found = [(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
     if not found and not strong:
         return []
     found += [(m.start(), 4, m.end()) for m in KEY.finditer(text) if mixed(m[0])]
