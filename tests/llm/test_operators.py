@@ -16,7 +16,7 @@ from tracequarry.llm import op7_pii as o7
 from tracequarry.llm import op8_license_scan as o8
 from tracequarry.llm import op9_bpe_sql as o9
 from tracequarry.llm import op10_quality_rules as o10
-from tracequarry.llm.common import scratch
+from tracequarry.llm.common import scratch, written
 
 P = pytest.importorskip("public_tokenizers")
 WORD = "the of and to quartz violin Émigré don't 12 345 ß 漢字 e.g.".split()
@@ -282,3 +282,23 @@ def test_secret_key_without_colon_or_equals_sign(spark):
     assert [o3.KINDS[k] for _, k, _ in o3.spans_of(text)[1]] == ["access", "key"]
     row = o3.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row["text"] == "Access key ID,Secret access key\n[SECRET],[SECRET]"
+
+
+@pytest.mark.parametrize("texts", [["of " * 10] * 60, ["of " * 10] * 30 + ["of " * 4] * 40])
+def test_packing_ends_with_many_bins_that_cannot_be_combined(spark, monkeypatch, texts):
+    tables = []
+
+    def counted(df, what):
+        tables.append(what)
+        assert len(tables) < 15, "no end"
+        return written(df, what)
+
+    monkeypatch.setattr(o6, "ROUND_ITEMS", 10)
+    monkeypatch.setattr(o6, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = o6.pack(docs, P.path("byte_bpe_50k.json"), capacity=18, slack=0).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    fill = collections.Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 18 and len(fill) <= len(texts)

@@ -3,7 +3,7 @@
 Each task tokenizes its documents, cuts the long ones, and packs the pieces best-fit (longest first) into bins of CAPACITY tokens. Nearly
 full bins are emitted. Underfull bins go on as items: each further round merges FAN_IN partitions into one, packs their bins best-fit
 again, and emits what is nearly full by then; the last rounds take what is left. A task of a later round gets at most about ROUND_ITEMS
-bins; when a round can't reduce the bins any more, they are emitted as they are.
+bins; when a round on the least number of partitions for that hardly reduces the bins (by under 2 %), they are emitted as they are.
 
 A bin travels as its fill and the bytes of its members' records, so texts and ids never leave the first task, and every round is a
 table in the shared folder.
@@ -127,20 +127,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rounds = [written(first_round(rows, tokenizer, capacity, slack), "packing")]
     parts = max(1, rounds[0].rdd.getNumPartitions())
-    emitted = []
+    emitted, before = [], 0
     while True:
         now, open_bins = rounds[-1], rounds[-1].where("not done")
         left = open_bins.count()
-        if not left or len(rounds) > 2 and last_round and left > 0.98 * before:
-            emitted.append(now)
-            break
-        last_round = parts == 1 or left <= ROUND_ITEMS
-        parts = max(1, -(-left // ROUND_ITEMS)) if last_round else max(-(-parts // fan_in), -(-left // ROUND_ITEMS))
-        if last_round and len(rounds) > 1 and before_parts == parts == 1:
+        fewest = -(-left // ROUND_ITEMS)
+        if not left or before and parts == fewest and (parts == 1 or left > 0.98 * before):
             emitted.append(now)
             break
+        parts = 1 if fewest == 1 else max(-(-parts // fan_in), fewest)
         emitted.append(now.where("done"))
-        before, before_parts = left, parts
+        before = left
         rounds.append(written(later_round(open_bins.repartition(parts), capacity, slack), "packing"))
     numbered = [b.select((F.monotonically_increasing_id() + F.lit(k << 56)).alias("sequence_id"), "members") for k, b in enumerate(emitted)]
     out = numbered[0]
