@@ -302,3 +302,12 @@ def test_packing_ends_with_many_bins_that_cannot_be_combined(spark, monkeypatch,
     for r in got:
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 18 and len(fill) <= len(texts)
+
+
+def test_wrapped_license_statements(spark):
+    bsd = "Copyright (c) 2001\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "# The contents of this file are subject to the terms of the Mozilla Public\n# License, version 2.0. If a copy"
+    far = "Licensed under\n" + "x " * 40 + "\nthe Apache License, Version 2.0"
+    texts = [bsd, mpl, *("w " * k + bsd for k in range(1, 40)), far, bsd.split("\n")[2]]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in o8.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [("bsd", 1.0), ("mpl-2.0", 1.0)] + [("bsd", 1.0)] * 39 + [("", 0.0)] * 2
