@@ -9,7 +9,8 @@
    remaining pairs and long lists is joined at one place, so each set moves once. What has more than BLOCK_TOKENS hashes in all is dealt in
    blocks of about so many by hash and set size; pairs of blocks whose sizes can't link are skipped.
 4. In a block pair, sets follow by size. The first set's overlaps with all others come from the index lists; the next set's are derived
-   from a computed similar set's by the lists of the hashes in which the two differ. Positions out of the size range are skipped. What leaves is a spanning forest of the links and each set's number of links, never the pairs.
+   from the set's just before by the lists of the hashes in which the two differ, if those are few. Lists are counted whole; sets out of the
+   size range are left out of the counts. What leaves is a spanning forest of the links and each set's number of links, never the pairs.
 5. The forests' edges are contracted to components.
 
 A null or empty text, or one without words, has an empty set, links with nothing, and its component is its own doc_id. Repeated rows each
