@@ -311,3 +311,14 @@ def test_wrapped_license_statements(spark):
     texts = [bsd, mpl, *("w " * k + bsd for k in range(1, 40)), far, bsd.split("\n")[2]]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in o8.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [("bsd", 1.0), ("mpl-2.0", 1.0)] + [("bsd", 1.0)] * 39 + [("", 0.0)] * 2
+
+
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, d), (7, d), (9, e), (9, e + " more"), (11, ""), (11, None), (None, a), (12, a)]
+    got = [tuple(x) for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sum(i == 9 for i, _ in got) == 1
+    assert sorted((i, t) for i, t in got if i not in (9, 11, None)) == [(1, a), (5, b), (7, c), (7, d)]
+    assert sum(i == 11 for i, _ in got) == 1 and (None, a) in got and len(got) == 7

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import chunks, read, text_of, written
 from .components import components
@@ -296,8 +297,9 @@ def _join_groups(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("bundle", "left", "right").applyInPandas(run, "a binary, b binary, k long")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, cls of each row of docs (doc_id, text)."""
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS, classes_too: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of each row of docs (doc_id, text); classes_too: also cls and its component's label."""
+    more = ["label"] if classes_too else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sets = written(set_table(rows, words, percent, False), "sets")
     classes = sets.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("mult"))
@@ -323,22 +325,39 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").join(number.withColumnRenamed("a", "cls"), "cls", "left")
     named = named.select("cls", "n", "first", "mult", F.coalesce("label", "cls").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = written(named.join(least, "label").select("cls", "n", "component_id", (F.col("links") + F.col("mult") - 1).alias("n_links")).where("n > 0"), "named")
+    named = written(named.join(least, "label").select("cls", "n", "component_id", (F.col("links") + F.col("mult") - 1).alias("n_links"), *more).where("n > 0"), "named")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named.drop("n"), "cls", "left")
     empty = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), *(["cls"] if more else []), *more)
+
+
+def _with_class(docs: DataFrame, words: int) -> DataFrame:
+    """docs with the class of each text as _op5_cls."""
+    at, names = docs.columns.index("text"), [*docs.columns, "_op5_cls"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, at):
+            sets = shingle_sets([t or "" for t in batch.column(at).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(s) for s in sets], pa.binary())], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_op5_cls", BinaryType())]))
 
 
 def one_of_each(docs: DataFrame, words: int, percent: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows with one doc_id the first stays.
+    """docs without the rows whose text's component has a smaller doc_id; of rows with one doc_id and text class the first stays.
 
-    Rows with a null doc_id can't be told apart and stay.
+    If a component's least doc_id has several of its texts, one of them stays. Rows with a null doc_id can't be told apart and stay.
     """
-    found = written(jaccard_components(docs, words, percent, broadcast_ids).select("doc_id", "component_id"), "groups")
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(lost) if lost.count() <= broadcast_ids else lost, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null")) if again else kept
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    found = written(jaccard_components(docs, words, percent, broadcast_ids, bool(again)).select("doc_id", "component_id", *(["cls", "label"] if again else [])), "groups")
+    if not again:
+        lost = found.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(F.broadcast(lost) if lost.count() <= broadcast_ids else lost, "doc_id", "left_anti").select(*docs.columns)
+    known = found.where("doc_id is not null and label is not null")
+    first = known.groupBy("label").agg(F.min(F.struct("doc_id", "cls")).alias("first"))
+    lost = written(known.join(first, "label").where(F.struct("doc_id", "cls") != F.col("first")).select("doc_id", F.col("cls").alias("_op5_cls")).distinct(), "lost")
+    kept = _with_class(docs, words).join(bounded(lost, broadcast_ids), ["doc_id", "_op5_cls"], "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "_op5_cls"]).union(kept.where("doc_id is null")).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
