@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from tracequarry.llm import op1_quality_crf as o1
@@ -134,9 +135,29 @@ def test_jaccard_against_brute_force(spark):
 
 
 def test_jaccard_beyond_a_bundle(spark, monkeypatch):
-    monkeypatch.setattr(o5, "BLOCK_TOKENS", 400)
-    monkeypatch.setattr(o5, "SHORT", 3)
-    test_jaccard_against_brute_force(spark)
+    for tokens, sets in ((400, 2000), (1_000_000, 3)):
+        monkeypatch.setattr(o5, "BLOCK_TOKENS", tokens)
+        monkeypatch.setattr(o5, "BLOCK_SETS", sets)
+        monkeypatch.setattr(o5, "SHORT", 3)
+        monkeypatch.setattr(o5, "KEPT_COUNTS", 50)
+        test_jaccard_against_brute_force(spark)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_within_a_group(percent):
+    r = np.random.default_rng(percent)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 30))) for _ in range(40)]
+    for _ in range(400):  # chains of near copies, so that most overlaps are derived
+        s = sets[r.integers(len(sets))]
+        sets.append(np.unique(np.append(s[r.random(len(s)) > 0.04], r.integers(0, 60, r.integers(0, 2)))))
+    sets = sorted({tuple(s) for s in sets if len(s)}, key=lambda s: (len(s), s))
+    left = r.random(len(sets)) < 0.5
+    for same in (True, False):
+        edges, found = o5.links_of_group(np.array(list(map(len, sets))), [np.array(s) for s in sets], left, same, percent)
+        got = {(i, int(j)) for i, hit in found for j in hit}
+        want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if (same or left[i] != left[j]) and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})}
+        assert got == want and len(want) > 100
+        assert set(map(tuple, map(sorted, edges))) <= want
 
 
 def test_products_with_ties_and_odd_vectors(spark):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the same for all nodes of a component) for every node of edges (a, b).
+    """A written table of node, label (the same for all nodes of a component) for every node of edges (a, b).
 
     Each round maps a node to the least of itself and its neighbours and keeps the edges between different images. Node names should be
     hashes, so that chains shrink by a constant factor a round on average.
@@ -21,11 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels"))
         a, b = (maps[-1].select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab")
         moved = e.join(a, "a").join(b, "b").select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b"))
-        e = written(moved.where("a <> b").distinct(), "edges")
-    if not maps:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labels = maps[0]
+        after = written(moved.where("a <> b").distinct(), "edges")
+        discard(e)
+        e = after
+    labels = maps[0] if maps else e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     for step in maps[1:]:
         step = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return labels
+    out = written(labels, "components")
+    discard(e, *maps)
+    return out

@@ -3,14 +3,16 @@
 1. Texts become sets of 64-bit shingle hashes; equal sets are one class (known by a 128-bit digest), so exact copies cost nothing more.
 2. Extended prefix filter: of two linked sets, the prefixes of n - ceil(t n) + l hashes share at least l. Counting the prefixes' hashes
    leaves the classes with enough hashes that another class has too; only their whole sets are made again, from their texts.
-   The count is repeated among what was left, which drops those that shared with dropped ones only.
-3. Their prefixes (hashes in more than HOT of them last, by that number) give index lists; lists with the same members are one, weighted. Pairs of short
-   lists (SHORT members at most) are counted, and remain if they share as many prefix hashes as links must. What hangs together by
-   remaining pairs and long lists is joined at one place, so each set moves once. What has more than BLOCK_TOKENS hashes in all is dealt in
-   blocks of about so many by hash and set size; pairs of blocks whose sizes can't link are skipped.
-4. In a block pair, sets follow by size. The first set's overlaps with all others come from the index lists; the next set's are derived
-   from the set's just before by the lists of the hashes in which the two differ, if those are few. Lists are counted whole; sets out of the
-   size range are left out of the counts. What leaves is a spanning forest of the links and each set's number of links, never the pairs.
+3. Their prefixes (hashes in more than HOT of them last, by that number) give index lists; lists with the same members are one, weighted.
+   Pairs of short lists (SHORT members at most) are counted, and remain if these and the long lists of both could make up what links must
+   share. Sets with so many long lists that these alone could do so hang together by them. What hangs together is joined at one place, so
+   each set moves once; beyond BLOCK_TOKENS hashes or BLOCK_SETS sets it is dealt in blocks by set size and hash, and pairs of blocks
+   whose sizes can't link are left out.
+4. In a block pair, index lists hold a prefix's hashes in order of set size, then position. A list's entries of one size are a block: the
+   search of a set skips blocks whose size rules the hash's position out, and the rest of a block from the position on at which what
+   follows in the two sets can't make a link. A set with candidates has its overlaps counted from whole lists; for a set that is highly
+   similar to one so counted they are derived from that one's, by the lists of the hashes in which the two differ. What leaves is a
+   spanning forest of the links and each set's number of links, never the pairs.
 5. The forests' edges are contracted to components.
 
 A null or empty text, or one without words, has an empty set, links with nothing, and its component is its own doc_id. Repeated rows each
@@ -31,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import chunks, read, text_of, written
+from .common import chunks, discard, read, text_of, written
 from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Share of a set's hashes by which the first filter's prefixes are longer than needed.
 EXTRA = 0.05
-BLOCK_TOKENS, HOT, HOT_MOST, SHORT = 3_000_000, 50, 200_000, 32
+BLOCK_TOKENS, BLOCK_SETS, HOT, HOT_MOST, SHORT = 1_000_000, 2000, 50, 200_000, 32
 #: The same for the prefixes that make the index lists.
 LIST_EXTRA = 0.1
 #: Ids that may be broadcast (16 bytes each); beyond, texts are shuffled.
@@ -160,13 +162,11 @@ def bounded(ids: DataFrame, most: int) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def refined(sets: DataFrame, percent: int, broadcast_ids: int, rounds: int = 3) -> DataFrame:
-    """Keys of the candidate classes after further rounds among themselves."""
-    own = written(sets.where("n > 0").select("cls", "n", "tokens").dropDuplicates(["cls"]), "prefixes")
-    keys = written(candidate_classes(own, percent), "candidates")
-    for _ in range(rounds - 1):
-        keys = written(candidate_classes(own.withColumn("key", key_of()).join(bounded(keys, broadcast_ids), "key", "left_semi"), percent), "candidates")
-    return keys
+def one_of_class(sets: DataFrame, classes: DataFrame, broadcast_ids: int) -> DataFrame:
+    """cls, n, tokens of every class with hashes; only rows of classes with copies move."""
+    keyed = sets.where("n > 0").select("cls", "n", "tokens", key_of().alias("key"))
+    copied = bounded(classes.where("mult > 1").select(key_of().alias("key")), broadcast_ids)
+    return keyed.join(copied, "key", "left_anti").union(keyed.join(copied, "key", "left_semi").dropDuplicates(["cls"])).select("cls", "n", "tokens")
 
 
 def index_lists(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -175,71 +175,131 @@ def index_lists(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     counts = _postings(whole, percent, none, none).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT)
     hot = counts.orderBy(F.desc("k"), "token").limit(HOT_MOST).toPandas().sort_values("token")  # any order will do that is the same for all sets
     postings = written(_postings(whole, percent, hot["token"].to_numpy(np.int64), hot["k"].to_numpy(np.int64)), "postings")
-    lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"))
     lists = lists.where("m > 1").where(f"m > 2 or least * 100 >= most * {percent}")
-    return postings, written(lists.groupBy("s1", "s2", "m").agg(F.min("token").alias("token"), F.max("total").alias("total"), F.count("*").alias("weight")), "lists")
+    return postings, written(lists.groupBy("s1", "s2", "m").agg(F.min("token").alias("token"), F.count("*").alias("weight")), "lists")
 
 
-def short_pairs(postings: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs that share enough prefix hashes by short lists; a list gives SHORT * SHORT / 2 pairs at most."""
+def least_shared(n):
+    """How many prefix hashes links of a set of n hashes, the smaller one, share."""
+    return F.greatest(F.lit(1), F.floor(n * F.lit(LIST_EXTRA) - F.lit(1e-6)))
+
+
+def short_pairs(postings: DataFrame, lists: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs that can share enough prefix hashes, one at least by short lists; such a list gives SHORT * SHORT / 2 pairs at most.
+
+    long: cls, n_long, how many hashes of long lists a set has; a pair shares no more of them than either has.
+    """
     rows = postings.join(lists.where(F.col("m") <= SHORT).select("token", "weight"), "token")
-    groups = rows.groupBy("token", "weight").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("g"))
+    groups = rows.groupBy("token", "weight").agg(F.array_sort(F.collect_list(F.struct("n", "cls"))).alias("g"))
     each = groups.select("weight", "g", F.posexplode("g").alias("i", "x")).select("weight", "x", F.explode(F.slice(F.col("g"), F.col("i") + 2, F.lit(SHORT))).alias("y"))
-    each = each.where((F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
-    shared = each.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.n", "y.n").alias("n")).agg(F.sum("weight").alias("k"))
-    return shared.where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(LIST_EXTRA) - F.lit(1e-6)))).select("a", "b")
+    each = each.where(F.col("x.n") * 100 >= F.col("y.n") * percent)
+    shared = each.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n")).agg(F.sum("weight").alias("k"))
+    of = lambda c: long.select(F.col("cls").alias(c), F.col("n_long").alias(f"long_{c}"))
+    more = F.coalesce(F.least(*(F.coalesce(f"long_{c}", F.lit(0)) for c in "ab")), F.lit(0))
+    return shared.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("k") + more >= least_shared(F.col("n"))).select("a", "b")
 
 
-def bundled(pairs: DataFrame, long: DataFrame, sizes: DataFrame) -> DataFrame:
-    """cls, bundle, k: what hangs together by pairs (a, b) and long lists (cls, list), and the blocks it takes."""
-    leader = long.groupBy("list").agg(F.min("cls").alias("b"))
-    edges = pairs.union(long.join(leader, "list").select(F.col("cls").alias("a"), "b"))
-    place = written(components(edges).select(F.col("node").alias("cls"), F.col("label").alias("bundle")), "places")
-    total = place.join(sizes, "cls").groupBy("bundle").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("k"))
-    return place.join(total, "bundle").select("cls", "bundle", "k")
+def long_edges(members: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """a, b: from each set whose long lists alone could make a link to the least such set of each of its lists; members: cls, token."""
+    able = long.where(F.col("n_long") >= least_shared(F.ceil(F.col("n") * percent / 100))).select("cls")
+    rows = members.join(able, "cls", "left_semi")
+    least = rows.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("m")).where("m > 1")
+    return rows.join(least, "token").select(F.col("cls").alias("a"), "b")
 
 
-def dealt(bundles: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """bundle, left, right, block, cls: the block pairs to which each set of a bundle goes; a bundle of one block is one pair.
+def dealt(places: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """bundle, left, right, block, cls: the block pairs to which each set of places (cls, bundle) goes; a small bundle is one pair.
 
-    A size class spans a little more than linked sets can differ by, so links are within a class or between two in a row.
+    A size class spans a little more than linked sets can differ by, so links are within a class or between two in a row. Each class of a
+    large bundle has as many blocks as it needs; a set meets those of its own class and of the two beside it.
     """
-    rows = bundles.join(sizes, "cls")
-    r, c = F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"), F.floor(F.log(F.col("n").cast("double")) / -math.log((percent - 1) / 100)).cast("int")
-    rows = rows.withColumns({"r": r, "c": c})
-    block = lambda c, r: F.struct(c.alias("c"), r.cast("int").alias("r"))
-    own = block(F.col("c"), F.col("r"))
-    others = F.sequence(F.lit(0), F.col("k") - 1)
+    rows = places.join(sizes, "cls")
+    total = rows.groupBy("bundle").agg(F.sum("n").alias("tokens"), F.count("*").alias("m"))
+    whole = (F.col("tokens") <= BLOCK_TOKENS) & (F.col("m") <= BLOCK_SETS)
+    rows = rows.join(total.select("bundle", whole.alias("whole")), "bundle")
+    c = F.when(F.col("whole"), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / -math.log((percent - 1) / 100)).cast("int"))
+    small, large = rows.where("whole"), rows.where("not whole").withColumn("c", c)
+    block = lambda c, r: F.struct(c.cast("int").alias("c"), r.cast("int").alias("r"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("left"), F.greatest(a, b).alias("right"))
-    near = F.flatten(F.array(*(_near(others, own, pair, block, d) for d in (-1, 0, 1))))
+    count = large.groupBy("bundle", "c").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("k"))
+    count = written(count, "blocks")
+    for d in (-1, 0, 1):
+        large = large.join(count.select("bundle", (F.col("c") - d).alias("c"), F.col("k").alias(f"k{d + 1}")), ["bundle", "c"], "left")
+    own = block(F.col("c"), F.pmod(F.xxhash64("cls"), F.col("k1")))
+    near = F.flatten(F.array(*(_near(F.col("c"), F.col(f"k{d + 1}"), own, pair, block, d) for d in (-1, 0, 1))))
+    large = large.select("bundle", "cls", own.alias("block"), F.explode(near).alias("pair")).select("bundle", "pair.left", "pair.right", "block", "cls")
     one = block(F.lit(0), F.lit(0))
-    rows = rows.withColumn("block", F.when(F.col("k") == 1, one).otherwise(own))
-    return rows.withColumn("pair", F.explode(F.when(F.col("k") == 1, F.array(F.struct(one.alias("left"), one.alias("right")))).otherwise(near))).select("bundle", "pair.left", "pair.right", "block", "cls")
+    return small.select("bundle", one.alias("left"), one.alias("right"), one.alias("block"), "cls").union(large)
+
+
+def _near(c, k, own, pair, block, d: int):
+    there = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(there, lambda x: pair(own, block(c + d, x)))
 
 
-def _near(others, own, pair, block, d: int):
-    return F.transform(others, lambda x: pair(own, block(F.col("c") + d, x)))
+def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0], ..., end[0] - 1, start[1], ..."""
+    n = np.maximum(end - start, 0)
+    upto = np.cumsum(n)
+    return np.repeat(start - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
 class Index:
-    """Which sets have which items, as lists of set numbers; sets are numbered by size."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        size = [len(s) for s in sets]
-        _, item = np.unique(np.concatenate(sets), return_inverse=True)
-        self.own = np.split(item, np.cumsum(size)[:-1])
-        who = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(item, kind="stable")
-        self.who = who[order]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(item))])
-        self.m = len(sets)
-
-    def counts(self, items: np.ndarray) -> np.ndarray:
-        """Of each set: in how many of the items' lists it is."""
-        a, n = self.at[items], self.at[items + 1] - self.at[items]
-        upto = np.cumsum(n)
-        total = int(upto[-1]) if len(upto) else 0
-        return np.bincount(self.who[np.repeat(a - (upto - n), n) + np.arange(total)], minlength=self.m)
+    """Index lists of sets that are numbered by size.
+
+    Whole lists hold the numbers of the sets with an item, in order. Prefix lists hold an item's entries (set, position) of the prefixes, by
+    set size and position; entries of one item and size are a block. Items are in order of frequency, rare ones first.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.size = size = np.array([len(s) for s in sets])
+        self.percent = percent
+        _, item, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        self.own = [np.sort(x) for x in np.split(rank[item], np.cumsum(size)[:-1])]
+        item, who = np.concatenate(self.own), np.repeat(np.arange(len(sets)), size)
+        self.who = who[np.argsort(item, kind="stable")]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=len(often)))])
+        self.place = np.sort(item.astype(np.int64) * len(sets) + who)
+        self.prefix = size + percent * size // -100 + 1  # n - ceil(t n) + 1
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = spans(first, first + self.prefix)
+        item, who, position = item[at], who[at], at - first[who[at]]
+        order = np.lexsort((position, size[who], item))
+        item, self.entry, self.position = item[order], who[order], position[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(item) != 0) | (np.diff(size[self.entry]) != 0)]))
+        self.block, self.block_size = np.append(new, len(item)), size[self.entry[new]]
+        self.blocks_of = np.searchsorted(item[new], np.arange(len(often) + 1))
+        self.longest = int(size.max()) + 1
+        self.key = np.repeat(np.arange(len(new)), np.diff(self.block)) * self.longest + self.position
+
+    def overlap(self, n: int, m: np.ndarray) -> np.ndarray:
+        """The least overlap of linked sets of sizes n and m."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+    def candidates(self, i: int) -> np.ndarray:
+        """The sets, of size n or more, that the prefix lists leave for set i: the others' blocks, or their ends, are skipped."""
+        n, items = self.size[i], self.own[i][: self.prefix[i]]
+        b = spans(self.blocks_of[items], self.blocks_of[items + 1])
+        at = np.repeat(np.arange(len(items)), self.blocks_of[items + 1] - self.blocks_of[items])
+        m = self.block_size[b]
+        least = self.overlap(n, m)
+        open_ = (m >= n) & (m * self.percent <= 100 * n) & (at <= n - least)
+        b, m, least = b[open_], m[open_], least[open_]
+        end = np.searchsorted(self.key, b * self.longest + (m - least), side="right")
+        return np.unique(self.entry[spans(self.block[b], np.minimum(end, self.block[b + 1]))])
+
+    def counts(self, items: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Of each set from low to high - 1: in how many of the items' whole lists it is; the lists' other parts are skipped."""
+        base = items.astype(np.int64) * len(self.own)
+        found = self.who[spans(np.searchsorted(self.place, base + low), np.searchsorted(self.place, base + high))]
+        return np.bincount(found - low, minlength=high - low)
+
+
+#: Counted overlaps that a group keeps for others to be derived from; of older ones, sets are counted anew.
+KEPT_COUNTS = 16_000_000
 
 
 def links_of_group(n: np.ndarray, tokens: list[np.ndarray], left: np.ndarray, same: bool, percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, np.ndarray]]]:
@@ -247,27 +307,36 @@ def links_of_group(n: np.ndarray, tokens: list[np.ndarray], left: np.ndarray, sa
 
     left: whether a set is in the left block; same: the blocks are one. Sets are given by size.
     """
-    index = Index(tokens)
+    index = Index(tokens, percent)
     component = np.arange(len(n))
     high = np.searchsorted(n * percent, n * 100, side="right")  # sets up to here are small enough to link
     edges, found = [], []
-    last, overlap = -1, None
+    kept: dict[int, np.ndarray] = {}
+    closest, shared = np.full(len(n), -1), np.zeros(len(n), np.int64)  # of the counted sets, the one a set shares most with, and how much
     for i in range(len(n)):
-        window = np.zeros(len(n), bool)
-        window[i + 1 : high[i]] = True
-        if not same:
-            window &= left != left[i]
-        if not window.any():
+        low, to = i + 1, int(high[i])
+        own, near = index.own[i], int(closest[i])
+        apart = len(own) + int(n[near]) - 2 * int(shared[i]) if near in kept else 0
+        derived = near in kept and 2 * apart < len(own) and near + 1 + len(kept[near]) >= to
+        if to <= low or not derived and not (index.candidates(i) > i).any():
             continue
-        own = index.own[i]
-        derived = False
-        if last >= 0:
-            was = index.own[last]
-            gone, new = np.setdiff1d(was, own, assume_unique=True), np.setdiff1d(own, was, assume_unique=True)
-            derived = 2 * (len(gone) + len(new)) < len(own)
-        overlap = overlap - index.counts(gone) + index.counts(new) if derived else index.counts(own)
-        last = i
-        hit = np.flatnonzero(window & (100 * overlap >= percent * (n + n[i] - overlap)))
+        if derived:
+            was = index.own[near]
+            overlap = kept[near][low - near - 1 : to - near - 1] - index.counts(np.setdiff1d(was, own, assume_unique=True), low, to) + index.counts(np.setdiff1d(own, was, assume_unique=True), low, to)
+        else:
+            wide = int(high[to - 1])  # so that sets linked to this one can be derived
+            overlap = index.counts(own, low, wide)
+            kept[i] = overlap
+            while len(kept) > 1 and sum(map(len, kept.values())) > KEPT_COUNTS:
+                del kept[next(iter(kept))]
+            closer = np.flatnonzero(overlap > shared[low:wide]) + low
+            closest[closer], shared[closer] = i, overlap[closer - low]
+            overlap = overlap[: to - low]
+        m = n[low:to]
+        hit = 100 * overlap >= percent * (m + n[i] - overlap)
+        if not same:
+            hit &= left[low:to] != left[i]
+        hit = np.flatnonzero(hit) + low
         if len(hit):
             found.append((i, hit))
             for other in np.unique(component[hit]).tolist():
@@ -302,31 +371,37 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     more = ["label"] if classes_too else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sets = written(set_table(rows, words, percent, False), "sets")
-    classes = sets.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("mult"))
-    keys = refined(sets, percent, broadcast_ids)
-    chosen = sets.select("doc_id", "cls", key_of().alias("key")).join(bounded(keys, broadcast_ids), "key", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = written(chosen, "chosen")
+    named_rows = written(sets.select("doc_id", "n", "cls"), "rows")
+    classes = written(named_rows.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("mult")), "classes")
+    keys = written(candidate_classes(one_of_class(sets, classes, broadcast_ids), percent), "candidates")
+    chosen = written(classes.withColumn("key", key_of()).join(bounded(keys, broadcast_ids), "key", "left_semi").select("cls", F.col("first").alias("doc_id")), "chosen")
+    discard(sets, keys)
     n_chosen = chosen.count()
     ids = chosen.select("doc_id").distinct()
     again = rows.alias("r").join((F.broadcast(ids) if n_chosen <= broadcast_ids else ids).alias("i"), F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
     same = F.col("w.cls").eqNullSafe(F.col("c.cls")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id"))
     whole = written(set_table(again, words, percent, True).alias("w").join(chosen.alias("c"), same, "left_semi").select("cls", "n", "tokens"), "whole-sets")
     if whole.count() > n_chosen:  # repeated rows of one id and text
-        whole = written(whole.dropDuplicates(["cls"]), "whole-sets")
+        repeated, whole = whole, written(whole.dropDuplicates(["cls"]), "whole-sets")
+        discard(repeated)
     sizes = whole.select("cls", "n")
     postings, lists = index_lists(whole, percent)
-    near = written(short_pairs(postings, lists, percent), "pairs")
-    long = written(postings.join(lists.where(F.col("m") > SHORT).select("token"), "token").select("cls", F.col("token").alias("list")), "long-lists")
-    bundles = written(bundled(near, long, sizes), "bundles")
+    members = written(postings.join(lists.where(F.col("m") > SHORT).select("token", "weight"), "token").select("cls", "n", "token", "weight"), "long-lists")
+    long = written(members.groupBy("cls", "n").agg(F.sum("weight").alias("n_long")), "long")
+    label = components(short_pairs(postings, lists, long, percent).union(long_edges(members, long, percent)))
+    places = written(label.select(F.col("node").alias("cls"), F.col("label").alias("bundle")), "places")
+    discard(chosen, postings, lists, members, long, label)
     full = whole.join(classes.select("cls", "mult"), "cls").select("cls", "mult", "tokens")
-    links = written(_join_groups(dealt(bundles, sizes, percent).join(full, "cls"), percent), "links")
+    links = written(_join_groups(dealt(places, sizes, percent).join(full, "cls"), percent), "links")
+    discard(whole, places)
     label = components(links.where("b is not null"))
     number = links.where("b is null").groupBy("a").agg(F.sum("k").alias("links"))
     named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").join(number.withColumnRenamed("a", "cls"), "cls", "left")
     named = named.select("cls", "n", "first", "mult", F.coalesce("label", "cls").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = written(named.join(least, "label").select("cls", "n", "component_id", (F.col("links") + F.col("mult") - 1).alias("n_links"), *more).where("n > 0"), "named")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named.drop("n"), "cls", "left")
+    discard(links, classes, label)
+    out = named_rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named.drop("n"), "cls", "left")
     empty = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), *(["cls"] if more else []), *more)
 
