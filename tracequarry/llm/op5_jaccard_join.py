@@ -374,13 +374,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named_rows = written(sets.select("doc_id", "n", "cls"), "rows")
     classes = written(named_rows.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("mult")), "classes")
     keys = written(candidate_classes(one_of_class(sets, classes, broadcast_ids), percent), "candidates")
-    chosen = written(classes.withColumn("key", key_of()).join(bounded(keys, broadcast_ids), "key", "left_semi").select("cls", F.col("first").alias("doc_id")), "chosen")
+    chosen = written(classes.withColumn("key", key_of()).join(bounded(keys, broadcast_ids), "key", "left_semi").select("cls", F.col("first").alias("doc_id"), "mult"), "chosen")
     discard(sets, keys)
     n_chosen = chosen.count()
     ids = chosen.select("doc_id").distinct()
     again = rows.alias("r").join((F.broadcast(ids) if n_chosen <= broadcast_ids else ids).alias("i"), F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
     same = F.col("w.cls").eqNullSafe(F.col("c.cls")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id"))
-    whole = written(set_table(again, words, percent, True).alias("w").join(chosen.alias("c"), same, "left_semi").select("cls", "n", "tokens"), "whole-sets")
+    whole = written(set_table(again, words, percent, True).alias("w").join((F.broadcast(chosen) if n_chosen <= broadcast_ids else chosen).alias("c"), same).select("w.cls", "n", "mult", "tokens"), "whole-sets")
     if whole.count() > n_chosen:  # repeated rows of one id and text
         repeated, whole = whole, written(whole.dropDuplicates(["cls"]), "whole-sets")
         discard(repeated)
@@ -391,9 +391,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     label = components(short_pairs(postings, lists, long, percent).union(long_edges(members, long, percent)))
     places = written(label.select(F.col("node").alias("cls"), F.col("label").alias("bundle")), "places")
     discard(chosen, postings, lists, members, long, label)
-    full = whole.join(classes.select("cls", "mult"), "cls").select("cls", "mult", "tokens")
-    links = written(_join_groups(dealt(places, sizes, percent).join(full, "cls"), percent), "links")
-    discard(whole, places)
+    parts = written(dealt(places, sizes, percent), "dealt")
+    links = written(_join_groups(whole.select("cls", "mult", "tokens").join(bounded(parts, broadcast_ids // 4), "cls"), percent), "links")
+    discard(whole, places, parts)
     label = components(links.where("b is not null"))
     number = links.where("b is null").groupBy("a").agg(F.sum("k").alias("links"))
     named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").join(number.withColumnRenamed("a", "cls"), "cls", "left")
