@@ -1,8 +1,12 @@
 """The corpus pipeline: quality classifier, quality rules, near-duplicate groups, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs. All but
-the last return the columns of documents. ORACLE_SQL is None: neither the classifier nor packing can be put in SQL; tests compare the
-stages with plain versions.
+the last return the columns of documents. ORACLE_SQL is None: neither the classifier nor packing can be put in SQL; tests run every stage
+on odd rows and compare the operators with plain versions.
+
+In every stage a null text counts as empty: the classifier scores it, the rules reject it. Repeated rows and ids are each judged; of rows
+with one id and text the near-duplicate stage keeps one, null ids can't be told apart there and stay. Very long texts are taken whole.
+Other columns travel along untouched, whatever their names; only the secret scan changes text and n_chars. Empty tables give empty ones.
 """
 
 from __future__ import annotations
