@@ -1,7 +1,7 @@
 """Quality rules: a threshold table compiled into Spark projections over built-in functions only.
 
-Nulls and empty texts have no words and are not kept. Repeated rows each get their row, null ids stay null. Intermediate columns carry
-a prefix of their own and only the id and the text are read, so no other column can clash. An empty table gives an empty result.
+Nulls and empty texts have no words and are not kept. Repeated rows each get their row, null ids stay null. Other columns travel
+in one struct beside the intermediate columns, so none can clash. An empty table gives an empty result.
 Repeated windows are found by sorting each text's window hashes, so a very long text costs n log n and no shuffle.
 """
 
@@ -25,7 +25,6 @@ STOP_WORDS = sorted(
 #: (rule, metric, comparison that must hold, threshold). Ratios of an empty whole are 0.
 RULES: list[tuple[str, str, str, float]] = [
     ("few words", "n_words", ">=", 50),
-    ("many words", "n_words", "<=", 10_000_000),
     ("short words", "mean_word", ">=", 2.0),
     ("long words", "mean_word", "<=", 14.0),
     ("symbols", "symbol_ratio", "<=", 0.05),
@@ -50,9 +49,9 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the columns _q_*: words, windows and the counts the rules use."""
+    """_q_row, a struct of the columns of docs, with the columns _q_*: words, windows and the counts the rules use."""
     text = F.col("_q_text")
-    rows = docs.withColumn("_q_text", text_of(text_col))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_q_row"), text_of(f"`{text_col}`").alias("_q_text"))
     rows = rows.withColumns({"_q_words": F.array_remove(F.split(text, BLANK), ""), "_q_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     words = F.col("_q_words")
     n = F.size(words)
@@ -101,7 +100,7 @@ def apply_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULE
     """doc_id, the counts, base_failed, kept of each row."""
     rows = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return rows.select(
-        "doc_id",
+        "_q_row.doc_id",
         *(F.col(f"_q_{name}").alias(out) for name, out in (("n_words", "n_words"), ("word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("n_dup_lines", "n_dup_lines"), ("n_repeat", "n_repeat_words"))),
         base_failed().alias("base_failed"),
         verdict(rules).alias("kept"),
@@ -110,7 +109,7 @@ def apply_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULE
 
 def kept_only(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, with their columns."""
-    return measured(docs, text_col).withColumn("_q_kept", verdict(rules)).where("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return measured(docs, text_col).withColumn("_q_kept", verdict(rules)).where("_q_kept").select("_q_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +138,7 @@ with t as (
     from t left join r on r.doc_id = t.doc_id
 ), b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and n_words <= 10000000 and word_chars >= 2e0 * n_words and word_chars <= 14e0 * n_words and n_symbols <= 0.05e0 * word_chars
+       not base_failed and word_chars >= 2e0 * n_words and word_chars <= 14e0 * n_words and n_symbols <= 0.05e0 * word_chars
        and stops >= 0.01e0 * n_words and n_dup_lines <= 0.5e0 * lines and upper <= 0.5e0 * word_chars as kept
 from b
 """
