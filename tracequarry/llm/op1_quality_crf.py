@@ -3,8 +3,8 @@
 Every line is good or bad; its features are its own and its neighbours'. Forward-backward gives each line's marginal, the marginals
 weighted by line length give the document's quality, and a logistic scale fitted on the training documents makes it a score.
 
-The field is trained on the driver from a bounded sample: at most TRAIN_DOCS labelled rows (those of least hash) whose texts have at most
-TRAIN_LINES lines. Only rows whose crc32(doc_id as text) mod 5 is not 0 are used; a document's label stands for each of its lines. Without
+The field is trained on the driver from a bounded sample: at most TRAIN_DOCS labelled ids (those of least hash), of each the least text, if
+it has at most TRAIN_LINES lines, in the order of the hashes while they have TRAIN_ALL_LINES lines together. Only rows whose crc32(doc_id as text) mod 5 is not 0 are used; a document's label stands for each of its lines. Without
 a row of either label the score is 0.5 throughout. Scoring needs no shuffle.
 
 Nulls and empty texts are one empty line. Repeated rows each get their row; of different labels of one id the largest counts; null ids stay
@@ -18,12 +18,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, read, text_of
 
-TRAIN_DOCS, TRAIN_LINES, SEGMENT = 4000, 2000, 64
+TRAIN_DOCS, TRAIN_LINES, TRAIN_ALL_LINES, SEGMENT = 4000, 2000, 400_000, 64
 CUT = 0.3
 #: Classes of bytes that are counted in each line.
 CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&<>@^~=+_\\/{}[]", "pipe": b"|", "bang": b"!?", "stop": b".,;:", "blank": b" \t\r\x0b\x0c", "wide": bytes(range(128, 256))}
@@ -174,17 +174,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_label"))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_label")).withColumn("doc_id", F.col("doc_id").cast("long"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").where(F.size(F.split("text", "\n")) <= TRAIN_LINES).select("_label", "text")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    rows = rows.where(F.size(F.split("text", "\n")) <= TRAIN_LINES).select("_label", "text", F.xxhash64("doc_id").alias("_hash"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             own, length, lines_of = line_features(batch.column(1).to_pylist())
             cut = np.cumsum(lines_of)[:-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() for a in np.split(own, cut)]), pa.array([a.astype(np.int64).tobytes() for a in np.split(length, cut)])], ["label", "own", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() for a in np.split(own, cut)]), pa.array([a.astype(np.int64).tobytes() for a in np.split(length, cut)]), pa.array(lines_of), batch.column(2), batch.column(3)], ["label", "own", "length", "lines", "hash", "doc_id"])
 
-    got = sorted((bytes(r["own"]), bytes(r["length"]), r["label"]) for r in rows.mapInArrow(run, "label int, own binary, length binary").collect())
+    rows = rows.mapInArrow(run, "label int, own binary, length binary, lines long, hash long, doc_id long")
+    upto = F.sum("lines").over(Window.orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # one task, of TRAIN_DOCS rows at most
+    got = sorted((bytes(r["own"]), bytes(r["length"]), r["label"]) for r in rows.withColumn("upto", upto).where(F.col("upto") <= TRAIN_ALL_LINES).select("own", "length", "label").collect())
     if not got:
         return Field()
     length = [np.frombuffer(b, np.int64) for _, b, _ in got]
