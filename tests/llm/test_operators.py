@@ -234,8 +234,9 @@ def test_native_queries_like_sql(spark, docs, query):
 
 def test_kept_rows_agree(spark, docs):
     kept = o10.apply_rules(docs).where("kept").count()
-    assert o10.kept_only(docs).count() == kept
-    assert o10.kept_only(docs).columns == docs.columns
+    got = o10.kept_only(docs)
+    assert got.schema == docs.schema and got.count() == kept > 0
+    assert got.exceptAll(docs).count() == 0
 
 
 def test_quality_learns(spark):
@@ -343,3 +344,90 @@ def test_near_duplicate_stage_with_repeated_ids(spark):
     assert sum(i == 9 for i, _ in got) == 1
     assert sorted((i, t) for i, t in got if i not in (9, 11, None)) == [(1, a), (5, b), (7, c), (7, d)]
     assert sum(i == 11 for i, _ in got) == 1 and (None, a) in got and len(got) == 7
+
+
+def test_marginals_against_enumeration():
+    import itertools
+
+    r = np.random.default_rng(4)
+    model = o1.Field(r.normal(size=o1.FEATURES), r.normal(size=(2, 2)))
+    texts = ["one\ntwo words\n\nMORE $$$", "", "single", "a\nb\nb\nb\nc 1"]
+    own, _, lines_of = o1.line_features(texts)
+    odds = o1.with_neighbours(own, lines_of) @ model.weights
+    want, at = [], 0
+    for n in lines_of.tolist():
+        weight, good = 0.0, np.zeros(n)
+        for labels in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(odds[at + k] * y for k, y in enumerate(labels)) + sum(model.moves[a, b] for a, b in itertools.pairwise(labels)))
+            weight, good = weight + w, good + w * np.array(labels)
+        want += (good / weight).tolist()
+        at += n
+    assert np.allclose(model.marginals(own, lines_of), want, atol=1e-9)
+
+
+def test_training_sample_is_bounded_in_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 30, f"line {i}\nof $$$" if i % 2 else "Good line of text.\nAnd more.") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(30)], LABELS)
+    seen = []
+    monkeypatch.setattr(o1.Field, "fit", lambda self, own, length, lines_of, y: seen.append((len(own), len(y))) or self)
+    o1.train(docs, labels)
+    monkeypatch.setattr(o1, "TRAIN_ALL_LINES", 11)
+    o1.train(docs, labels)
+    assert seen[0][1] <= 30 and seen[0][0] == 2 * seen[0][1] and seen[1] == (10, 5)
+
+
+def test_best_fit_near_the_optimum():
+    def least(sizes, room):
+        if not sizes:
+            return len(room)
+        best = least(sizes[1:], [*room, 20 - sizes[0]])
+        for k, free in enumerate(room):
+            if free >= sizes[0]:
+                best = min(best, least(sizes[1:], [*room[:k], free - sizes[0], *room[k + 1 :]]))
+        return best
+
+    r = random.Random(6)
+    for _ in range(60):
+        sizes = [r.randrange(1, 21) for _ in range(7)]
+        bins = o6.best_fit(sizes, 20)
+        assert sorted(i for b in bins for i in b) == list(range(7)) and all(sum(sizes[i] for i in b) <= 20 for b in bins)
+        assert len(bins) <= 11 / 9 * least(sorted(sizes, reverse=True), []) + 6 / 9
+
+
+def test_weak_secrets_against_all_pairs():
+    r = random.Random(8)
+    bits = ["client_id=worker77", "https://h.example/x", "Zk3pQ9xLm2Rt7vWb8YcD", "AKIA" + "Q" * 16, "plain words", "db.local:5432", "\n", "\n\n", "password: hunter2hunter2", " " * 150]
+    linked = 0
+    for _ in range(1500):
+        text = " ".join(r.choices(bits, k=r.randrange(1, 9)))
+        strong = o3.base_spans(text)
+        weak = o3.weak_spans(text, strong)
+        breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+        want = []
+        for a, k, b in weak:
+            low = max([a - 240, *[x for x in breaks if x < a]])
+            high = min([b + 240, len(text), *[x for x in breaks if x >= a]])
+            near = {o3.ROLE[o3.KINDS[q]] for c, q, d in strong + weak if (c, q, d) != (a, k, b) and c < high and d > low}
+            if near.issuperset(o3.NEEDS[o3.KINDS[k]]):
+                want.append((a, k, b))
+        assert o3.linked(text, strong, weak) == want
+        linked += len(want)
+    assert linked > 300
+
+
+def test_odd_rows_through_the_pipeline(spark, docs, monkeypatch, tmp_path):
+    """Each stage keeps columns, nulls, repeats and long texts whole; stages are compared with their operators' plain results."""
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([(i, int(i % 2), 0) for i in range(1, 60)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name != "secret_scan":
+            assert out.exceptAll(docs).count() == 0, name
+        else:
+            assert out.count() == docs.count()
+    monkeypatch.setattr(pipeline, "read", lambda spark, sf, table: docs if table == "documents" else spark.read.parquet(f"{sf}/{table}.parquet"))
+    packed = pipeline.run(spark, str(tmp_path))
+    assert packed.columns[:3] == ["doc_id", "piece", "start"] and packed.count() > 0

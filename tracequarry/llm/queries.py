@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import op1_quality_crf, op2_token_counts, op3_secret_scan, op4_ball_tree, op5_jaccard_join, op6_packing, op7_pii, op8_license_scan, op9_bpe_sql, op10_quality_rules
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan.op8_license_scan,
     "op9_bpe_sql": op9_bpe_sql.op9_bpe_sql,
     "op10_quality_rules": op10_quality_rules.op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op4_ball_tree": op4_ball_tree.ORACLE, "op8_license_scan": op8_license_scan.ORACLE, "op10_quality_rules": op10_quality_rules.ORACLE}
