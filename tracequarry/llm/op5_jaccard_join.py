@@ -162,11 +162,11 @@ def bounded(ids: DataFrame, most: int) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def one_of_class(sets: DataFrame, classes: DataFrame, broadcast_ids: int) -> DataFrame:
-    """cls, n, tokens of every class with hashes; only rows of classes with copies move."""
-    keyed = sets.where("n > 0").select("cls", "n", "tokens", key_of().alias("key"))
-    copied = bounded(classes.where("mult > 1").select(key_of().alias("key")), broadcast_ids)
-    return keyed.join(copied, "key", "left_anti").union(keyed.join(copied, "key", "left_semi").dropDuplicates(["cls"])).select("cls", "n", "tokens")
+def one_of_class(rows: DataFrame, classes: DataFrame, words: int, percent: int, broadcast_ids: int) -> DataFrame:
+    """cls, n and prefix tokens of every class with hashes, from the text of its first row; nothing is stored, so texts are read per use."""
+    first = bounded(classes.where("mult > 1").select(key_of().alias("key"), "first", F.lit(True).alias("copied")), broadcast_ids)
+    each = set_table(rows, words, percent, False).where("n > 0").withColumn("key", key_of()).join(first, "key", "left")
+    return each.where(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("cls", "n", "tokens")
 
 
 def index_lists(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -190,14 +190,12 @@ def short_pairs(postings: DataFrame, lists: DataFrame, long: DataFrame, percent:
 
     long: cls, n_long, how many hashes of long lists a set has; a pair shares no more of them than either has.
     """
-    rows = postings.join(lists.where(F.col("m") <= SHORT).select("token", "weight"), "token")
-    groups = rows.groupBy("token", "weight").agg(F.array_sort(F.collect_list(F.struct("n", "cls"))).alias("g"))
+    rows = postings.join(lists.where(F.col("m") <= SHORT).select("token", "weight"), "token").join(long.select("cls", "n_long"), "cls", "left").na.fill(0, ["n_long"])
+    groups = rows.groupBy("token", "weight").agg(F.array_sort(F.collect_list(F.struct("n", "cls", "n_long"))).alias("g"))
     each = groups.select("weight", "g", F.posexplode("g").alias("i", "x")).select("weight", "x", F.explode(F.slice(F.col("g"), F.col("i") + 2, F.lit(SHORT))).alias("y"))
     each = each.where(F.col("x.n") * 100 >= F.col("y.n") * percent)
-    shared = each.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n")).agg(F.sum("weight").alias("k"))
-    of = lambda c: long.select(F.col("cls").alias(c), F.col("n_long").alias(f"long_{c}"))
-    more = F.coalesce(F.least(*(F.coalesce(f"long_{c}", F.lit(0)) for c in "ab")), F.lit(0))
-    return shared.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("k") + more >= least_shared(F.col("n"))).select("a", "b")
+    shared = each.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n"), F.least("x.n_long", "y.n_long").alias("more")).agg(F.sum("weight").alias("k"))
+    return shared.where(F.col("k") + F.col("more") >= least_shared(F.col("n"))).select("a", "b")
 
 
 def long_edges(members: DataFrame, long: DataFrame, percent: int) -> DataFrame:
@@ -370,12 +368,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """doc_id, n_shingles, component_id, n_links of each row of docs (doc_id, text); classes_too: also cls and its component's label."""
     more = ["label"] if classes_too else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sets = written(set_table(rows, words, percent, False), "sets")
-    named_rows = written(sets.select("doc_id", "n", "cls"), "rows")
+    named_rows = written(set_table(rows, words, percent, False).select("doc_id", "n", "cls"), "rows")
     classes = written(named_rows.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("mult")), "classes")
-    keys = written(candidate_classes(one_of_class(sets, classes, broadcast_ids), percent), "candidates")
+    keys = written(candidate_classes(one_of_class(rows, classes, words, percent, broadcast_ids), percent), "candidates")
     chosen = written(classes.withColumn("key", key_of()).join(bounded(keys, broadcast_ids), "key", "left_semi").select("cls", F.col("first").alias("doc_id"), "mult"), "chosen")
-    discard(sets, keys)
+    discard(keys)
     n_chosen = chosen.count()
     ids = chosen.select("doc_id").distinct()
     again = rows.alias("r").join((F.broadcast(ids) if n_chosen <= broadcast_ids else ids).alias("i"), F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
