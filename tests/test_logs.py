@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
+from tracequarry.functions import profiles
 from tracequarry.functions.profiles import EDA, GENERIC, template, wanted
-from tracequarry.operators import answers, logs, retrieval
+from tracequarry.operators import answers, logs, lookups, retrieval
 from tracequarry.sources.logs import classified, json_records, text_lines
 
 
@@ -60,7 +61,7 @@ def test_stages_against_a_stack(spark):
 def test_codes_and_occurrences(spark):
     c = classified(lines(spark, ["**ERROR: (IMPLF-213): x", "**WARN: (AB-1): y", "**ERROR: (IMPLF-213): z"]), EDA)
     assert rows(logs.code_table(c)) == [("a.log", "AB-1", "warn", 1, 1), ("a.log", "IMPLF-213", "error", 2, 0)]
-    assert rows(logs.nth_occurrence(c, 2)) == [("a.log", "IMPLF-213", 2, 2)]
+    assert rows(logs.nth_occurrence(c, 2)) == [("a.log", "IMPLF-213", 2, 2, "head")]
 
 
 def test_interpolation_clamps(spark):
@@ -113,7 +114,7 @@ def test_stage_tiles_meet_brute_force(spark):
     lines = rng.sample(range(12000), 400)
     ranges = spark.createDataFrame([("f", f"s{n}", s, e) for n, s, e in spans], "file string, name string, start_line long, end_line long")
     severe = spark.createDataFrame([("f", i, "error", "A-1") for i in lines], "file string, line_no long, severity string, code string")
-    got = {r.line_no: r.stage for r in logs.stage_of_severe(severe, ranges).collect()}
+    got = {r.line_no: r.stage or "<pre-stage>" for r in logs.owners(severe.select("file", "line_no"), ranges, F.col("start_line"), -F.col("start_line")).collect()}
     want = {i: max(((s, f"s{n}") for n, s, e in spans if s <= i < e), default=(0, "<pre-stage>"))[1] for i in lines}
     assert got == want
 
@@ -126,3 +127,98 @@ def test_quotes_and_open_plans(spark):
     assert [r.quote for r in answers.unsupported(answers.quotes(said), results).collect()] == ["no such thing anywhere"]
     plan = spark.createDataFrame([("a", "[1] read_logs(path = 'x.log')\n[2] stage_errors()")], "id string, text string")
     assert [(r.step, r.call) for r in answers.todos(plan).orderBy("step").collect()] == [(1, "read_logs(path=x.log)"), (2, "stage_errors()")]
+
+
+def random_log(seed, n=400):
+    import random
+
+    r = random.Random(seed)
+    text = ["**ERROR: (AB-1): x", "FATAL: (CD-2) y", "**WARN: (AB-3): z", "  at frame", "", "same", "same", '--- Starting "s1" ---', '--- Ending "s1" ---', '--- Starting "s2" ---', '--- Ending "s2" ---', "see src/a.py"]
+    return [r.choice(text) for _ in range(n)]
+
+
+def test_results_do_not_depend_on_blocks(spark, monkeypatch):
+    text = random_log(7)
+    c = classified(lines(spark, text).unionByName(lines(spark, text[::-1], "b.log")), EDA).withColumn("ts_s", F.when(F.col("line_no") % 7 == 2, F.col("line_no") * 3))
+    ranges = logs.stage_ranges(c)
+
+    def every():
+        found = logs.incidents(c)
+        return [rows(x) for x in (logs.repeats(c), logs.repeat_of_line(c), found, logs.incident_around(found, c), logs.interpolated(c), logs.offsets(c), logs.stage_of_severe(c, ranges), logs.time_samples(c, 9))]
+
+    whole = every()
+    monkeypatch.setattr(logs, "BLOCK", 11)
+    assert every() == whole and all(whole)
+
+
+def test_stage_errors_by_closing_order(spark):
+    text = random_log(11)
+    c = classified(lines(spark, text), EDA)
+    open_, ranges = [], []
+    for i, t in enumerate(text):
+        if t.startswith("---"):
+            kind, name = t.split()[1], t.split('"')[1]
+            if kind == "Starting":
+                open_.append((name, i))
+            else:
+                k = next((k for k in reversed(range(len(open_))) if open_[k][0] == name), None)
+                if k is not None:
+                    ranges.append((open_.pop(k)[1], i, name))
+    ranges += [(i, len(text), n) for n, i in open_]
+    first = {}
+    for i, t in enumerate(text):
+        if "ERROR" in t or "FATAL" in t:
+            first.setdefault(next((n for a, b, n in ranges if a < i < b), "<pre-stage>"), i)
+    got = {r["stage"]: r["line_no"] for r in logs.stage_errors(c, logs.stage_ranges(c)).collect()}
+    hist = {r["stage"] for r in logs.stage_hist(c, logs.stage_ranges(c)).where("n_fatal + n_error > 0").collect()}
+    assert got == {k: v for k, v in first.items() if k in hist}
+
+
+def test_time_samples_like_the_greedy_rule(spark):
+    text = random_log(3, 900)
+    c = classified(lines(spark, text), EDA).withColumn("ts_s", F.col("line_no"))
+    severe = {r["line_no"] for r in c.where("severity in ('fatal', 'error')").collect()}
+    want, last = [], None
+    for i in range(len(text)):
+        if last is None or i in severe or i - last >= 20:
+            want.append(i)
+            last = i
+    assert [r["line_no"] for r in logs.time_samples(c, 20).orderBy("line_no").collect()] == want
+
+
+def test_triage_of_quiet_and_loud_logs(spark):
+    quiet = classified(lines(spark, ["fine"] * 30), EDA)
+    assert [r["line_no"] for r in logs.triage(quiet, 8).orderBy("line_no").collect()] == list(range(22, 30))
+    loud = classified(lines(spark, ["fine"] * 5 + ["ERROR x"] + ["fine"] * 20 + ["FATAL y"] + ["fine"] * 5), EDA)
+    assert [r["line_no"] for r in logs.triage(loud, 12).orderBy("line_no").collect()] == [3, 4, 5, 6, 7, 24, 25, 26, 27, 28, 29, 30]
+
+
+def test_times(spark):
+    x = spark.createDataFrame([("[10:00:01  37s] a",), ("2024-05-20T14:23:01.5Z b",), ("E0520 14:23:01.250 c",), ("2024/05/20 14:23:01 d",), ("none",), ("2024-99-20 14:23:01",)], "line string")
+    got = x.select(profiles.eda_seconds(F.col("line")), profiles.generic_seconds(F.col("line")), profiles.generic_seconds(F.col("line"), 2024)).collect()
+    t = 1716214981
+    assert list(map(tuple, got)) == [(37, None, None), (None, t, t), (None, None, t), (None, None, t), (None, None, None), (None, None, None)]
+
+
+def test_citations_and_claims(spark):
+    said = spark.createDataFrame([(1, "see `top.sdc` line 88, a/b.log:7 and x.log on line 3; 47 ERROR, 3 errors, 2 warnings, 5 WARNING")], "id int, text string")
+    assert rows(answers.citations(said)) == [(1, "a/b.log", 7), (1, "top.sdc", 88), (1, "x.log", 3)]
+    assert rows(answers.numeric_claims(said)) == [(1, "error", 47), (1, "warn", 5)]
+
+
+def test_a_bad_pattern_counts_as_unmet(spark):
+    said = spark.createDataFrame([("x", 1, "abc")], "id string, case_id int, text string")
+    facts = spark.createDataFrame([(1, "expected", "regex", "a(b"), (1, "expected", "regex", "a.c"), (1, "expected", "sub", "BC")], "case_id int, kind string, op string, pattern string")
+    assert rows(answers.case_scores(said, facts)) == [("x", 2, 1, 0, False)]
+
+
+def test_lookups(spark):
+    files = spark.createDataFrame([("logs/a.log",), ("logs/b.log",), ("old/a.log",)], "file string")
+    wanted = spark.createDataFrame([("old/a.log",), ("x/a.log",), ("gs/b.log",), ("",), ("z.log",)], "w string")
+    assert dict(rows(lookups.picked(files, wanted))) == {"old/a.log": "old/a.log", "x/a.log": "logs/a.log", "gs/b.log": "logs/b.log", "": "logs/a.log", "z.log": None}
+    texts = spark.createDataFrame([("skills/one/SKILL.md", "---\nname: One\ndescription: a: b\n---\nBody here"), ("skills/two/SKILL.md", "plain")], "source string, text string")
+    assert rows(lookups.skill_files(texts).drop("source")) == [("One", "a: b", "any", "Body here"), ("two", "(no description)", "any", "plain")]
+    notes = spark.createDataFrame([("ok/1", "v"), ("bad key", "v"), ("none", None), ("long", "x" * 8193)], "key string, value string")
+    assert dict(rows(lookups.note_errors(notes))) == {"bad key": "invalid key", "none": "no value", "long": "value too long"}
+    x = spark.createDataFrame([("what does IMPLF-213 mean",), ("IMPLF-213 timing path",), ("no codes",)], "q string")
+    assert [tuple(r) for r in x.select(profiles.bare_code(F.col("q")), F.size(lookups.variants(F.col("q")))).collect()] == [(True, 2), (False, 2), (False, 1)]

@@ -62,12 +62,19 @@ GENERIC = Profile(
     extensions=(".log", ".txt", ".out", ".err", ".json", ".jsonl", ".ndjson", ""),
 )
 PROFILES = {p.name: p for p in (EDA, GENERIC)}
+# Signatures of a profile, file types that count as mentions, banners, times, code shapes, paths that are never opened.
 SIGNATURES = (r"--- (Starting|Ending) \"", r"\([A-Z][A-Z0-9]+-\d+\)", rf"(?i){B}(innovus|primetime|genus|nanoroute|encounter){E}")
 MENTIONED = "tcl sdc lef def v sv vhd vh lib rpt log md conf yaml yml json py c h cpp hpp sh csh".split()
 MENTION = rf"{B}(?=[A-Za-z0-9_])([A-Za-z0-9_./\-]+\.(?:{'|'.join(MENTIONED)}){E})"
-SOURCE_COMMAND = r"<CMD>\s+source\s+(\S+)"
+SOURCE_COMMAND = r"<CMD>\s+source\s+([A-Za-z0-9_./\-]+)"
 STAGE = r'--- (Starting|Ending) "([^"]+)"'
 EDA_TIME = r"\[\d{2}:\d{2}:\d{2}\s+(\d+)s\]"
+ISO_TIME = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
+KLOG_TIME = r"^[EWIF](\d{4}\s+\d{2}:\d{2}:\d{2}\.\d+)"
+SLASH_TIME = r"^(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})"
+CODE_SHAPE = rf"{B}([A-Z][A-Z0-9_]+-\d+|[EWIF]\d{{4,}}){E}"
+STOPPED = "the and for with from what does mean this that error warning code".split()
+SENSITIVE = ".ssh/ id_rsa id_ed25519 .pem .key .pfx .p12 shadow .aws/ .netrc .env credentials secret .gnupg/ .docker/config.json .kube/config .npmrc .pypirc".split()
 SEVERITIES = ("fatal", "error", "warn")
 
 
@@ -96,3 +103,63 @@ def template(line: Column) -> Column:
     for pattern in (r"\([A-Z][A-Z0-9_]+-[0-9]+\)", r"[A-Za-z0-9_.\-]*/[A-Za-z0-9_./\-]+", r"0x[0-9a-fA-F]+", r"\"[^\"]*\"|'[^']*'", r"[0-9]+(\.[0-9]+)?"):
         x = F.regexp_replace(x, pattern, " ")
     return F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" :.-"))
+
+
+def eda_seconds(line: Column) -> Column:
+    """The seconds of '[HH:MM:SS  Ns]'."""
+    return F.regexp_extract(line, EDA_TIME, 1).try_cast("bigint")
+
+
+def generic_seconds(line: Column, year: int | None = None) -> Column:
+    """Seconds since 1970 (UTC) of a leading ISO time; with a year, also of klog times in it, and of slash dates."""
+    at = lambda x, form: F.unix_seconds(F.try_to_timestamp(x, F.lit(form)))
+    iso = at(F.left(F.translate(F.regexp_extract(line, ISO_TIME, 1), "T", " "), F.lit(19)), "yyyy-MM-dd HH:mm:ss")
+    if year is None:
+        return iso
+    klog = F.regexp_replace(F.split(F.regexp_extract(line, KLOG_TIME, 1), "\\.")[0], r"\s+", " ")
+    slash = F.regexp_replace(F.regexp_extract(line, SLASH_TIME, 1), r"\s+", " ")
+    return F.coalesce(iso, at(F.when(klog != "", F.concat(F.lit(f"{year:04d}"), klog)), "yyyyMMdd HH:mm:ss"), at(slash, "yyyy/MM/dd HH:mm:ss"))
+
+
+def codes_like(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CODE_SHAPE), F.lit(1)))
+
+
+def bare_code(text: Column) -> Column:
+    """Whether a question has codes and no other word than common ones."""
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(text, CODE_SHAPE, " ")), F.lit("[a-z]{3,}"), F.lit(0))
+    return (F.size(codes_like(text)) > 0) & (F.size(F.array_except(words, F.array(*map(F.lit, STOPPED)))) == 0)
+
+
+def sensitive(path: Column) -> Column:
+    x = F.lower(F.translate(path, "\\", "/"))
+    hit = F.lit(False)
+    for part in SENSITIVE:
+        hit = hit | x.contains(part)
+    return hit
+
+
+def under(path: Column, root: str) -> Column:
+    """Whether a path is the root or inside it."""
+    root = root.rstrip("/")
+    return (path == root) | path.startswith(root + "/")
+
+
+def truncated(text: Column, budget: int) -> Column:
+    """A text over the budget as its first 70 %, a mark, and its last 25 %."""
+    head, tail = int(budget * 0.7), int(budget * 0.25)
+    cut = (F.length(text) - head - tail).cast("string")
+    short = F.concat(F.left(text, F.lit(head)), F.lit("\n\n... [truncated "), cut, F.lit(" chars] ...\n\n"), F.right(text, F.lit(tail)))
+    return F.when(F.length(text) <= budget, text).otherwise(short)
+
+
+def compacted(text: Column, budget: int) -> Column:
+    """A tool's result over the budget as its first 60 % and last 30 %, marked once."""
+    head, tail = int(budget * 0.6), int(budget * 0.3)
+    cut = (F.length(text) - head - tail).cast("string")
+    short = F.concat(F.lit("[compacted "), cut, F.lit(" chars \u2014 re-call the tool to re-fetch]\n"), F.left(text, F.lit(head)), F.lit("\n... [middle elided] ...\n"), F.right(text, F.lit(tail)))
+    return F.when((F.length(text) <= budget) | text.startswith("[compacted "), text).otherwise(short)
+
+
+def chunk_key(model: str, text: Column) -> Column:
+    return F.left(F.sha1(F.concat(F.lit(model + "\n"), text)), F.lit(16))

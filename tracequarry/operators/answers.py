@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.functions.profiles import CODE_SHAPE
+
+
+#: Citations (path:line, or path line N), manual references, claims of having read the manual, counts, calls in text.
+CITE = r"(?i)`?([A-Za-z0-9_./\\-]+\.[A-Za-z0-9]{1,8})`?(?:\s*(?:on\s+)?line\s+|:)([0-9]+)(?![A-Za-z0-9_])"
+MANUAL_REF = r"(?i)(?<![A-Za-z0-9_])manual[:/]([A-Za-z0-9_./\\-]+\.[A-Za-z0-9]{1,8})(?![A-Za-z0-9_])"
+MANUAL_CLAIM = r"(?i)(?<![A-Za-z0-9_])(?:reference|referenc(?:ing|ed)|consult(?:ing|ed)?|check(?:ing|ed)?|cite(?:s|d)?|cit(?:ing|ed)|per|according to|from)\s+(?:the\s+)?manual(?![A-Za-z0-9_])"
+CLAIM = r"(?i)(?<![A-Za-z0-9_])([0-9]+)\s+(FATAL|ERROR|WARN(?:ING)?)(?![A-Za-z0-9_])"
+COUNT = r"(?i)([0-9]+)\s+(FATAL|ERROR|WARN(?:ING)?)"
+CALL = r'(?s)\{\s*"name"\s*:\s*"([A-Za-z_][A-Za-z0-9_]*)"\s*,\s*"arguments"\s*:\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}\s*\}'
+
+
+def found_pairs(text: str, rx: str, first: str, second: str) -> Column:
+    """The distinct (group 1, group 2) of all matches."""
+    return F.array_distinct(F.arrays_zip(*(F.regexp_extract_all(text, F.lit(rx), F.lit(k)).alias(name) for k, name in ((1, first), (2, second)))))
+
 
 def citations(answers: DataFrame) -> DataFrame:
-    """id, path, line_no (from 1) of path:line in answers (id, text)."""
-    rx = r"([A-Za-z0-9_./-]+\.[A-Za-z0-9]+):([0-9]+)"
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(rx), F.lit(1)).alias("path"), F.regexp_extract_all("text", F.lit(rx), F.lit(2)).alias("line_no"))
-    return answers.select("id", F.explode(F.array_distinct(pairs)).alias("c")).select("id", "c.path", F.col("c.line_no").cast("long").alias("line_no"))
+    """id, path, line_no (from 1) of 'path:line' and 'path line N' in answers (id, text), the path in backticks or not."""
+    return answers.select("id", F.explode(found_pairs("text", CITE, "path", "line_no")).alias("c")).select("id", "c.path", F.col("c.line_no").cast("long").alias("line_no"))
+
+
+def resolved(cites: DataFrame, files: DataFrame) -> DataFrame:
+    """cites with file: the known file of that path, else the first of the same base name; null if there is none."""
+    base = lambda p: F.substring_index(p, "/", -1)
+    exact = files.select(F.col("file").alias("path"), F.col("file").alias("_exact")).distinct()
+    named = files.groupBy(base("file").alias("_base")).agg(F.min("file").alias("_named"))
+    x = cites.withColumn("_base", base("path")).join(exact, "path", "left").join(named, "_base", "left")
+    return x.withColumn("file", F.coalesce("_exact", "_named")).drop("_base", "_exact", "_named")
 
 
 def checked(cites: DataFrame, totals: DataFrame) -> DataFrame:
@@ -20,21 +46,63 @@ def checked(cites: DataFrame, totals: DataFrame) -> DataFrame:
     return x.select("id", "path", "line_no", reason.alias("reason"))
 
 
-def numeric_claims(answers: DataFrame) -> DataFrame:
+def numeric_claims(answers: DataFrame, rx: str = CLAIM) -> DataFrame:
     """id, severity, claimed of 'N FATAL/ERROR/WARN(ING)'."""
-    rx = r"(?i)([0-9]+)\s+(FATAL|ERROR|WARN)(?:ING)?(?:S)?"
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(rx), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(rx), F.lit(2)).alias("s"))
-    return answers.select("id", F.explode(F.array_distinct(pairs)).alias("c")).select("id", F.lower("c.s").alias("severity"), F.col("c.n").cast("long").alias("claimed"))
+    x = answers.select("id", F.explode(found_pairs("text", rx, "n", "s")).alias("c"))
+    return x.select("id", F.regexp_replace(F.lower("c.s"), "warning", "warn").alias("severity"), F.col("c.n").cast("long").alias("claimed")).distinct()
+
+
+def told_counts(summaries: DataFrame) -> DataFrame:
+    """id, severity, claimed of the header 'EXACT counts ...: N FATAL, ...' of summaries (id, text); rows of codes below it don't count."""
+    return numeric_claims(summaries.select("id", F.regexp_extract("text", r"EXACT counts[^\n]*?:\s*([^\n]+)", 1).alias("text")), COUNT)
+
+
+def manual_claims(answers: DataFrame, tools: DataFrame, manual: DataFrame) -> DataFrame:
+    """id, claims (the manual is named as read but no search of this id is in tools (id, tool)), refs, refs_missing (not in manual (path))."""
+    searched = tools.where("tool = 'search_manual'").select("id").distinct().withColumn("searched", F.lit(True))
+    refs = answers.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MANUAL_REF), F.lit(1)))).alias("path"))
+    known = manual.select("path").distinct().withColumn("known", F.lit(True))
+    refs = refs.join(known, "path", "left").groupBy("id").agg(F.count("*").alias("refs"), F.count_if(F.col("known").isNull()).alias("refs_missing"))
+    x = answers.join(searched, "id", "left").join(refs, "id", "left")
+    return x.select("id", (F.col("text").rlike(MANUAL_CLAIM) & F.col("searched").isNull()).alias("claims"), F.coalesce("refs", F.lit(0)).alias("refs"), F.coalesce("refs_missing", F.lit(0)).alias("refs_missing"))
+
+
+def calls_in_text(answers: DataFrame) -> DataFrame:
+    """id, name of every tool call that an answer states as JSON text."""
+    return answers.select("id", F.explode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("name"))
+
+
+def without_evidence(codes: DataFrame, results: DataFrame) -> DataFrame:
+    """Codes (id, code) that no result (id, text) of the same id holds, case aside; a result's codes are taken out once and joined on equality."""
+    shown = results.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(CODE_SHAPE), F.lit(1)))).alias("code"))
+    return codes.select("id", F.upper(F.trim("code")).alias("code")).distinct().join(shown, ["id", "code"], "left_anti")
+
+
+def sound(facts: DataFrame) -> DataFrame:
+    """facts (few rows) with op 'never' where a pattern isn't one, so that it counts as unmet instead of ending the job."""
+
+    def check(patterns: pd.Series) -> pd.Series:
+        def fine(p):
+            try:
+                re.compile(p)
+            except (re.error, TypeError):
+                return False
+            return True
+
+        return patterns.map(fine).astype(bool)
+
+    fine = F.pandas_udf(check, "boolean")("pattern")
+    return facts.withColumn("op", F.when(fine | (F.col("op") != "regex"), F.col("op")).otherwise("never"))
 
 
 def met(answer: Column, op: Column, pattern: Column) -> Column:
     """Whether an answer states a fact: a substring whatever the case, or a pattern."""
-    return F.when(op == "regex", F.regexp(answer, pattern)).otherwise(F.lower(answer).contains(F.lower(pattern)))
+    return F.when(op == "regex", F.regexp(answer, pattern)).when(op == "sub", F.lower(answer).contains(F.lower(pattern))).otherwise(F.lit(False))
 
 
 def case_scores(answers: DataFrame, facts: DataFrame) -> DataFrame:
     """id, hits, misses, forbidden, passed; facts: kind (expected, forbidden), op, pattern, of each case of answers (id, case_id, text)."""
-    x = answers.join(facts, "case_id").withColumn("met", F.coalesce(met(F.col("text"), F.col("op"), F.col("pattern")), F.lit(False)))
+    x = answers.join(sound(facts), "case_id").withColumn("met", F.coalesce(met(F.col("text"), F.col("op"), F.col("pattern")), F.lit(False)))
     e, f = F.col("kind") == "expected", F.col("kind") == "forbidden"
     out = x.groupBy("id").agg(F.count_if(e & F.col("met")).alias("hits"), F.count_if(e & ~F.col("met")).alias("misses"), F.count_if(f & F.col("met")).alias("forbidden"))
     return out.withColumn("passed", (F.col("misses") == 0) & (F.col("forbidden") == 0))

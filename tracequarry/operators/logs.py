@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.profiles import MENTION, SOURCE_COMMAND, STAGE, UNCODED, Profile, rank
@@ -12,12 +12,36 @@ def levels():
     return F.sequence(F.lit(0), F.lit(9))
 
 
-def ordered():
-    return Window.partitionBy("file").orderBy("line_no")
+#: Lines of a file that one window holds; longer files are cut, and a short summary of each block is carried to the next.
+BLOCK = 65_536
 
 
-def running():
-    return ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def cut(df: DataFrame) -> DataFrame:
+    return df.withColumn("block", F.floor(F.col("line_no") / BLOCK))
+
+
+def within(back: bool = False):
+    return Window.partitionBy("file", "block").orderBy(F.desc("line_no") if back else "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def earlier(back: bool = False):
+    return Window.partitionBy("file").orderBy(F.desc("block") if back else "block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def carried(df: DataFrame, name: str, value: Column, back: bool = False) -> DataFrame:
+    """df with the last value that isn't null at or before each line (back: the first at or after it); one row a line."""
+    x = cut(df.withColumn("_v", value))
+    pick = F.min_by if back else F.max_by
+    ends = x.groupBy("file", "block").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.col("line_no"))).alias("_end"))
+    ends = ends.select("file", "block", F.last("_end", ignorenulls=True).over(earlier(back)).alias("_before"))
+    x = x.withColumn("_own", F.last("_v", ignorenulls=True).over(within(back))).join(ends, ["file", "block"])
+    return x.withColumn(name, F.coalesce("_own", "_before")).drop("_v", "_own", "_before", "block")
+
+
+def near(hits: DataFrame, around: int) -> DataFrame:
+    """file, line_no of the hits and of `around` lines on either side, each once."""
+    lines = F.sequence(F.col("line_no") - around, F.col("line_no") + around)
+    return hits.select("file", F.explode(lines).alias("line_no")).distinct()
 
 
 def census(c: DataFrame) -> DataFrame:
@@ -36,38 +60,50 @@ def code_order(codes: DataFrame) -> DataFrame:
 
 
 def prefix_families(codes: DataFrame) -> DataFrame:
-    """Codes by the text before their last dash: the most frequent one, and all."""
-    rows = codes.where(F.col("code") != UNCODED).withColumn("prefix", F.regexp_replace("code", "-[^-]*$", ""))
-    each = rows.groupBy("prefix", "code").agg(F.sum("n").alias("n"))
-    return each.groupBy("prefix").agg(F.sum("n").alias("n"), F.max_by("code", F.struct("n", "code")).alias("primary_code"), F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+    """Fatal and error codes of each file by the text before their last dash: the first in code order, its figures, and the others."""
+    rows = codes.where((F.col("code") != UNCODED) & F.col("severity").isin("fatal", "error")).withColumn("prefix", F.regexp_replace("code", "-[^-]*$", ""))
+    each = F.array_sort(F.collect_list(F.struct(rank(F.col("severity")).alias("rank"), (-F.col("n")).alias("less"), "code", "severity", "first_line")))
+    x = rows.groupBy("file", "prefix").agg(each.alias("each"))
+    first = F.col("each")[0]
+    others = F.transform(F.slice("each", 2, F.greatest(F.size("each") - 1, F.lit(1))), lambda e: e["code"])
+    return x.select("file", "prefix", first["code"].alias("primary_code"), first["severity"].alias("severity"), (-first["less"]).alias("n"), first["first_line"].alias("first_line"), F.array_join(others, ",").alias("others"))
+
+
+def run_starts(lines: DataFrame) -> DataFrame:
+    """lines with t, the text without its end, and run, the line at which equal consecutive lines began."""
+    x = cut(lines.withColumn("t", F.regexp_replace("line", r"[\r\n]+$", "")))
+    ends = x.groupBy("file", (F.col("block") + 1).alias("block")).agg(F.max_by("t", "line_no").alias("_end"))
+    before = F.coalesce(F.lag("t").over(Window.partitionBy("file", "block").orderBy("line_no")), F.col("_end"))
+    x = x.join(ends, ["file", "block"], "left").withColumn("_new", ~F.col("t").eqNullSafe(before)).drop("_end", "block")
+    return carried(x, "run", F.when(F.col("_new"), F.col("line_no"))).drop("_new")
 
 
 def repeats(lines: DataFrame, least: int = 3) -> DataFrame:
     """Runs of equal consecutive lines that aren't blank."""
-    x = lines.withColumn("t", F.regexp_replace("line", r"[\r\n]+$", ""))
-    x = x.withColumn("new", F.coalesce((F.col("t") != F.lag("t").over(ordered())).cast("int"), F.lit(1)))
-    x = x.withColumn("run", F.sum("new").over(running())).where(F.trim("t") != "")
-    return x.groupBy("file", "run").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).where(F.col("n") >= least).drop("run")
+    x = run_starts(lines).where(F.trim("t") != "")
+    return x.groupBy("file", F.col("run").alias("first_line")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def repeat_of_line(lines: DataFrame, least: int = 3) -> DataFrame:
+    """Each line of a repeat with the run's first line and length."""
+    x = run_starts(lines.select("file", "line_no", "line"))
+    return x.select("file", "line_no", F.col("run").alias("first_line")).join(repeats(lines, least), ["file", "first_line"])
 
 
 def incidents(c: DataFrame, body: int = 15) -> DataFrame:
     """Every severe line with the indented or blank lines after it."""
-    x = c.withColumn("head", F.max(F.when(F.col("severity").isNotNull(), F.col("line_no"))).over(running())).where("head is not null")
-    inside = (F.col("line_no") == F.col("head")) | (F.col("line").rlike(r"^[ \t]|^\s*$") & (F.col("line_no") - F.col("head") <= body))
-    within = Window.partitionBy("file", "head").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("broken", F.max((~inside).cast("int")).over(within)).where("broken = 0")
+    x = carried(c, "head", F.when(F.col("severity").isNotNull(), F.col("line_no"))).where(F.col("line_no") - F.col("head") <= body)
+    inside = (F.col("line_no") == F.col("head")) | F.col("line").rlike(r"^[ \t]|^\s*$")
+    one = Window.partitionBy("file", "head").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # body + 1 lines at most
+    x = x.withColumn("broken", F.max((~inside).cast("int")).over(one)).where("broken = 0")
     return x.groupBy("file", "head").agg(F.max("line_no").alias("body_end"), F.min_by("severity", "line_no").alias("severity"))
 
 
 def incident_around(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (file, line_no): the last incident that starts at or before it, and whether it reaches the line.
-
-    Both are laid along the file and the last incident is carried forward, so no pairs are made.
-    """
-    asked = wanted.select("file", "line_no").distinct()
-    laid = found.select("file", F.col("head").alias("line_no"), F.struct("head", "body_end", "severity").alias("i")).unionByName(asked, allowMissingColumns=True)
-    first = Window.partitionBy("file").orderBy("line_no", F.col("i").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = laid.withColumn("last", F.last("i", ignorenulls=True).over(first)).where("i is null and last is not null")
+    """For each wanted (file, line_no): the last incident that starts at or before it, and whether it reaches the line."""
+    heads = found.select("file", F.col("head").alias("line_no"), F.struct("head", "body_end", "severity").alias("i"))
+    asked = wanted.select("file", "line_no").distinct().withColumn("asked", F.lit(True))
+    x = carried(asked.join(heads, ["file", "line_no"], "full"), "last", F.col("i")).where("asked and last is not null")
     return x.select("file", "line_no", "last.head", "last.body_end", "last.severity", (F.col("line_no") <= F.col("last.body_end")).alias("inside"))
 
 
@@ -101,18 +137,30 @@ def covers(start, end):
     return F.flatten(F.transform(levels(), blocks))
 
 
+def owners(rows: DataFrame, ranges: DataFrame, start: Column, first: Column) -> DataFrame:
+    """rows (file, line_no) with stage: of the ranges with start <= line < end_line the one of least `first`; null where there is none.
+
+    Ranges are tiled by blocks of powers of 16 and each block keeps its first, so a line meets one row a level at most: the join is on
+    equal keys and makes no pairs of lines and ranges. Files of up to 16**10 lines.
+    """
+    tiles = ranges.where(start < F.col("end_line")).select("file", F.struct(first.alias("first"), "name").alias("x"), F.explode(covers(start, F.col("end_line"))).alias("t"))
+    tiles = tiles.groupBy("file", F.col("t.level").alias("level"), F.col("t.block").alias("block")).agg(F.min("x").alias("x"))
+    each = rows.select("file", "line_no", F.explode(levels()).alias("level")).withColumn("block", F.floor(F.col("line_no") / F.pow(F.lit(16.0), F.col("level"))))
+    found = each.join(tiles, ["file", "level", "block"]).groupBy("file", "line_no").agg(F.min("x")["name"].alias("stage"))
+    return rows.join(found, ["file", "line_no"], "left")
+
+
 def stage_of_severe(c: DataFrame, ranges: DataFrame) -> DataFrame:
     """Severe lines with the open stage of greatest start; '<pre-stage>' where none is open.
 
-    Ranges are tiled by blocks of powers of 16 and each block keeps its latest start, so a line meets one row a level at most: the join is on
-    equal keys and makes no pairs of lines and ranges. Files of up to 16**10 lines.
+    What is open changes at banners only: it is found for these, and carried to the lines after them.
     """
-    s = c.where("severity is not null").select("file", "line_no", "severity", "code")
-    tiles = ranges.select("file", "name", "start_line", F.explode(covers(F.col("start_line"), F.col("end_line"))).alias("t"))
-    tiles = tiles.groupBy("file", F.col("t.level").alias("level"), F.col("t.block").alias("block")).agg(F.max(F.struct("start_line", "name")).alias("latest"))
-    x = s.withColumn("level", F.explode(levels())).withColumn("block", F.floor(F.col("line_no") / F.pow(F.lit(16.0), F.col("level"))))
-    x = x.join(tiles, ["file", "level", "block"], "left").groupBy("file", "line_no", "severity", "code")
-    return x.agg(F.coalesce(F.max("latest")["name"], F.lit("<pre-stage>")).alias("stage"))
+    banner = F.col("line").rlike(STAGE)
+    rows = c.where(F.col("severity").isNotNull() | banner).select("file", "line_no", "severity", "code", banner.alias("banner"))
+    at = owners(rows.where("banner").select("file", "line_no"), ranges, F.col("start_line"), -F.col("start_line"))
+    at = at.select("file", "line_no", F.coalesce("stage", F.lit("<pre-stage>")).alias("open"))
+    x = carried(rows.join(at, ["file", "line_no"], "left"), "stage", F.col("open")).where("severity is not null")
+    return x.select("file", "line_no", "severity", "code", F.coalesce("stage", F.lit("<pre-stage>")).alias("stage"))
 
 
 def stage_hist(c: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -129,15 +177,28 @@ def stage_timeline(c: DataFrame, ranges: DataFrame) -> DataFrame:
     return x.select("file", "name", "start_line", "end_line", fatal.alias("n_fatal"), error.alias("n_error"), status.alias("status"))
 
 
-def stage_errors(c: DataFrame, ranges: DataFrame) -> DataFrame:
-    x = stage_of_severe(c, ranges).where("severity <> 'warn'").groupBy("file", "stage")
-    return x.agg(F.min("line_no").alias("first_line"), F.min_by("code", "line_no").alias("code"), F.count("*").alias("n"))
+def stage_errors(c: DataFrame, ranges: DataFrame, most: int = 10) -> DataFrame:
+    """Per stage the first error or fatal line strictly inside it, and how many its name has; '<pre-stage>' for lines outside all stages.
+
+    A line inside several ranges belongs to the one that closes first; ranges never closed come last. Files without stages list their
+    first `most` lines, with no stage and no number.
+    """
+    severe = c.where("severity in ('fatal', 'error')").select("file", "line_no", "severity", "line")
+    closing = F.struct(F.col("incomplete").cast("int"), F.when(~F.col("incomplete"), F.col("end_line")).otherwise(F.col("start_line")))
+    staged = ranges.select("file").distinct()
+    owned = owners(severe.join(staged, "file", "left_semi"), ranges, F.col("start_line") + 1, closing)
+    first = owned.groupBy("file", F.coalesce("stage", F.lit("<pre-stage>")).alias("stage")).agg(F.min_by(F.struct("line_no", "severity", "line"), "line_no").alias("x"))
+    n = stage_hist(c, ranges).select("file", "stage", (F.col("n_fatal") + F.col("n_error")).alias("n")).where("n > 0")
+    text = lambda x: F.left(F.trim(x), F.lit(160)).alias("line")
+    grouped = first.join(n, ["file", "stage"]).select("file", "stage", "n", F.col("x.line_no").alias("line_no"), F.col("x.severity").alias("severity"), text(F.col("x.line")))
+    flat = severe.join(staged, "file", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("line_no"))).where(F.col("k") <= most)
+    none = F.lit(None)
+    return grouped.unionByName(flat.select("file", none.cast("string").alias("stage"), none.cast("long").alias("n"), "line_no", "severity", text(F.col("line"))))
 
 
 def context(c: DataFrame, hit, around: int = 2) -> DataFrame:
     """Lines with a hit at most `around` lines away."""
-    near = F.max(hit.cast("int")).over(ordered().rowsBetween(-around, around))
-    return c.withColumn("is_hit", hit).withColumn("near", near).where("near = 1").drop("near")
+    return c.withColumn("is_hit", hit).join(near(c.where(hit), around), ["file", "line_no"], "left_semi")
 
 
 def pattern_filter(c: DataFrame, profile: Profile, pattern: str, severities: list[str]) -> DataFrame:
@@ -150,23 +211,33 @@ def head_tail(lines: DataFrame, head: int, tail: int) -> DataFrame:
     return lines.join(total, "file").where((F.col("line_no") < head) | (F.col("line_no") >= F.col("total") - tail)).drop("total")
 
 
-def triage(c: DataFrame, most: int = 60) -> DataFrame:
-    """The first third of `most` severe lines, all fatal ones, stage banners, and the last quarter."""
-    severe = c.where("severity in ('fatal', 'error')")
-    up = severe.withColumn("k", F.row_number().over(ordered())).where(F.col("k") <= most // 3).drop("k")
-    down = severe.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("line_no")))).where(F.col("k") <= most // 4).drop("k")
-    parts = [up, c.where("severity = 'fatal'"), c.where(F.col("line").rlike(STAGE)), down]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("file", "line_no", "line").distinct()
-
+def triage(c: DataFrame, most: int = 200, around: int = 2, many: int = 2000) -> DataFrame:
+    """The first third of `most` severe lines and all fatal ones with context, stage banners, and the last quarter; a file's first `most` of these.
 
-def nth_occurrence(c: DataFrame, nth: int) -> DataFrame:
-    """The nth line (from 1) of every code."""
+    The last quarter is of severe lines in files with more than `many`, else of all lines. Files without severe lines show their last `most`.
+    """
+    severe = c.where("severity in ('fatal', 'error')").select("file", "line_no", "severity")
+    size = c.groupBy("file").agg(F.count("*").alias("total"), F.count_if(F.col("severity").isin("fatal", "error")).alias("n_severe"))
+    up, down = Window.partitionBy("file").orderBy("line_no"), Window.partitionBy("file").orderBy(F.desc("line_no"))
+    head = severe.withColumn("k", F.row_number().over(up)).where(F.col("k") <= max(1, most // 3))
+    tail = severe.withColumn("k", F.row_number().over(down)).where(F.col("k") <= max(1, most // 4)).join(size.where(F.col("n_severe") > many), "file", "left_semi")
+    hits = head.select("file", "line_no").union(tail.select("file", "line_no")).union(severe.where("severity = 'fatal'").select("file", "line_no"))
+    left = F.when(F.col("n_severe") == 0, most).when(F.col("n_severe") <= many, most // 4).otherwise(0)
+    ends = size.where(left > 0).select("file", F.explode(F.sequence(F.greatest(F.lit(0), F.col("total") - left), F.col("total") - 1)).alias("line_no"))
+    banners = c.where(F.col("line").rlike(STAGE)).join(size.where("n_severe > 0"), "file", "left_semi").select("file", "line_no")
+    shown = near(hits, around).union(ends).union(banners).distinct()
+    x = c.select("file", "line_no", "line").join(shown, ["file", "line_no"], "left_semi")
+    return x.withColumn("k", F.row_number().over(up)).where(F.col("k") <= most).drop("k")
+
+
+def nth_occurrence(c: DataFrame, nth: int, most: int = 16) -> DataFrame:
+    """The nth line (from 1) of every code that has so many, and whether it is among the first or last `most` hits or between."""
     w = Window.partitionBy("file", "code").orderBy("line_no")
-    x = c.where("severity is not null").withColumns({"k": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("file", "code"))})
-    return x.where(F.col("k") == nth).select("file", "code", "line_no", "n")
+    severe = c.where("severity is not null").select("file", "code", "line_no")
+    total = severe.groupBy("file", "code").agg(F.count("*").alias("n"))
+    x = severe.withColumn("k", F.row_number().over(w)).where(F.col("k") == nth).join(total, ["file", "code"])
+    place = F.when(F.col("k") <= most, "head").when(F.col("k") > F.col("n") - most, "tail").otherwise("between")
+    return x.select("file", "code", "line_no", "n", place.alias("place"))
 
 
 def mentions(lines: DataFrame) -> DataFrame:
@@ -185,6 +256,22 @@ def region(c: DataFrame, start: int, end: int) -> DataFrame:
     return c.where(F.col("line_no").between(start - 1, end - 1)).groupBy("file").agg(n("fatal"), n("error"), n("warn"), F.countDistinct("code").alias("n_codes"), F.min("ts_s").alias("first_ts"), F.max("ts_s").alias("last_ts"))
 
 
+def region_details(c: DataFrame, ranges: DataFrame, found: DataFrame, start: int, end: int, most: int = 8, heads: int = 5) -> DataFrame:
+    """file, kind, name, n, place: the region's top codes and mentions, the stages it crosses, its number of incidents and the first of them."""
+    low, high = start - 1, end - 1
+    inside = c.where(F.col("line_no").between(low, high))
+    top = Window.partitionBy("file").orderBy(F.desc("n"), "name")
+    counted = lambda df, kind: df.groupBy("file", "name").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).select("file", F.lit(kind).alias("kind"), "name", "n", F.col("place").cast("long").alias("place"))
+    codes = counted(inside.where("severity is not null").select("file", F.col("code").alias("name")), "code")
+    named = counted(mentions(inside).select("file", F.col("token").alias("name")), "mention")
+    crossed = overlapping(ranges, low, high).select("file", F.lit("stage").alias("kind"), "name", F.lit(1).cast("long").alias("n"), F.col("start_line").alias("place"))
+    first = found.where(F.col("head").between(low, high))
+    heads_ = first.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("head"))).where(F.col("k") <= heads)
+    heads_ = heads_.select("file", F.lit("incident").alias("kind"), F.col("severity").alias("name"), (F.col("body_end") - F.col("head") + 1).alias("n"), F.col("head").alias("place"))
+    total = first.groupBy("file").agg(F.count("*").alias("n")).select("file", F.lit("incidents").alias("kind"), F.lit("all").alias("name"), "n", F.lit(0).cast("long").alias("place"))
+    return codes.union(named).union(crossed).union(heads_).union(total)
+
+
 def correlate(timed: DataFrame, anchor: int, window: int, most: int = 200) -> DataFrame:
     """Lines of all files within the window of the anchor second, in order."""
     return timed.where(F.col("ts_s").between(anchor - window, anchor + window)).orderBy("ts_s", "file", "line_no").limit(most).select("ts_s", "file", "line_no", F.left("line", F.lit(180)).alias("line"))
@@ -192,9 +279,8 @@ def correlate(timed: DataFrame, anchor: int, window: int, most: int = 200) -> Da
 
 def interpolated(lines: DataFrame) -> DataFrame:
     """lines with t: their own second, or one between the nearest timed lines, clamped at both ends."""
-    ahead = Window.partitionBy("file").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a frame to the end is quadratic
     known = F.when(F.col("ts_s").isNotNull(), F.struct("ts_s", "line_no"))
-    x = lines.withColumn("lo", F.last(known, ignorenulls=True).over(running())).withColumn("hi", F.last(known, ignorenulls=True).over(ahead))
+    x = carried(carried(lines.select("file", "line_no", "ts_s"), "lo", known), "hi", known, back=True)
     span = F.col("hi.line_no") - F.col("lo.line_no")
     inside = F.col("lo.ts_s") + F.floor((F.col("hi.ts_s") - F.col("lo.ts_s")) * (F.col("line_no") - F.col("lo.line_no")) / span)
     return x.select("file", "line_no", F.coalesce(F.when(span > 0, inside), F.col("lo.ts_s"), F.col("hi.ts_s")).cast("long").alias("t"))
@@ -202,8 +288,20 @@ def interpolated(lines: DataFrame) -> DataFrame:
 
 def offsets(lines: DataFrame) -> DataFrame:
     """lines with start, the byte at which each begins."""
-    own = F.octet_length("line") + 1
-    return lines.select("file", "line_no", "line", (F.sum(own).over(running()) - own).alias("start"))
+    x = cut(lines.select("file", "line_no", "line")).withColumn("own", F.octet_length("line") + 1)
+    base = x.groupBy("file", "block").agg(F.sum("own").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier()), F.lit(0)).alias("base"))
+    return x.join(base, ["file", "block"]).select("file", "line_no", "line", (F.sum("own").over(within()) - F.col("own") + F.col("base")).alias("start"))
+
+
+def head_bytes(lines: DataFrame, most: int) -> DataFrame:
+    """The lines that begin in a file's first `most` bytes; a line has a byte at least, so its first `most` lines hold them."""
+    return offsets(lines.where(F.col("line_no") < most)).where(F.col("start") < most)
+
+
+def time_samples(c: DataFrame, gap: int = 100) -> DataFrame:
+    """Lines at which a log whose lines all have a second is sampled: severe ones, and each `gap` lines after the sample before."""
+    x = carried(c, "last", F.when(F.col("severity").isin("fatal", "error") | (F.col("line_no") == 0), F.col("line_no")))
+    return x.where((F.col("line_no") - F.col("last")) % gap == 0).select("file", "line_no", "ts_s")
 
 
 def listing(lines: DataFrame) -> DataFrame:
@@ -221,15 +319,18 @@ def summary(c: DataFrame) -> DataFrame:
 
 def retained(c: DataFrame, most: int = 16) -> DataFrame:
     """The first and last hits of every code; a hit in both counts as head."""
-    up = Window.partitionBy("file", "code").orderBy("line_no")
-    down = Window.partitionBy("file", "code").orderBy(F.desc("line_no"))
-    x = c.where("severity is not null").withColumn("a", F.row_number().over(up)).withColumn("z", F.row_number().over(down))
-    return x.where((F.col("a") <= most) | (F.col("z") <= most)).select("file", "code", "line_no", F.when(F.col("a") <= most, "head").otherwise("tail").alias("part"))
+    severe = c.where("severity is not null").select("file", "code", "line_no")
+    some = lambda order, part: severe.withColumn("k", F.row_number().over(Window.partitionBy("file", "code").orderBy(order))).where(F.col("k") <= most).drop("k").withColumn("part", F.lit(part))
+    head = some("line_no", "head")
+    return head.union(some(F.desc("line_no"), "tail").join(head, ["file", "code", "line_no"], "left_anti"))
 
 
 def gaps(shown: DataFrame) -> DataFrame:
     """shown with gap: whether lines before this one, but not at the start, are left out."""
-    return shown.withColumn("gap", F.coalesce(F.col("line_no") != F.lag("line_no").over(ordered()) + 1, F.lit(False)))
+    before = shown.select("file", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("_before"))
+    first = shown.groupBy("file").agg(F.min("line_no").alias("_first"))
+    x = shown.join(before, ["file", "line_no"], "left").join(first, "file")
+    return x.withColumn("gap", F.col("_before").isNull() & (F.col("line_no") > F.col("_first"))).drop("_before", "_first")
 
 
 def unseen(c: DataFrame, shown: DataFrame) -> DataFrame:

@@ -107,8 +107,10 @@ def code_table(c):
     return logs.code_order(logs.code_table(c))
 
 
-@query("""select prefix, sum(n)::bigint as n, arg_max(code, (n, code)) as primary_code, string_agg(code, ',' order by code) as codes
-from (select regexp_replace(code, '-[^-]*$', '') as prefix, code, sum(n) as n from codes where code <> '(uncoded)' group by all) group by prefix""")
+@query("""select file, prefix, codes[1] as primary_code, severities[1] as severity, ns[1] as n, firsts[1] as first_line, array_to_string(codes[2:], ',') as others
+from (select file, regexp_replace(code, '-[^-]*$', '') as prefix, list(code order by r, n desc, code) as codes, list(severity order by r, n desc, code) as severities,
+             list(n order by r, n desc, code) as ns, list(first_line order by r, n desc, code) as firsts
+      from (select *, case severity when 'fatal' then 0 else 1 end as r from codes where severity <> 'warn' and code <> '(uncoded)') group by all)""")
 def prefix_families(c):
     return logs.prefix_families(logs.code_table(c))
 
@@ -127,9 +129,9 @@ def incidents(c):
 
 
 @query("""select w.file, w.line_no, i.head, i.body_end, i.severity, w.line_no <= i.body_end as inside
-from (select file, line_no from log where line_no % 100 = 7) w asof join incidents i on i.file = w.file and w.line_no >= i.head""", f"{CLASSED}, {INCIDENT}")
+from log w asof join incidents i on i.file = w.file and w.line_no >= i.head""", f"{CLASSED}, {INCIDENT}")
 def incident_around(c):
-    return logs.incident_around(logs.incidents(c), c.where("line_no % 100 = 7").select("file", "line_no"))
+    return logs.incident_around(logs.incidents(c), c.select("file", "line_no"))
 
 
 @query("select * from ranges", f"{CLASSED}, {STAGED}")
@@ -149,11 +151,24 @@ def stage_timeline(c):
     return logs.stage_timeline(c, logs.stage_ranges(c))
 
 
-@query("select file, stage, min(line_no) as first_line, arg_min(code, line_no) as code, count(*)::bigint as n from owned where severity <> 'warn' group by file, stage", f"{CLASSED}, {STAGED}")
+@query("""select f.file, f.stage, h.n, f.line_no, f.severity, trim(f.line)[:160] as line from (
+    select file, stage, min(line_no) as line_no, arg_min(severity, line_no) as severity, arg_min(line, line_no) as line from (
+        select s.file, s.line_no, s.severity, s.line, coalesce(arg_min(r.name, case when r.incomplete then 1e15 + r.start_line else r.end_line end), '<pre-stage>') as stage
+        from c s left join ranges r on r.file = s.file and s.line_no > r.start_line and s.line_no < r.end_line where s.severity in ('error', 'fatal') group by all
+    ) group by file, stage) f
+join (select file, stage, count_if(severity <> 'warn')::bigint as n from owned group by file, stage) h using (file, stage) where h.n > 0""", f"{CLASSED}, {STAGED}")
 def stage_errors(c):
     return logs.stage_errors(c, logs.stage_ranges(c))
 
 
+@query("""select file, null::varchar as stage, null::bigint as n, line_no, severity, trim(line)[:160] as line from (
+    select *, row_number() over (partition by file order by line_no) as k from c where severity in ('error', 'fatal') and not contains(line, '--- ')) where k <= 10""")
+def stage_errors_flat(c):
+    """Logs without banners: the first severe lines, flat."""
+    plain = c.where("not contains(line, '--- ')")
+    return logs.stage_errors(plain, logs.stage_ranges(plain))
+
+
 @query("""select file, line_no, line, is_hit from (
     select *, max(is_hit::int) over (partition by file order by line_no rows between 2 preceding and 2 following) as near
     from (select *, coalesce(severity = 'fatal', false) as is_hit from c)) where near = 1""")
@@ -171,10 +186,18 @@ def pattern_filter(c):
     return logs.pattern_filter(c, EDA, r"mod[0-2]\.py", ["error"]).select("file", "line_no", "line")
 
 
-@query("""select distinct file, line_no, line from (
-    select *, row_number() over (partition by file, severity in ('fatal', 'error') order by line_no) as a,
-           row_number() over (partition by file, severity in ('fatal', 'error') order by line_no desc) as z from c)
-where (severity in ('fatal', 'error') and (a <= 20 or z <= 15)) or severity = 'fatal' or regexp_matches(line, '--- (Starting|Ending) "')""")
+TRIAGE = """
+f as (select *, count(*) over (partition by file) as total, count_if(severity in ('error', 'fatal')) over (partition by file) as n_severe,
+             case when severity in ('error', 'fatal') then row_number() over (partition by file, severity in ('error', 'fatal') order by line_no) end as up,
+             case when severity in ('error', 'fatal') then row_number() over (partition by file, severity in ('error', 'fatal') order by line_no desc) end as down from c),
+f1 as (select *, coalesce(severity = 'fatal' or up <= 66 or (n_severe > 2000 and down <= 50), false) as hit from f),
+f2 as (select *, max(hit::int) over (partition by file order by line_no rows between 2 preceding and 2 following) as near from f1),
+f3 as (select *, row_number() over (partition by file order by line_no) as k from f2 where near = 1 or (n_severe > 0 and regexp_matches(line, '--- (Starting|Ending) "'))
+       or line_no >= total - case when n_severe = 0 then 200 when n_severe <= 2000 then 50 else 0 end),
+shown as (select file, line_no, line from f3 where k <= 200)"""
+
+
+@query("select * from shown", f"{CLASSED}, {TRIAGE}")
 def triage(c):
     return logs.triage(c)
 
@@ -184,10 +207,10 @@ def head_tail(c):
     return logs.head_tail(c.select("file", "line_no", "line"), 10, 15)
 
 
-@query("""select file, code, line_no, n from (select *, row_number() over (partition by file, code order by line_no) as k,
-count(*) over (partition by file, code) as n from c where severity is not null) where k = 3""")
+@query("""select file, code, line_no, n, case when k <= 16 then 'head' when k > n - 16 then 'tail' else 'between' end as place from (
+    select *, row_number() over (partition by file, code order by line_no) as k, count(*) over (partition by file, code) as n from c where severity is not null) where k = 20""")
 def nth_occurrence(c):
-    return logs.nth_occurrence(c, 3)
+    return logs.nth_occurrence(c, 20)
 
 
 MENTION_SQL = r"m as (select distinct file, unnest(regexp_extract_all(line, '\b([A-Za-z0-9_./\-]+\.(?:tcl|sdc|lef|def|vhd|sv|vh|v|lib|rpt|log|md|conf|yaml|yml|json|py|cpp|c|hpp|h|csh|sh))\b', 1)) as token, line_no from log)"
@@ -230,17 +253,17 @@ def template_normalise(c):
     return c.select("file", "line_no", template(F.col("line")).alias("template"))
 
 
-@query("select id, path, line_no, case when total is null then 'file not found' when line_no < 1 or line_no > total then 'line out of range' else 'ok' end as reason from (select distinct file || '#' || line_no as id, case when line_no % 3 = 0 then 'gone.log' else file end as path, line_no * 2 as line_no from log where line_no % 50 = 0) x left join (select file, count(*) as total from log group by file) t on t.file = x.path")
+@query("select id, path, line_no, case when total is null then 'file not found' when line_no < 1 or line_no > total then 'line out of range' else 'ok' end as reason from (select distinct file || '#' || line_no as id, case when line_no % 3 = 0 then 'gone.log' else file end as path, line_no * 2 as line_no from log) x left join (select file, count(*) as total from log group by file) t on t.file = x.path")
 def cite_check(c):
-    told = F.concat(F.lit("see "), F.when(F.col("line_no") % 3 == 0, "gone.log").otherwise(F.col("file")), F.lit(":"), (F.col("line_no") * 2).cast("string"), F.lit(" for more"))
-    said = c.where("line_no % 50 = 0").select(F.concat_ws("#", "file", F.col("line_no").cast("string")).alias("id"), told.alias("text"))
+    told = F.concat(F.lit("see "), F.when(F.col("line_no") % 3 == 0, "gone.log").otherwise(F.col("file")), F.when(F.col("line_no") % 2 == 0, ":").otherwise(" on line "), (F.col("line_no") * 2).cast("string"), F.lit(" for more"))
+    said = c.select(F.concat_ws("#", "file", F.col("line_no").cast("string")).alias("id"), told.alias("text"))
     return answers.checked(answers.citations(said), c.groupBy("file").agg(F.count("*").alias("total")))
 
 
 @query("select file as id, severity, claimed, claimed = case severity when 'fatal' then f when 'error' then e else w end as holds from (select file, count_if(severity = 'fatal') as f, count_if(severity = 'error') as e, count_if(severity = 'warn') as w from c group by file), lateral (values ('fatal', f::bigint), ('error', (e + 1)::bigint), ('warn', w::bigint)) as x(severity, claimed)")
 def numeric_claims(c):
     n = logs.census(c)
-    said = n.select(F.col("file").alias("id"), F.concat_ws(" ", F.lit("There are"), F.col("n_fatal").cast("string"), F.lit("FATAL and"), (F.col("n_error") + 1).cast("string"), F.lit("errors and"), F.col("n_warn").cast("string"), F.lit("warnings.")).alias("text"))
+    said = n.select(F.col("file").alias("id"), F.concat_ws(" ", F.lit("There are"), F.col("n_fatal").cast("string"), F.lit("FATAL and"), (F.col("n_error") + 1).cast("string"), F.lit("ERROR and"), F.col("n_warn").cast("string"), F.lit("warning in all.")).alias("text"))
     true = n.select(F.col("file").alias("id"), F.posexplode(F.array("n_fatal", "n_error", "n_warn")).alias("k", "n")).withColumn("severity", F.element_at(F.array(*map(F.lit, ("fatal", "error", "warn"))), F.col("k") + 1))
     return answers.numeric_claims(said).join(true, ["id", "severity"]).select("id", "severity", "claimed", (F.col("claimed") == F.col("n")).alias("holds"))
 
@@ -266,7 +289,7 @@ def doc_lines(spark, read):
 
 TOKENS = "t as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9_]+') as t from documents)"
 BM25 = f"""{TOKENS}, p as (select id, len, token, count(*) as tf from (select id, len(t) as len, unnest(t) as token from t) group by all),
-q as (select qid, token, count(*) as qf from (select item_id as qid, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as token from benchmark where item_id < 20) where length(token) > 1 group by all),
+q as (select qid, token, count(*) as qf from (select item_id as qid, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as token from benchmark where item_id % 20 = 0) where length(token) > 1 group by all),
 s as (
     select qid, p.id, sum(qf * ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / a))) as score
     from p join q using (token) join (select token, count(*) as df from p group by token) using (token), (select count(*) as n, avg(len(t)) as a from t) group by all
@@ -275,7 +298,7 @@ s as (
 
 def _bm25(read):
     docs = read("documents").select(F.col("doc_id").alias("id"), "text")
-    return retrieval.bm25(docs, read("benchmark").where("item_id < 20").select(F.col("item_id").alias("qid"), "text"))
+    return retrieval.bm25(docs, read("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text"))
 
 
 def _top(df, k, score="score", by="qid"):
@@ -299,13 +322,13 @@ def bm25_topk(spark, read):
 
 
 COS = """cs as (select q.vec_id as qid, v.vec_id as id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) as cos
-from (select vec_id, embedding::double[] as e from embeddings where vec_id < 20) q, (select vec_id, embedding::double[] as e from embeddings) v)"""
+from (select vec_id, embedding::double[] as e from embeddings where vec_id % 20 = 0) q, (select vec_id, embedding::double[] as e from embeddings) v)"""
 
 
 def _cosine(read):
     v = read("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.where("id < 20").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
-    return v.crossJoin(F.broadcast(q)).select("qid", "id", retrieval.cosine(F.col("query"), F.col("embedding")).alias("cos"))  # a stated set of 20 queries
+    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+    return v.crossJoin(F.broadcast(q)).select("qid", "id", retrieval.cosine(F.col("query"), F.col("embedding")).alias("cos"))  # the stated query set: ids divisible by 20, in blocks of QUERY_BLOCK
 
 
 @table_query(f"with {COS} select qid, id, r as score from (select *, row_number() over (partition by qid order by r desc, id) as k from (select qid, id, round(cos, 6) as r from cs)) where k <= 5")
@@ -319,8 +342,8 @@ h as (select qid, id, 0.5e0 * case when max(b) over w > min(b) over w then (b -
 select qid, id, r as score from (select *, row_number() over (partition by qid order by r desc, id) as k from (select qid, id, round(score, 6) as r from h)) where k <= 5""")
 def hybrid_rank(spark, read):
     j = _bm25(read).withColumnRenamed("score", "b").join(_cosine(read), ["qid", "id"], "full").na.fill(0.0, ["b", "cos"])
-    w = Window.partitionBy("qid")
-    return _top(j.withColumn("score", F.lit(0.5) * retrieval.scaled("b", w) + F.lit(0.5) * retrieval.scaled("cos", w)), 5)
+    spans = j.groupBy("qid").agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("b", "cos") for f in (F.min, F.max)))  # a row a query
+    return _top(j.join(spans, "qid").withColumn("score", F.lit(0.5) * retrieval.scaled("b") + F.lit(0.5) * retrieval.scaled("cos")), 5)
 
 
 @table_query()

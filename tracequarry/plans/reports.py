@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions.profiles import EDA, GENERIC, detected
 from tracequarry.operators import answers, logs, retrieval
-from tracequarry.plans.registry import BM25, CLASSED, SEVERE, STAGED, _bm25, _top, query, table_query
+from tracequarry.plans.registry import BM25, CLASSED, SEVERE, STAGED, TRIAGE, _bm25, _top, query, table_query
 from tracequarry.sources.logs import classified, json_records
 
 OFFSETS = "o as (select file, line_no, line, (sum(strlen(line) + 1) over (partition by file order by line_no) - strlen(line) - 1)::bigint as start from log)"
 NEAR = """near as (select file, line_no from (
     select *, max((coalesce(severity = 'fatal', false))::int) over (partition by file order by line_no rows between 2 preceding and 2 following) as near from c) where near = 1)"""
-SHOWN = """shown as (select distinct file, line_no from (
-    select *, row_number() over (partition by file order by line_no) as a, row_number() over (partition by file order by line_no desc) as z from c where severity in ('fatal', 'error'))
-where a <= 20 or z <= 15 or severity = 'fatal')"""
-
-
 @query("select file, line_no, start from o", f"{CLASSED}, {OFFSETS}")
 def byte_offsets(c):
     return logs.offsets(c).select("file", "line_no", "start")
@@ -30,7 +25,7 @@ def log_listing(c):
 
 @query(rf"select file, case when bool_or(regexp_matches(line, '--- (Starting|Ending) \"|\([A-Z][A-Z0-9]+-\d+\)')) then 'eda' else 'generic' end as profile, {SEVERE.replace('severity', 's')} from (select o.*, c.severity as s from o join c using (file, line_no)) where start < 8192 group by file", f"{CLASSED}, {OFFSETS}")
 def profile_report(c):
-    head = logs.offsets(c).where("start < 8192")
+    head = logs.head_bytes(c, 8192)
     n = lambda s: F.count_if(EDA.severity(F.col("line")) == s).alias(f"n_{s}")
     hit = F.max(F.when(detected(F.col("line")) == EDA.name, 1).otherwise(0)) == 1
     return head.groupBy("file").agg(F.when(hit, EDA.name).otherwise(GENERIC.name).alias("profile"), n("fatal"), n("error"), n("warn"))
@@ -53,7 +48,7 @@ def context_gaps(c):
     return logs.gaps(logs.context(c, F.coalesce(F.col("severity") == "fatal", F.lit(False)))).select("file", "line_no", "gap")
 
 
-@query("select file, count(*)::bigint as n_unseen from c where severity in ('fatal', 'error') and (file, line_no) not in (select (file, line_no) from shown) group by file", f"{CLASSED}, {SHOWN}")
+@query("select file, count(*)::bigint as n_unseen from c where severity in ('fatal', 'error') and (file, line_no) not in (select (file, line_no) from shown) group by file", f"{CLASSED}, {TRIAGE}")
 def unseen_severe(c):
     return logs.unseen(c, logs.triage(c))
 
@@ -70,16 +65,16 @@ def generic_codes(c):
     return x.groupBy("file", "code").agg(n("fatal"), n("error"), n("warn"))
 
 
-BLOCK = "blocks as (select file || '#' || (line_no // 50)::bigint as id, line_no // 50 as b, line_no % 50 as k, line from log)"
+BLOCK = "blocks as (select file || '#' || (line_no // 50)::bigint as id, line_no, line, line || case when line_no % 2 = 1 then ' never' else '' end as quote from log)"
 
 
-@query("""select id, quote from (select id, line || case when b % 2 = 1 then ' never' else '' end as quote from blocks where k = 0) q
+@query("""select distinct id, quote from blocks q
 where length(quote) >= 20 and not exists (select 1 from blocks x where x.id = q.id and contains(x.line, q.quote[:40]))""", f"{CLASSED}, {BLOCK}")
 def quote_check(c):
-    block = F.floor(F.col("line_no") / 50)
-    x = c.select(F.concat_ws("#", "file", block.cast("string")).alias("id"), block.alias("b"), (F.col("line_no") % 50).alias("k"), "line")
-    said = x.where("k = 0").select("id", F.concat(F.lit("it says `"), "line", F.when(F.col("b") % 2 == 1, " never").otherwise(""), F.lit("` there")).alias("text"))
-    return answers.unsupported(answers.quotes(said), x.select("id", F.col("line").alias("result")))
+    """Every line quoted, every other one with a word more, against the results of its block."""
+    x = c.select(F.concat_ws("#", "file", F.floor(F.col("line_no") / 50).cast("string")).alias("id"), "line_no", "line")
+    said = x.select("id", F.concat(F.lit("it says `"), "line", F.when(F.col("line_no") % 2 == 1, " never").otherwise(""), F.lit("` there")).alias("text"))
+    return answers.unsupported(answers.quotes(said).distinct(), x.select("id", F.col("line").alias("result")))
 
 
 @query("select file as id, 2::bigint as step, 'log_summary(path=' || file || ')' as call from log group by file union all select file, 1, 'read_logs(path=' || file || ')' from log where file > 'app_1.log' group by file")
@@ -111,11 +106,6 @@ def constraint_lint(spark, read):
     return answers.clock_issues(lines).select("file", "clock", "line_no", "declared")
 
 
-@table_query(f"with {BM25}, v as (select qid % 10 as qid, id, max(score) as score from s group by all) select qid, id, r as score from (select *, row_number() over (partition by qid order by r desc, id) as k from (select qid, id, round(score, 6) as r from v)) where k <= 5")
-def query_variants(spark, read):
-    return _top(retrieval.best_of(_bm25(read).withColumn("base", F.col("qid") % 10)).withColumnRenamed("base", "qid"), 5)
-
-
 @table_query(f"with {BM25} select qid, count(*)::bigint as n from s where score >= (select case when count(*) >= 50 then 20 else 0 end from documents) group by qid")
 def relevance_floor(spark, read):
     n = read("documents").agg(F.when(F.count("*") >= 50, 20.0).otherwise(0.0).alias("floor"))

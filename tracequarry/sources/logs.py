@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +63,24 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFram
     """source, text of whole files."""
     raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
     return raw.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+
+
+def workspace(spark: SparkSession, what: str) -> str:
+    """A new folder that all executors reach: under spark.checkpoint.dir; where that is unset, of this machine if Spark runs on it alone."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp()
+    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def write_logs(lines: DataFrame, path: str) -> None:
+    """Text logs of lines (file, line_no, line), one under path/file=<file> each; a file's lines meet in one task, as a text file needs."""
+    rows = lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no")
+    rows.select("file", "line").write.partitionBy("file").option("lineSep", "\n").text(path)
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of logs that write_logs wrote."""
+    return text_lines(spark, path).withColumn("file", F.url_decode(F.regexp_extract("file", "file=([^/]+)", 1)))
