@@ -214,16 +214,17 @@ def dealt(places: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """
     rows = places.join(sizes, "cls")
     total = rows.groupBy("bundle").agg(F.sum("n").alias("tokens"), F.count("*").alias("m"))
-    whole = (F.col("tokens") <= BLOCK_TOKENS) & (F.col("m") <= BLOCK_SETS)
-    rows = rows.join(total.select("bundle", whole.alias("whole")), "bundle")
-    c = F.when(F.col("whole"), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / -math.log((percent - 1) / 100)).cast("int"))
-    small, large = rows.where("whole"), rows.where("not whole").withColumn("c", c)
+    beyond = written(total.where((F.col("tokens") > BLOCK_TOKENS) | (F.col("m") > BLOCK_SETS)).select("bundle"), "large")
+    some = bounded(beyond, BROADCAST_IDS)
+    c = F.floor(F.log(F.col("n").cast("double")) / -math.log((percent - 1) / 100)).cast("int")
+    small, large = rows.join(some, "bundle", "left_anti"), rows.join(some, "bundle", "left_semi").withColumn("c", c)
     block = lambda c, r: F.struct(c.cast("int").alias("c"), r.cast("int").alias("r"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("left"), F.greatest(a, b).alias("right"))
     count = large.groupBy("bundle", "c").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("k"))
     count = written(count, "blocks")
+    few = count.count() <= BROADCAST_IDS // 4
     for d in (-1, 0, 1):
-        large = large.join(count.select("bundle", (F.col("c") - d).alias("c"), F.col("k").alias(f"k{d + 1}")), ["bundle", "c"], "left")
+        large = large.join((F.broadcast(count) if few else count).select("bundle", (F.col("c") - d).alias("c"), F.col("k").alias(f"k{d + 1}")), ["bundle", "c"], "left")
     own = block(F.col("c"), F.pmod(F.xxhash64("cls"), F.col("k1")))
     near = F.flatten(F.array(*(_near(F.col("c"), F.col(f"k{d + 1}"), own, pair, block, d) for d in (-1, 0, 1))))
     large = large.select("bundle", "cls", own.alias("block"), F.explode(near).alias("pair")).select("bundle", "pair.left", "pair.right", "block", "cls")
