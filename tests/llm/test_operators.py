@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -431,3 +432,17 @@ def test_odd_rows_through_the_pipeline(spark, docs, monkeypatch, tmp_path):
     monkeypatch.setattr(pipeline, "read", lambda spark, sf, table: docs if table == "documents" else spark.read.parquet(f"{sf}/{table}.parquet"))
     packed = pipeline.run(spark, str(tmp_path))
     assert packed.columns[:3] == ["doc_id", "piece", "start"] and packed.count() > 0
+
+
+def test_products_of_empty_and_huge_vectors(spark):
+    r = random.Random(12)
+    rows = [(i, []) for i in range(0, 600)] + [(1000 + i, [r.choice([1e18, -1e18, 3e9, 0.5]), r.choice([1e18, 7.0, -2e12])]) for i in range(300)] + [(2000 + i, [1e200 * r.random(), 1.0, 2.0]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    hold = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for q, v in whole.items():
+        if q % 50 == 0:
+            best = sorted((-hold(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in whole.items() if i != q and len(w) == len(v))[:5]
+            want += [(q, k, i, -x) for k, (x, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, o4.top_products(df, df.where("vec_id % 50 = 0")).collect())) == sorted(want)

@@ -7,8 +7,8 @@ score is shared: it starts from a bounded sample of the vectors, searched before
 tasks found is merged by query.
 
 Vectors null or holding null or non-finite components take no part, nor do null ids; only vectors of the query's length are compared. Of
-repeated ids the best score counts, and an id is reported once. Products are exact: where doubles could round, Python's integers are
-used, and scores beyond a long are held at its ends. Only vec_id and embedding are read; an empty table gives an empty result.
+repeated ids the best score counts, and an id is reported once. Products are exact: where doubles could round, leaves are
+multiplied in Python's integers, and scores beyond a long are held at its ends. Vectors without components have products of 0. Only vec_id and embedding are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ Top = list[tuple[int, int]]  # (-score, id), in order
 
 
 class BallTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rounded: bool | None = None):
+        self.rounded = rounded  # whether doubles may round the products, so that leaves are multiplied in integers
         self.order = np.arange(len(ids))
         self.nodes: list[tuple[int, int, int, int]] = []  # start, end, left child, right child
         self.ids, self.vectors = ids, vectors
@@ -50,7 +51,7 @@ class BallTree:
             if parent >= 0:
                 x = self.nodes[parent]
                 self.nodes[parent] = (*x[:2], k, x[3]) if side == 0 else (*x[:3], k)
-            if b - a > LEAF:
+            if b - a > LEAF and v.shape[1]:
                 dim = int(np.argmax(v.max(0) - v.min(0)))
                 half = (b - a) // 2
                 self.order[a:b] = own[np.argpartition(v[:, dim], half, kind="introselect")]
@@ -58,12 +59,17 @@ class BallTree:
         self.centers, self.radii, self.least = np.array(centers), np.array(radii), np.array(least)
         self.ids, self.vectors = ids[self.order], vectors[self.order]
 
+    def exact(self, a: int, b: int, query: np.ndarray) -> np.ndarray:
+        """Products of vectors a to b - 1 in Python's integers, held at a long's ends."""
+        whole = [int(x) for x in query]
+        return np.array([max(-LONG - 1, min(LONG, sum(int(x) * y for x, y in zip(v, whole, strict=True)))) for v in self.vectors[a:b]], object)
+
     def search(self, query: np.ndarray, own: int, bounds: np.ndarray, top: Top, floor: int | None) -> Top:
         """top, with what this tree has better; bounds: the query's for each node; floor: a score that k others reach elsewhere."""
         heap = [(-bounds[0], 0)]
         while heap:
             bound, k = heapq.heappop(heap)
-            bound = int(np.floor(-bound))
+            bound = int(np.floor(-bound)) if np.isfinite(bound) else LONG
             kth, worst = (-top[TOP - 1][0], top[TOP - 1][1]) if len(top) >= TOP else (None, None)
             need = max((x for x in (kth, floor) if x is not None), default=None)
             if need is not None and bound < need:
@@ -75,7 +81,7 @@ class BallTree:
                 heapq.heappush(heap, (-bounds[left], left))
                 heapq.heappush(heap, (-bounds[right], right))
                 continue
-            score = self.vectors[a:b] @ query
+            score = self.vectors[a:b] @ query if self.rounded is None else self.exact(a, b, query)
             at = np.flatnonzero(score >= need) if need is not None else np.arange(b - a)
             if len(at):
                 top = merged(top, [(-int(s), int(i)) for s, i in zip(score[at], self.ids[a:b][at], strict=True) if i != own])
@@ -101,15 +107,11 @@ def search_block(tops: dict[int, Top], floors: dict[int, int], q_ids: np.ndarray
     """Betters tops (by the queries' numbers) with the vectors of one shard."""
     if not len(ids) or not len(q_ids):
         return
-    if not exact_in_doubles(queries, vectors):
-        whole = np.array([[int(x) for x in v] for v in vectors], object).reshape(vectors.shape)
-        for k, q in enumerate(queries):
-            score = whole @ np.array([int(x) for x in q], object) if whole.shape[1] else np.zeros(len(ids), object)
-            tops[k] = merged(tops.get(k, []), [(-max(-LONG - 1, min(LONG, int(s))), int(i)) for s, i in zip(score, ids, strict=True) if i != q_ids[k]])
-        return
-    tree = BallTree(ids, vectors)
-    bounds = queries @ tree.centers.T + np.sqrt((queries**2).sum(1))[:, None] * tree.radii
-    bounds += 1e-9 * np.abs(bounds) + 1e-6
+    with np.errstate(all="ignore"):  # bounds beyond doubles are infinite and cut nothing off
+        tree = BallTree(ids, vectors, None if exact_in_doubles(queries, vectors) else True)
+        bounds = queries @ tree.centers.T + np.sqrt((queries**2).sum(1))[:, None] * tree.radii
+        bounds += 1e-9 * (np.abs(bounds) + np.abs(queries) @ np.abs(tree.centers.T)) + 1e-6
+    bounds = np.nan_to_num(bounds, nan=np.inf, posinf=np.inf, neginf=np.inf)
     for k, q in enumerate(queries):
         tops[k] = tree.search(q, int(q_ids[k]), bounds[k], tops.get(k, []), floors.get(k))
 
