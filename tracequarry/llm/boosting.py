@@ -58,11 +58,12 @@ class BoostedTrees:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.raw(x) + self.shift)))
 
-    def threshold(self, x: np.ndarray, y: np.ndarray, precision: float) -> float:
-        """The least probability at and above which the held-out rows reach the precision."""
-        held = np.arange(len(y)) % 5 == 0
+    def threshold(self, x: np.ndarray, y: np.ndarray, precision: float, rate: float, rows: np.ndarray) -> float:
+        """The least probability at and above which the held-out ones of rows reach the precision, if positives were `rate` of all; over 1 if none does."""
+        held = (np.arange(len(y)) % 5 == 0) & rows
         p, target = self.predict(x[held]), y[held]
         order = np.argsort(-p, kind="stable")
-        good = np.cumsum(target[order]) / np.arange(1, len(order) + 1)
+        weight = np.where(target[order] > 0, 1.0, (1 - rate) / rate * target.sum() / max(1.0, (1 - target).sum()))
+        good = np.cumsum(target[order]) / np.cumsum(weight)
         met = np.flatnonzero(good >= precision)
         return float(p[order[met[-1]]]) if len(met) else 1.01
