@@ -468,3 +468,19 @@ def test_products_of_empty_and_huge_vectors(spark):
             best = sorted((-hold(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in whole.items() if i != q and len(w) == len(v))[:5]
             want += [(q, k, i, -x) for k, (x, i) in enumerate(best, 1)]
     assert sorted(map(tuple, o4.top_products(df, df.where("vec_id % 50 = 0")).collect())) == sorted(want)
+
+
+def test_long_pieces_by_the_recursive_query(monkeypatch):
+    import base64
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    r = random.Random(3)
+    pieces = [b"x" * 5000, b" " * 3000, b"ab" * 400 + b"a", b"a", "漢字".encode() * 90]
+    pieces += [bytes(r.choices(letters, k=r.randrange(2, 700))) for letters in (b"eta", b"etaoinshr", b"ABCabc0123+/") for _ in range(40)]
+    pieces = sorted({*pieces})
+    for rows in (o9.STEP_ROWS, 30_000):
+        monkeypatch.setattr(o9, "STEP_ROWS", rows)
+        told, decoded = o9.SqlBPE(ranks).learn(pieces)
+        assert [list(map(int, t.split())) for t in told] == [lib.encode_single_piece(p) for p in pieces] and decoded == pieces

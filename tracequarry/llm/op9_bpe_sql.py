@@ -2,8 +2,10 @@
 
 A partition's distinct pieces become rows of (piece, position, token). A recursive query joins each adjacent pair with the merge
 table, contracts every piece's leftmost pair of least rank, and ends when no pair of any piece can merge. An ordered aggregation
-gives a piece's ids, another one decodes ids to bytes. One contraction a step is quadratic in a piece's length, so the contraction of
-pieces beyond LONG_PIECE bytes (no words of any language) is left to the tiktoken library; they are decoded like the others.
+gives a piece's ids, another one decodes ids to bytes. Where a piece has its least rank several times, one step contracts all of them,
+from the left: the leftmost would be the next each time, unless the new token can make a pair of a lower rank. For such tokens (unsafe)
+a step contracts the leftmost only. A query keeps the rows of all its steps, so it stops at STEP_ROWS of them and the next one goes on
+from its last step. There is no other way for long pieces.
 
 Nulls and empty texts have no ids. Repeated rows each get their row, null ids stay null, other columns are not looked at, an empty
 table gives an empty result.
@@ -28,27 +30,40 @@ QUERY_PIECES, CACHE_PIECES = 60_000, 600_000
 #: One query's pieces have at most so many bytes together, but for a single longer piece.
 QUERY_BYTES = 600_000
 
-LONG_PIECE = 256
+#: Memory of a worker's DuckDB, which has no folder to spill to, and what a byte of a query's pieces needs of it, for single huge pieces.
+MEMORY_MB, PIECE_BYTE_MEMORY = 220, 250
+#: Rows of all steps that one query keeps.
+STEP_ROWS = 2_000_000
 
 CONTRACT = """
 with recursive steps(w, pos, tok, step) as (
     select w, pos, tok, 0 from start
     union all (
         with pairs as materialized (
-            select s.w, s.pos, s.tok, s.step, s.nxt, (m.rank << 32) + s.pos as key
+            select s.w, s.pos, s.tok, s.step, s.n, m.rank
             from (
-                select w, pos, tok, step, lead(pos) over q as nxt, case when lead(w) over q = w then lead(tok) over q end as after
+                select w, pos, tok, step, row_number() over q as n, case when lead(w) over q = w then lead(tok) over q end as after
                 from steps window q as (order by w, pos)
             ) s
             left join merges m on m.a = s.tok and m.b = s.after
         ),
-        least as (select w, min(key) as key, arg_min(nxt, key) as gone from pairs where key is not null group by w)
-        select w, pos, case when p.key = l.key then (l.key >> 32)::integer else tok end, step + 1
-        from pairs p join least l using (w) where pos <> gone
+        least as (
+            select w, l.rank, case when u.tok is not null then l.pos end as lone
+            from (select w, min(rank) as rank, arg_min(pos, (rank << 32) + pos) as pos from pairs where rank is not null group by w) l
+            left join unsafe u on u.tok = l.rank
+        ),
+        hit as (
+            select n, n - row_number() over (order by n) as run
+            from pairs join least using (w) where pairs.rank = least.rank and (lone is null or pos = lone)
+        ),
+        chosen as materialized (select n from (select n, row_number() over (partition by run order by n) as k from hit) where k % 2 = 1)
+        select p.w, p.pos, case when c.n is not null then p.rank else p.tok end, p.step + 1
+        from pairs p join least using (w) left join chosen c on c.n = p.n left join chosen gone on gone.n = p.n - 1
+        where gone.n is null and p.step < $most
     )
 )
-select w, list(tok order by pos) as ids
-from steps semi join (select w, max(step) as step from steps group by w) last using (w, step) group by w
+select w, step, list(pos order by pos) as pos, list(tok order by pos) as ids
+from steps semi join (select w, max(step) as step from steps group by w) last using (w, step) group by w, step
 """
 
 DECODE = "select w, string_agg(t.bytes, '' order by pos) as bytes from ids join tokens t using (tok) group by w"
@@ -59,13 +74,12 @@ class SqlBPE:
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
-        import tiktoken
 
-        self.library = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "220MB", "preserve_insertion_order": False})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
         self.ranks, self.byte = ranks, [ranks[bytes([b])] for b in range(256)]
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self._table("merges", pa.table(dict(zip("ab", map(pa.array, zip(*((a, b) for a, b, _ in pairs), strict=True)), strict=True)) | {"rank": pa.array([r for *_, r in pairs])} if pairs else {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "rank": pa.array([], pa.int64())}))
+        self._table("unsafe", pa.table({"tok": pa.array(sorted({x for a, b, r in pairs for x in (a, b) if r < x}), pa.int64())}))
         self._table("tokens", pa.table({"tok": pa.array(list(ranks.values())), "bytes": pa.array([t.hex() for t in ranks])}))
         self.known: dict[bytes, str] = {}  # ids as text
         self.other: dict[bytes, bytes] = {}  # decoded bytes, where they aren't the piece's
@@ -75,17 +89,29 @@ class SqlBPE:
         self.con.execute(f"create or replace temp table {name} as select * from arriving")
         self.con.unregister("arriving")
 
+    def _contract(self, todo: dict[int, list[int]]) -> dict[int, list[int]]:
+        """The ids of pieces, given as their bytes' ids."""
+        done = {}
+        state = {i: (range(len(x)), x) for i, x in todo.items()}
+        while state:
+            rows = sum(len(x) for _, x in state.values())
+            most = max(1, STEP_ROWS // rows)
+            self._table("start", pa.table({"w": pa.array([i for i, (_, x) in state.items() for _ in x], pa.int32()), "pos": pa.array([k for at, _ in state.values() for k in at], pa.int32()), "tok": pa.array([t for _, x in state.values() for t in x], pa.int32())}))
+            state = {}
+            for w, step, at, ids in self.con.execute(CONTRACT, {"most": most}).fetchall():
+                if step == most:
+                    state[w] = at, ids
+                else:
+                    done[w] = ids
+        return done
+
     def _query(self, pieces: list[bytes]) -> None:
         """Adds count, ids as text and decoded bytes of the pieces to what is known."""
+        needed = max(MEMORY_MB, sum(map(len, pieces)) * PIECE_BYTE_MEMORY >> 20)
+        self.con.execute(f"set memory_limit = '{needed}MB'")
         ids: list[list[int] | None] = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
-        for i, p in enumerate(pieces):
-            if ids[i] is None and len(p) > LONG_PIECE:
-                ids[i] = self.library.encode_single_piece(p)
-        todo = [i for i, x in enumerate(ids) if x is None]
-        if todo:
-            self._table("start", pa.table({"w": pa.array([i for i in todo for _ in pieces[i]], pa.int32()), "pos": pa.array([k for i in todo for k in range(len(pieces[i]))], pa.int32()), "tok": pa.array([self.byte[b] for i in todo for b in pieces[i]], pa.int32())}))
-            for w, found in self.con.execute(CONTRACT).fetchall():
-                ids[w] = found
+        for w, found in self._contract({i: [self.byte[b] for b in p] for i, p in enumerate(pieces) if ids[i] is None}).items():
+            ids[w] = found
         self._table("ids", pa.table({"w": pa.array([i for i, x in enumerate(ids) for _ in x], pa.int32()), "pos": pa.array([k for x in ids for k in range(len(x))], pa.int32()), "tok": pa.array([t for x in ids for t in x], pa.int64())}))
         for w, text in self.con.execute(DECODE).fetchall():
             self.known[pieces[w]] = " ".join(map(str, ids[w]))
