@@ -484,3 +484,16 @@ def test_long_pieces_by_the_recursive_query(monkeypatch):
         monkeypatch.setattr(o9, "STEP_ROWS", rows)
         told, decoded = o9.SqlBPE(ranks).learn(pieces)
         assert [list(map(int, t.split())) for t in told] == [lib.encode_single_piece(p) for p in pieces] and decoded == pieces
+
+
+def test_counts_of_frequent_contents(spark, monkeypatch):
+    monkeypatch.setattr(o2, "HOT", 2)
+    monkeypatch.setattr(o2, "HOT_MOST", 2)
+    texts = ["a b", "c d e", "f", None, "g " * 1100]
+    rows = [(i if i % 7 else None, texts[i % 5] if i < 40 else f"text {i}") for i in range(60)]
+    got = o2.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), scratch(spark, "t")).collect()
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = [(i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert collections.Counter(map(tuple, got)) == collections.Counter((*x, x[2] > 1024) for x in want)

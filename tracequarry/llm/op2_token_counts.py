@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, read, scratch, text_of
+from .common import chunks, read, scratch, text_of, written
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 LIMIT = 1024
+#: A content in more rows than HOT is joined by broadcast, the HOT_MOST most frequent ones at most (about 60 bytes each).
+HOT, HOT_MOST = 200, 50_000
 
 
 @lru_cache(4)
@@ -68,18 +70,20 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     """doc_id, n_bytes, n_tokens, over_limit for each row; the cache at `cache` (a path all executors reach) has grown by the misses.
 
     Duplicates fold into one row per digest within each task before texts are shuffled, so a content that a third of all rows have
-    moves once per task. Each digest is then in one partition for both the cache lookup and the encoding.
+    moves once per task. The rows themselves meet the counts by digest: those of frequent contents where they lie, by a small broadcast
+    table, the others by shuffle, where none has a large group.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
     have = stored(spark, cache, version)
     misses = rows.select("digest", "text").dropDuplicates(["digest"]).join(have, "digest", "left_anti")
     encode_misses(misses, tokenizer).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return (
-        rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-        .join(stored(spark, cache, version), "digest")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    listed = written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "token-rows")
+    counts = stored(spark, cache, version)
+    hot = listed.groupBy("digest").agg(F.count("*").alias("k")).where(F.col("k") > HOT).orderBy(F.desc("k"), "digest").limit(HOT_MOST).select("digest")
+    hot = F.broadcast(written(counts.join(F.broadcast(hot), "digest"), "token-hot"))
+    told = listed.join(hot, "digest").unionByName(listed.join(hot, "digest", "left_anti").join(counts, "digest"))
+    return told.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
