@@ -2,10 +2,10 @@
 
 A partition's distinct pieces become rows of (piece, position, token). A recursive query joins each adjacent pair with the merge
 table, contracts every piece's leftmost pair of least rank, and ends when no pair of any piece can merge. An ordered aggregation
-gives a piece's ids, another one decodes ids to bytes. Where a piece has its least rank several times, one step contracts all of them,
-from the left: the leftmost would be the next each time, unless the new token can make a pair of a lower rank. For such tokens (unsafe)
-a step contracts the leftmost only. A query keeps the rows of all its steps, so it stops at STEP_ROWS of them and the next one goes on
-from its last step. There is no other way for long pieces.
+gives a piece's ids, another one decodes ids to bytes. One contraction a step is quadratic in a piece's length, so the same query for
+pieces beyond LONG_PIECE bytes (no words of any language) contracts all pairs of the least rank in a step, from the left: the leftmost
+would be the next each time, unless the new token can make a pair of a lower rank. For such tokens (unsafe) a step contracts the leftmost
+only. A query keeps the rows of all its steps, so it stops at STEP_ROWS of them and the next one goes on from its last step.
 
 Nulls and empty texts have no ids. Repeated rows each get their row, null ids stay null, other columns are not looked at, an empty
 table gives an empty result.
@@ -32,10 +32,30 @@ QUERY_BYTES = 600_000
 
 #: Memory of a worker's DuckDB, which has no folder to spill to, and what a byte of a query's pieces needs of it, for single huge pieces.
 MEMORY_MB, PIECE_BYTE_MEMORY = 220, 250
+#: Beyond so many bytes a piece's pairs of least rank are contracted in one step; the ids are the same.
+LONG_PIECE = 256
 #: Rows of all steps that one query keeps.
 STEP_ROWS = 2_000_000
 
 CONTRACT = """
+with recursive steps(w, pos, tok, step) as (
+    select w, pos, tok, 0 from start
+    union all (
+        with pairs as materialized (
+            select s.w, s.pos, s.tok, s.step, s.nxt, (m.rank << 32) + s.pos as key
+            from (
+                select w, pos, tok, step, lead(pos) over q as nxt, case when lead(w) over q = w then lead(tok) over q end as after
+                from steps window q as (order by w, pos)
+            ) s
+            left join merges m on m.a = s.tok and m.b = s.after
+        ),
+        least as (select w, min(key) as key, arg_min(nxt, key) as gone from pairs where key is not null group by w)
+        select w, pos, case when p.key = l.key then (l.key >> 32)::integer else tok end, step + 1
+        from pairs p join least l using (w) where pos <> gone and step < $most
+    )
+"""
+
+CONTRACT_ALL = """
 with recursive steps(w, pos, tok, step) as (
     select w, pos, tok, 0 from start
     union all (
@@ -61,8 +81,11 @@ with recursive steps(w, pos, tok, step) as (
         from pairs p join least using (w) left join chosen c on c.n = p.n left join chosen gone on gone.n = p.n - 1
         where gone.n is null and p.step < $most
     )
+"""
+
+LAST = """
 )
-select w, step, list(pos order by pos) as pos, list(tok order by pos) as ids
+select w, step, list(pos order by pos) filter (where step = $most) as pos, list(tok order by pos) as ids
 from steps semi join (select w, max(step) as step from steps group by w) last using (w, step) group by w, step
 """
 
@@ -89,7 +112,7 @@ class SqlBPE:
         self.con.execute(f"create or replace temp table {name} as select * from arriving")
         self.con.unregister("arriving")
 
-    def _contract(self, todo: dict[int, list[int]]) -> dict[int, list[int]]:
+    def _contract(self, sql: str, todo: dict[int, list[int]]) -> dict[int, list[int]]:
         """The ids of pieces, given as their bytes' ids."""
         done = {}
         state = {i: (range(len(x)), x) for i, x in todo.items()}
@@ -98,7 +121,7 @@ class SqlBPE:
             most = max(1, STEP_ROWS // rows)
             self._table("start", pa.table({"w": pa.array([i for i, (_, x) in state.items() for _ in x], pa.int32()), "pos": pa.array([k for at, _ in state.values() for k in at], pa.int32()), "tok": pa.array([t for _, x in state.values() for t in x], pa.int32())}))
             state = {}
-            for w, step, at, ids in self.con.execute(CONTRACT, {"most": most}).fetchall():
+            for w, step, at, ids in self.con.execute(sql + LAST, {"most": most}).fetchall():
                 if step == most:
                     state[w] = at, ids
                 else:
@@ -110,8 +133,10 @@ class SqlBPE:
         needed = max(MEMORY_MB, sum(map(len, pieces)) * PIECE_BYTE_MEMORY >> 20)
         self.con.execute(f"set memory_limit = '{needed}MB'")
         ids: list[list[int] | None] = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
-        for w, found in self._contract({i: [self.byte[b] for b in p] for i, p in enumerate(pieces) if ids[i] is None}).items():
-            ids[w] = found
+        for sql, long in ((CONTRACT, False), (CONTRACT_ALL, True)):
+            todo = {i: [self.byte[b] for b in p] for i, p in enumerate(pieces) if ids[i] is None and (len(p) > LONG_PIECE) == long}
+            for w, found in self._contract(sql, todo).items():
+                ids[w] = found
         self._table("ids", pa.table({"w": pa.array([i for i, x in enumerate(ids) for _ in x], pa.int32()), "pos": pa.array([k for x in ids for k in range(len(x))], pa.int32()), "tok": pa.array([t for x in ids for t in x], pa.int64())}))
         for w, text in self.con.execute(DECODE).fetchall():
             self.known[pieces[w]] = " ".join(map(str, ids[w]))
