@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,11 +86,13 @@ with recursive steps(w, pos, tok, step) as (
 
 LAST = """
 )
-select w, step, list(pos order by pos) filter (where step = $most) as pos, list(tok order by pos) as ids
-from steps semi join (select w, max(step) as step from steps group by w) last using (w, step) group by w, step
+select w, pos, tok, step from steps semi join (select w, max(step) as step from steps group by w) last using (w, step)
 """
 
-DECODE = "select w, string_agg(t.bytes, '' order by pos) as bytes from ids join tokens t using (tok) group by w"
+DECODE = """
+select w, string_agg(tok::varchar, ' ' order by pos) as told, string_agg(t.bytes, '' order by pos) as bytes
+from ids join tokens t using (tok) group by w
+"""
 
 
 class SqlBPE:
@@ -99,11 +102,11 @@ class SqlBPE:
         import duckdb
 
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
-        self.ranks, self.byte = ranks, [ranks[bytes([b])] for b in range(256)]
+        self.ranks, self.byte = ranks, np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self._table("merges", pa.table(dict(zip("ab", map(pa.array, zip(*((a, b) for a, b, _ in pairs), strict=True)), strict=True)) | {"rank": pa.array([r for *_, r in pairs])} if pairs else {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "rank": pa.array([], pa.int64())}))
         self._table("unsafe", pa.table({"tok": pa.array(sorted({x for a, b, r in pairs for x in (a, b) if r < x}), pa.int64())}))
-        self._table("tokens", pa.table({"tok": pa.array(list(ranks.values())), "bytes": pa.array([t.hex() for t in ranks])}))
+        self._table("tokens", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([t.hex() for t in ranks])}))
         self.known: dict[bytes, str] = {}  # ids as text
         self.other: dict[bytes, bytes] = {}  # decoded bytes, where they aren't the piece's
 
@@ -112,36 +115,33 @@ class SqlBPE:
         self.con.execute(f"create or replace temp table {name} as select * from arriving")
         self.con.unregister("arriving")
 
-    def _contract(self, sql: str, todo: dict[int, list[int]]) -> dict[int, list[int]]:
-        """The ids of pieces, given as their bytes' ids."""
-        done = {}
-        state = {i: (range(len(x)), x) for i, x in todo.items()}
-        while state:
-            rows = sum(len(x) for _, x in state.values())
-            most = max(1, STEP_ROWS // rows)
-            self._table("start", pa.table({"w": pa.array([i for i, (_, x) in state.items() for _ in x], pa.int32()), "pos": pa.array([k for at, _ in state.values() for k in at], pa.int32()), "tok": pa.array([t for _, x in state.values() for t in x], pa.int32())}))
-            state = {}
-            for w, step, at, ids in self.con.execute(sql + LAST, {"most": most}).fetchall():
-                if step == most:
-                    state[w] = at, ids
-                else:
-                    done[w] = ids
-        return done
+    def _contract(self, sql: str, rows: pa.Table) -> None:
+        """Adds the ids of pieces to the table ids; rows: w, pos, tok of their bytes."""
+        while rows.num_rows:
+            most = max(1, STEP_ROWS // rows.num_rows)
+            self._table("start", rows)
+            self.con.execute("create or replace temp table ended as " + (sql + LAST).replace("$most", str(most)))
+            self.con.execute(f"insert into ids select w, pos, tok from ended where step < {most}")
+            rows = self.con.sql(f"select w, pos, tok from ended where step = {most}").to_arrow_table()
 
     def _query(self, pieces: list[bytes]) -> None:
-        """Adds count, ids as text and decoded bytes of the pieces to what is known."""
-        needed = max(MEMORY_MB, sum(map(len, pieces)) * PIECE_BYTE_MEMORY >> 20)
+        """Adds ids as text and decoded bytes of the pieces to what is known."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        needed = max(MEMORY_MB, len(data) * PIECE_BYTE_MEMORY >> 20)
         self.con.execute(f"set memory_limit = '{needed}MB'")
-        ids: list[list[int] | None] = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int32, len(pieces))
+        own = np.flatnonzero(whole >= 0).astype(np.int32)
+        self._table("ids", pa.table({"w": own, "pos": np.zeros(len(own), np.int32), "tok": whole[own]}))
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        place = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         for sql, long in ((CONTRACT, False), (CONTRACT_ALL, True)):
-            todo = {i: [self.byte[b] for b in p] for i, p in enumerate(pieces) if ids[i] is None and (len(p) > LONG_PIECE) == long}
-            for w, found in self._contract(sql, todo).items():
-                ids[w] = found
-        self._table("ids", pa.table({"w": pa.array([i for i, x in enumerate(ids) for _ in x], pa.int32()), "pos": pa.array([k for x in ids for k in range(len(x))], pa.int32()), "tok": pa.array([t for x in ids for t in x], pa.int64())}))
-        for w, text in self.con.execute(DECODE).fetchall():
-            self.known[pieces[w]] = " ".join(map(str, ids[w]))
-            if (data := bytes.fromhex(text)) != pieces[w]:
-                self.other[pieces[w]] = data
+            at = np.repeat((whole < 0) & ((sizes > LONG_PIECE) == long), sizes)
+            self._contract(sql, pa.table({"w": piece[at], "pos": place[at], "tok": self.byte[data[at]]}))
+        for w, told, text in self.con.execute(DECODE).fetchall():
+            self.known[pieces[w]] = told
+            if (found := bytes.fromhex(text)) != pieces[w]:
+                self.other[pieces[w]] = found
 
     def learn(self, pieces: list[bytes]) -> tuple[list[str], list[bytes]]:
         """Of each piece the ids, as text, and the bytes they decode to."""
