@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -108,6 +109,43 @@ def case_scores(answers: DataFrame, facts: DataFrame) -> DataFrame:
     return out.withColumn("passed", (F.col("misses") == 0) & (F.col("forbidden") == 0))
 
 
+def stated(answer: Column, fact: str | dict) -> Column:
+    """Whether an answer states a fact: a substring, or any_of, all_of (facts again) or regex, case aside; false for anything else."""
+    if isinstance(fact, str):
+        return F.lower(answer).contains(fact.lower())
+    for key, both, start in (("any_of", Column.__or__, False), ("all_of", Column.__and__, True)):
+        if isinstance(fact, dict) and key in fact:
+            return functools.reduce(both, (stated(answer, f) for f in fact[key]), F.lit(start))
+    try:
+        re.compile(fact["regex"])
+    except (re.error, TypeError, KeyError):
+        return F.lit(False)
+    return answer.rlike(f"(?i){fact['regex']}")
+
+
+def nested_scores(answers: DataFrame, cases: list[dict]) -> DataFrame:
+    """id, hits, misses, forbidden, passed of answers (id, case_id, text); cases: case_id, expected_facts, forbidden_facts.
+
+    The cases are a corpus written by hand, so their facts become expressions of one projection.
+    """
+    text = F.coalesce("text", F.lit(""))
+    count = lambda facts: functools.reduce(Column.__add__, (stated(text, f).cast("long") for f in facts), F.lit(0).cast("long"))
+    each = F.lit(None).cast("struct<hits:bigint,misses:bigint,forbidden:bigint>")
+    for case in cases:
+        hits = count(case.get("expected_facts", []))
+        told = F.struct(hits.alias("hits"), (F.lit(len(case.get("expected_facts", []))) - hits).cast("long").alias("misses"), count(case.get("forbidden_facts", [])).alias("forbidden"))
+        each = F.when(F.col("case_id") == case["case_id"], told).otherwise(each)
+    out = answers.select("id", each.alias("s")).where("s is not null").select("id", "s.*")
+    return out.withColumn("passed", (F.col("misses") == 0) & (F.col("forbidden") == 0))
+
+
+def run_averages(runs: DataFrame) -> DataFrame:
+    """Means of steps, calls, tokens and seconds of runs, verification passes beyond each run's first, and runs with an error."""
+    mean = lambda c, by=1: F.round(F.avg(c) / by, 6).alias
+    return runs.agg(mean("steps")("avg_steps"), mean("llm_calls")("avg_llm_calls"), mean("tokens_in")("avg_tokens_in"), mean("tokens_out")("avg_tokens_out"), mean("latency_ms", 1000)("avg_latency_s"),
+        F.sum(F.greatest(F.lit(0), F.col("verification_passes") - 1)).cast("long").alias("reasks"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("errored"))
+
+
 def summary(scores: DataFrame) -> DataFrame:
     rate = lambda c: F.avg(c.cast("double"))
     facts = F.col("hits") + F.col("misses")

@@ -115,3 +115,38 @@ def relevance_floor(spark, read):
 @table_query("select conv_id, role, md5(regexp_replace(lower(text), '[\"'' ]', '', 'g')) as signature, count(*)::bigint as n from conversations where text is not null group by all")
 def call_signatures(spark, read):
     return answers.signatures(read("conversations").where("text is not null"), ["conv_id", "role"])
+
+
+@table_query(f"""select source, line_no, page, case when length(s) > {retrieval.HEADING_CHARS} then 0 when regexp_matches(s, '{retrieval.CODE_HEAD}') then 2
+when regexp_matches(s, '{retrieval.NOT_HEAD}') or regexp_matches(s, '{retrieval.NUMBERS_LAST}') or regexp_matches(s, '{retrieval.DECIMAL}') then 0
+when letters < 4 or digits > letters // 2 then 0 when regexp_matches(s, '{retrieval.NUMBERED}') then 1 when regexp_matches(s, '{retrieval.TITLE}') then 2 else 0 end::bigint as level, trim(line, ' ') as heading
+from (select *, trim(line, chr(9) || chr(10) || chr(12) || chr(13) || ' ') as s, length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) as letters, length(regexp_replace(line, '[^0-9]', '', 'g')) as digits from (
+    select doc_id::varchar as source, 1::bigint as page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1)::bigint as line_no from documents))
+where level > 0""")
+def pdf_headings(spark, read):
+    return retrieval.pdf_headings(read("documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
+
+
+#: Cases of the evaluation: nested facts, one of them with a pattern that isn't one.
+CASES = [
+    {"case_id": 0, "expected_facts": [{"any_of": ["the", {"regex": r"\b[0-9]+\b"}]}, {"all_of": ["a", {"any_of": ["e", "zzz"]}]}], "forbidden_facts": ["zzz"]},
+    {"case_id": 1, "expected_facts": ["I", {"regex": "("}], "forbidden_facts": [{"regex": "q"}]},
+]
+
+
+@table_query(r"""select id, hits, misses, forbidden, misses = 0 and forbidden = 0 as passed from (
+    select id, case when k = 0 then h0 else h1 end as hits, 2 - case when k = 0 then h0 else h1 end as misses, case when k = 0 then contains(t, 'zzz')::bigint else contains(t, 'q')::bigint end as forbidden
+    from (select *, (contains(t, 'the') or regexp_matches(t, '\b[0-9]+\b'))::bigint + (contains(t, 'a') and (contains(t, 'e') or contains(t, 'zzz')))::bigint as h0, contains(t, 'i')::bigint as h1
+        from (select conv_id || '/' || turn as id, conv_id % 3 as k, lower(coalesce(text, '')) as t from conversations where role = 'assistant') where k < 2))""")
+def nested_eval(spark, read):
+    said = read("conversations").where("role = 'assistant'")
+    return answers.nested_scores(said.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), (F.col("conv_id") % 3).alias("case_id"), "text"), CASES)
+
+
+@table_query("""select round(avg(turn), 6) as avg_steps, round(avg(turn % 4), 6) as avg_llm_calls, round(avg(length(text)), 6) as avg_tokens_in, round(avg(length(text) % 7), 6) as avg_tokens_out,
+round(avg(conv_id % 900) / 1000, 6) as avg_latency_s, sum(greatest(0, conv_id % 4 - 1))::bigint as reasks, count_if(conv_id % 5 = 0)::bigint as errored from conversations""")
+def eval_averages(spark, read):
+    size = F.length("text")
+    x = read("conversations").select(F.col("turn").alias("steps"), (F.col("turn") % 4).alias("llm_calls"), size.alias("tokens_in"), (size % 7).alias("tokens_out"), (F.col("conv_id") % 900).alias("latency_ms"),
+        (F.col("conv_id") % 4).alias("verification_passes"), F.when(F.col("conv_id") % 5 == 0, "stopped").alias("error"))
+    return answers.run_averages(x)

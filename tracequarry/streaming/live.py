@@ -1,11 +1,15 @@
-"""Live forms: a census of growing logs, and event windows with late data."""
+"""Live forms: a census of growing logs, event windows with late data, incidents and stages as they end."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
-from tracequarry.functions.profiles import Profile
+from tracequarry.functions.profiles import STAGE, Profile
 
 
 def live_census(spark: SparkSession, folder: str, profile: Profile) -> DataFrame:
@@ -18,3 +22,68 @@ def live_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minut
     """Counts per window and type of a stream of events (ts, event_type); rows later than `late` are left out."""
     x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return x.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select("window.start", "window.end", "event_type", "n")
+
+
+#: Lines after a severe one that can belong to its incident.
+BODY = 15
+
+
+def _states(lines: DataFrame, step, out: str, state: str) -> DataFrame:
+    """Runs step(state or None, file, rows in line order) on each file's new rows; it returns the new state and the rows to emit.
+
+    A file's lines must arrive in order from one trigger to the next; a trigger's own are sorted here. State is a few numbers a file.
+    """
+
+    def run(key, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("line_no", kind="stable")
+        now, told = step(kept.get if kept.exists else None, key[0], rows)
+        kept.update(now)
+        yield pd.DataFrame(told, columns=[c.split()[0] for c in out.split(", ")])
+
+    return lines.groupBy("file").applyInPandasWithState(run, out, state, "append", "NoTimeout")
+
+
+def live_incidents(lines: DataFrame, body: int = BODY) -> DataFrame:
+    """file, head, body_end, severity of the incidents of a stream of classified lines (file, line_no, line, severity).
+
+    An incident is told when a line ends it, or its body is full; a file's last one waits for its next line.
+    """
+
+    def step(state, file, rows):
+        head, end, severity = state or (-1, -1, "")
+        told = []
+        for number, line, found in zip(rows["line_no"], rows["line"], rows["severity"], strict=True):
+            if head >= 0 and (found or number > head + body or not (line.startswith((" ", "\t")) or not line.strip())):
+                told.append((file, head, end, severity))
+                head = -1
+            if found:
+                head, end, severity = number, number, found
+            elif head >= 0:
+                end = number
+        return (int(head), int(end), severity), told
+
+    rows = lines.select("file", "line_no", F.coalesce("line", F.lit("")).alias("line"), "severity")
+    return _states(rows, step, "file string, head long, body_end long, severity string", "head long, body_end long, severity string")
+
+
+def live_stages(lines: DataFrame) -> DataFrame:
+    """file, name, start_line, end_line of the stages of a stream of lines (file, line_no, line), told when their closing banner comes.
+
+    Open stages are the state; a closing banner ends the last open one of its name.
+    """
+
+    def step(state, file, rows):
+        names, starts = map(list, state or ([], []))
+        told = []
+        for number, kind, name in zip(rows["line_no"], rows["kind"], rows["name"], strict=True):
+            if kind == "Starting":
+                names.append(name)
+                starts.append(int(number))
+            elif name in names:
+                k = len(names) - 1 - names[::-1].index(name)
+                told.append((file, names.pop(k), starts.pop(k), number))
+        return (names, starts), told
+
+    part = lambda k: F.regexp_extract("line", STAGE, k)
+    banners = lines.select("file", "line_no", part(1).alias("kind"), part(2).alias("name")).where("kind <> ''")
+    return _states(banners, step, "file string, name string, start_line long, end_line long", "names array<string>, starts array<long>")
