@@ -31,6 +31,9 @@ from .common import chunks, read, text_of
 SPACE = "▁"
 #: Segments whose ids a worker keeps; beyond it the cache starts anew.
 CACHE_SEGMENTS = 400_000
+#: Segments up to so many characters are merged by going over all neighbours each time, longer ones with a heap.
+SHORT = 40
+INFINITE = float("inf")
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -79,15 +82,15 @@ class Model:
         self.starts = re.compile("[" + "".join(sorted({re.escape(k[0]) for k in self.rules})) + "]") if self.rules else None
         self.longest = max(map(len, self.rules), default=0)
         self.prefix, self.trim = m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces
-        self.merges = {p.piece: (-p.score, i) for i, p in enumerate(m.pieces) if p.type == NORMAL}
-        self.alone = {c: i for c, (_, i) in self.merges.items() if len(c) == 1}
+        self.piece = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
+        self.scores = {p.piece: -p.score for p in m.pieces if p.type == NORMAL and len(p.piece) > 1}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         surface = m.trainer_spec.unk_surface.encode()
         self.bytes = [b"" if p.type == CONTROL else surface if p.type == UNKNOWN else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in m.pieces]
         self.spaced = [p.type == NORMAL and p.piece.startswith(SPACE) for p in m.pieces]
         self.control = [p.type == CONTROL for p in m.pieces]
         self.controls = {i for i, hidden in enumerate(self.control) if hidden}
-        several = [p for p in self.merges if len(p) > 1]
+        several = [*self.scores]
         letters = sorted({c for p in several for c in p})
         number = {c: k + 1 for k, c in enumerate(letters)}  # 0: in no piece of several characters
         self.klass = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
@@ -145,16 +148,25 @@ class Model:
 
     def merged(self, segment: str) -> list[str]:
         """Pieces of a segment: always the neighbours that make the best piece, of equals the leftmost."""
-        whole = self.merges.get(segment)
         parts = list(segment)
-        if len(parts) == 1:
+        if len(parts) <= SHORT:
+            found = self.scores
+            scores = [found.get(a + b, INFINITE) for a, b in zip(parts, parts[1:], strict=False)]
+            while scores and (best := min(scores)) < INFINITE:
+                i = scores.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del scores[i]
+                if i:
+                    scores[i - 1] = found.get(parts[i - 1] + parts[i], INFINITE)
+                if i < len(scores):
+                    scores[i] = found.get(parts[i] + parts[i + 1], INFINITE)
             return parts
         after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
         heap: list[tuple[float, int, int, str]] = []
 
         def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (found := self.merges.get(two := parts[a] + parts[b])):
-                heapq.heappush(heap, (found[0], a, b, two))
+            if a >= 0 and b >= 0 and (score := self.scores.get(two := parts[a] + parts[b])) is not None:
+                heapq.heappush(heap, (score, a, b, two))
 
         for i in range(len(parts) - 1):
             offer(i, i + 1)
@@ -168,11 +180,11 @@ class Model:
                 before[after[b]] = a
             offer(before[a], a)
             offer(a, after[a])
-        return [segment] if whole and parts[0] == segment else [p for p in parts if p]
+        return [p for p in parts if p]
 
     def _learn(self, segment: str) -> int:
         for p in self.merged(segment):
-            one = self.alone.get(p) if len(p) == 1 else self.merges[p][1]
+            one = self.piece.get(p)
             if one is None:
                 data = p.encode("utf-8", "surrogatepass")
                 self.ids.extend(self.byte[b] for b in data)
@@ -244,18 +256,24 @@ def ragged(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), kind))
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, begins, ends (UTF-8 bytes of the text, end exclusive) of each row. No shuffle: each partition works alone."""
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids, begins, ends (UTF-8 bytes of the text, end exclusive) of each row, and the text of the ids if it is asked for.
+
+    No shuffle: each partition works alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = of_file(model)
         for batch in chunks(batches):
             found = own.encode(batch.column(1).to_pylist())
             columns = ragged([i for i, _ in found], pa.int32()), ragged([x[:-1] for _, x in found], pa.int32()), ragged([x[1:] for _, x in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "ids", "begins", "ends"])
+            told = [pa.array([own.decode(i.tolist()) for i, _ in found], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *told], names)
 
+    schema = "doc_id long, ids array<int>, begins array<int>, ends array<int>" + (", decoded string" if decoded else "")
+    names = [c.split()[0] for c in schema.split(", ")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -276,6 +294,6 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = decode(encode(read(spark, sf_dir, "documents"), model), model)
+    found = encode(read(spark, sf_dir, "documents"), model, decoded=True)
     told = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_bytes"))
