@@ -28,14 +28,22 @@ def earlier(back: bool = False):
     return Window.partitionBy("file").orderBy(F.desc("block") if back else "block").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def carry(df: DataFrame, forward: dict[str, Column], back: dict[str, Column] | None = None) -> DataFrame:
+    """df with, for each name, the last value that isn't null at or before each line (back: the first at or after it); one row a line.
+
+    df is read twice: once for the last and first values of each block, once for the lines, whose windows go no further than a block.
+    """
+    back = back or {}
+    x = cut(df.withColumns({f"_v_{n}": v for n, v in (forward | back).items()}))
+    known = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.col("line_no"))
+    ends = x.groupBy("file", "block").agg(*(F.max_by(f"_v_{n}", known(n)).alias(n) for n in forward), *(F.min_by(f"_v_{n}", known(n)).alias(n) for n in back))
+    ends = ends.select("file", "block", *(F.last(n, ignorenulls=True).over(earlier(n in back)).alias(f"_e_{n}") for n in forward | back))
+    x = x.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(within(n in back)) for n in forward | back}).join(ends, ["file", "block"])
+    return x.withColumns({n: F.coalesce(n, f"_e_{n}") for n in forward | back}).drop("block", *(f"_{k}_{n}" for k in "ve" for n in forward | back))
+
+
 def carried(df: DataFrame, name: str, value: Column, back: bool = False) -> DataFrame:
-    """df with the last value that isn't null at or before each line (back: the first at or after it); one row a line."""
-    x = cut(df.withColumn("_v", value))
-    pick = F.min_by if back else F.max_by
-    ends = x.groupBy("file", "block").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.col("line_no"))).alias("_end"))
-    ends = ends.select("file", "block", F.last("_end", ignorenulls=True).over(earlier(back)).alias("_before"))
-    x = x.withColumn("_own", F.last("_v", ignorenulls=True).over(within(back))).join(ends, ["file", "block"])
-    return x.withColumn(name, F.coalesce("_own", "_before")).drop("_v", "_own", "_before", "block")
+    return carry(df, {}, {name: value}) if back else carry(df, {name: value})
 
 
 def near(hits: DataFrame, around: int) -> DataFrame:
@@ -109,8 +117,13 @@ def incident_around(found: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def stage_ranges(lines: DataFrame) -> DataFrame:
     """Ranges between banners: an ending closes the latest open start of its name, an open start ends at the file's total."""
-    total = lines.groupBy("file").agg(F.count("*").alias("total"))
-    x = lines.select("file", "line_no", F.regexp_extract("line", STAGE, 1).alias("kind"), F.regexp_extract("line", STAGE, 2).alias("name")).where("name <> ''")
+    banners = lines.select("file", "line_no", F.regexp_extract("line", STAGE, 1).alias("kind"), F.regexp_extract("line", STAGE, 2).alias("name"))
+    return ranges_of_banners(banners, lines.groupBy("file").agg(F.count("*").alias("total")))
+
+
+def ranges_of_banners(banners: DataFrame, total: DataFrame) -> DataFrame:
+    """stage_ranges of banners (file, line_no, kind, name) and the totals of their files (file, total)."""
+    x = banners.where("name <> ''")
     by_name = Window.partitionBy("file", "name").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("balance", F.sum(F.when(F.col("kind") == "Starting", 1).otherwise(-1)).over(by_name))
     x = x.withColumn("depth", F.col("balance") - F.least(F.lit(0), F.min("balance").over(by_name)))
@@ -170,7 +183,12 @@ def stage_hist(c: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def stage_timeline(c: DataFrame, ranges: DataFrame) -> DataFrame:
-    h = stage_hist(c, ranges).withColumnRenamed("stage", "name")
+    return timeline(ranges, stage_hist(c, ranges))
+
+
+def timeline(ranges: DataFrame, hist: DataFrame) -> DataFrame:
+    """The ranges with the counts of their stage and how each went."""
+    h = hist.withColumnRenamed("stage", "name")
     x = ranges.join(h, ["file", "name"], "left")
     fatal, error = F.coalesce("n_fatal", F.lit(0)), F.coalesce("n_error", F.lit(0))
     status = F.when(F.col("incomplete"), "INCOMPLETE").when(fatal > 0, "FATAL").when(error > 0, "ERROR").otherwise("OK")
@@ -272,15 +290,16 @@ def region_details(c: DataFrame, ranges: DataFrame, found: DataFrame, start: int
     return codes.union(named).union(crossed).union(heads_).union(total)
 
 
-def correlate(timed: DataFrame, anchor: int, window: int, most: int = 200) -> DataFrame:
-    """Lines of all files within the window of the anchor second, in order."""
-    return timed.where(F.col("ts_s").between(anchor - window, anchor + window)).orderBy("ts_s", "file", "line_no").limit(most).select("ts_s", "file", "line_no", F.left("line", F.lit(180)).alias("line"))
+def correlate(timed: DataFrame, anchor: DataFrame, window: int, most: int = 200) -> DataFrame:
+    """Lines of all files within the window of the anchor second (one row, column anchor), in order."""
+    near = F.abs(F.col("ts_s") - F.col("anchor")) <= window
+    return timed.join(F.broadcast(anchor), near).orderBy("ts_s", "file", "line_no").limit(most).select("ts_s", "file", "line_no", F.left("line", F.lit(180)).alias("line"))
 
 
 def interpolated(lines: DataFrame) -> DataFrame:
     """lines with t: their own second, or one between the nearest timed lines, clamped at both ends."""
     known = F.when(F.col("ts_s").isNotNull(), F.struct("ts_s", "line_no"))
-    x = carried(carried(lines.select("file", "line_no", "ts_s"), "lo", known), "hi", known, back=True)
+    x = carry(lines.select("file", "line_no", "ts_s"), {"lo": known}, {"hi": known})
     span = F.col("hi.line_no") - F.col("lo.line_no")
     inside = F.col("lo.ts_s") + F.floor((F.col("hi.ts_s") - F.col("lo.ts_s")) * (F.col("line_no") - F.col("lo.line_no")) / span)
     return x.select("file", "line_no", F.coalesce(F.when(span > 0, inside), F.col("lo.ts_s"), F.col("hi.ts_s")).cast("long").alias("t"))

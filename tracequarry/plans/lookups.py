@@ -8,7 +8,8 @@ from tracequarry.functions import profiles
 from tracequarry.functions.profiles import EDA
 from tracequarry.operators import answers, logs, lookups, retrieval
 from tracequarry.plans.registry import BM25, CLASSED, INCIDENT, MENTION_SQL, STAGED, TOKENS, _top, query, table_query
-from tracequarry.sources.logs import classified, read_logs, workspace, write_logs
+from tracequarry.sources.logs import classified, read_logs, write_logs
+from tracequarry.sources.store import workspace
 
 TIMED = "timed as (select *, '[' || strftime(ts, '%H:%M:%S') || '  ' || ts_s || 's] ' || line as eda, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z ' || line as iso from c)"
 
@@ -48,8 +49,7 @@ def text_log_listing(c):
 where ts_s between anchor - 3600 and anchor + 3600 order by ts_s, file, line_no limit 200""", f"{CLASSED}, {TIMED}")
 def text_log_correlate(c):
     x = _text_logs(c)
-    anchor = x.where("file = 'app_1.log' and line_no = 100").agg(F.max("ts_s")).first()[0] or 0
-    return logs.correlate(x, anchor, 3600)
+    return logs.correlate(x, x.where("file = 'app_1.log' and line_no = 100").agg(F.max("ts_s").alias("anchor")), 3600)
 
 
 @query("select file, line_no, ts_s from (select *, max(case when severity in ('fatal', 'error') or line_no = 0 then line_no end) over (partition by file order by line_no) as l from c) where (line_no - l) % 5 = 0")

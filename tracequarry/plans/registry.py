@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions.profiles import EDA, template
 from tracequarry.operators import answers, logs, retrieval
-from tracequarry.sources.logs import RENDERED, classified, json_records, rendered
+from tracequarry.operators.logindex import LogIndex
+from tracequarry.plans.eventlog import event_index
+from tracequarry.sources.logs import RENDERED, json_records
+from tracequarry.sources.store import workspace
 
 LOG = RENDERED.format(events="events").replace("as string", "as varchar")
 CLASSED = rf"""
@@ -65,8 +68,7 @@ def query(sql: str | None = None, parts: str = CLASSED):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            c = classified(rendered(spark, sf_dir), EDA).withColumn("ts_s", F.unix_seconds(F.col("ts").cast("timestamp")))
-            return f(c)
+            return f(event_index(spark, sf_dir).table("lines").select("file", "line_no", "line", "severity", "code", "ts_s"))
 
         QUERIES[f.__name__] = run
         if sql:
@@ -76,6 +78,17 @@ def query(sql: str | None = None, parts: str = CLASSED):
     return add
 
 
+def index_query(sql: str, parts: str = CLASSED):
+    """Registers a function of the log's stored index; sql follows the parts."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(event_index(spark, sf_dir))
+        ORACLES[f.__name__] = f"with {parts} {sql}"
+        return f
+
+    return add
+
+
 def table_query(sql: str | None = None):
     """Registers a function of (spark, read) on tables; read gives a table by name."""
 
@@ -99,35 +112,45 @@ def log_render(c):
     return c.select("file", "line_no", "line")
 
 
-@query(f"select file, {SEVERE}, count(*)::bigint as total from c group by file")
-def severity_census(c):
-    return logs.census(c)
+@index_query(f"select file, {SEVERE}, count(*)::bigint as total from c group by file")
+def severity_census(ix):
+    return ix.census()
 
 
-@query("select * from codes")
-def code_table(c):
-    return logs.code_order(logs.code_table(c))
+@index_query("select * from codes")
+def code_table(ix):
+    return logs.code_order(ix.code_table())
 
 
-@query("""select file, prefix, codes[1] as primary_code, severities[1] as severity, ns[1] as n, firsts[1] as first_line, array_to_string(codes[2:], ',') as others
+@index_query("""select file, prefix, codes[1] as primary_code, severities[1] as severity, ns[1] as n, firsts[1] as first_line, array_to_string(codes[2:], ',') as others
 from (select file, regexp_replace(code, '-[^-]*$', '') as prefix, list(code order by r, n desc, code) as codes, list(severity order by r, n desc, code) as severities,
              list(n order by r, n desc, code) as ns, list(first_line order by r, n desc, code) as firsts
       from (select *, case severity when 'fatal' then 0 else 1 end as r from codes where severity <> 'warn' and code <> '(uncoded)') group by all)""")
-def prefix_families(c):
-    return logs.prefix_families(logs.code_table(c))
+def prefix_families(ix):
+    return logs.prefix_families(ix.code_table())
 
 
-@query("""select file, min(line_no) as first_line, count(*)::bigint as n from (
+@index_query("""select file, min(line_no) as first_line, count(*)::bigint as n from (
     select *, sum(brk) over (partition by file order by line_no) as run from (
         select *, case when line is distinct from lag(line) over (partition by file order by line_no) then 1 else 0 end as brk from log)
 ) where trim(line) <> '' group by file, run having count(*) >= 3""")
-def repeats(c):
-    return logs.repeats(c)
+def repeats(ix):
+    return ix.repeats()
+
+
+@index_query("select file, code, severity, n, first_line from codes")
+def index_grown(ix):
+    """Half of each log is indexed, then the rest is added: the code table is that of the whole."""
+    half = ix.table("lines").join(ix.totals(), "file").select("file", "line_no", "line", "ts_s", (F.col("line_no") * 2 < F.col("total")).alias("early"))
+    grown = LogIndex(ix.spark, workspace(ix.spark, "logindex"), ix.profile)
+    grown.add(half.where("early"))
+    grown.add(half.where("not early"))
+    return grown.code_table()
 
 
-@query("select * from incidents", f"{CLASSED}, {INCIDENT}")
-def incidents(c):
-    return logs.incidents(c)
+@index_query("select * from incidents", f"{CLASSED}, {INCIDENT}")
+def incidents(ix):
+    return ix.incidents()
 
 
 @query("""select w.file, w.line_no, i.head, i.body_end, i.severity, w.line_no <= i.body_end as inside
@@ -136,21 +159,21 @@ def incident_around(c):
     return logs.incident_around(logs.incidents(c), c.select("file", "line_no"))
 
 
-@query("select * from ranges", f"{CLASSED}, {STAGED}")
-def stage_ranges(c):
-    return logs.stage_ranges(c)
+@index_query("select * from ranges", f"{CLASSED}, {STAGED}")
+def stage_ranges(ix):
+    return ix.stage_ranges()
 
 
-@query("select * from hist", f"{CLASSED}, {STAGED}")
-def stage_hist(c):
-    return logs.stage_hist(c, logs.stage_ranges(c))
+@index_query("select * from hist", f"{CLASSED}, {STAGED}")
+def stage_hist(ix):
+    return ix.stage_hist()
 
 
-@query("""select r.file, r.name, r.start_line, r.end_line, coalesce(n_fatal, 0) as n_fatal, coalesce(n_error, 0) as n_error,
+@index_query("""select r.file, r.name, r.start_line, r.end_line, coalesce(n_fatal, 0) as n_fatal, coalesce(n_error, 0) as n_error,
 case when incomplete then 'INCOMPLETE' when n_fatal > 0 then 'FATAL' when n_error > 0 then 'ERROR' else 'OK' end as status
 from ranges r left join hist h on h.file = r.file and h.stage = r.name""", f"{CLASSED}, {STAGED}")
-def stage_timeline(c):
-    return logs.stage_timeline(c, logs.stage_ranges(c))
+def stage_timeline(ix):
+    return logs.timeline(ix.stage_ranges(), ix.stage_hist())
 
 
 @query("""select f.file, f.stage, h.n, f.line_no, f.severity, trim(f.line)[:160] as line from (
@@ -218,9 +241,9 @@ def nth_occurrence(c):
 MENTION_SQL = r"m as (select distinct file, unnest(regexp_extract_all(line, '\b([A-Za-z0-9_./\-]+\.(?:tcl|sdc|lef|def|vhd|sv|vh|v|lib|rpt|log|md|conf|yaml|yml|json|py|cpp|c|hpp|h|csh|sh))\b', 1)) as token, line_no from log)"
 
 
-@query("select file, token, count(*)::bigint as n, min(line_no) as first_line from m group by all", f"{CLASSED}, {MENTION_SQL}")
-def mentions(c):
-    return logs.mention_counts(c)
+@index_query("select file, token, count(*)::bigint as n, min(line_no) as first_line from m group by all", f"{CLASSED}, {MENTION_SQL}")
+def mentions(ix):
+    return ix.mention_counts()
 
 
 @query("select file, token, line_no from m where contains(token, 'mod3')", f"{CLASSED}, {MENTION_SQL}")
@@ -236,8 +259,7 @@ def region_summary(c):
 @query("""select ts_s, file, line_no, line[:180] as line from c, (select max(ts_s) as anchor from c where file = 'app_1.log' and line_no = 100)
 where ts_s between anchor - 3600 and anchor + 3600 order by ts_s, file, line_no limit 200""")
 def correlate(c):
-    anchor = c.where("file = 'app_1.log' and line_no = 100").agg(F.max("ts_s")).first()[0] or 0
-    return logs.correlate(c, anchor, 3600)
+    return logs.correlate(c, c.where("file = 'app_1.log' and line_no = 100").agg(F.max("ts_s").alias("anchor")), 3600)
 
 
 @query("""select file, line_no, coalesce(case when hl > ll then lt + floor((ht - lt) * (line_no - ll) / (hl - ll))::bigint end, lt, ht) as t from (

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.profiles import Profile
 
 
-def text_lines(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
-    """file, line_no (from 0), line of all logs under path; lines end at \\n only.
+def text_lines(spark: SparkSession, path: str | list[str], extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """file, line_no (from 0), line of all logs under path (or paths); lines end at \\n only.
 
     Numbers come from each split's own count and the counts of the splits before it, so nothing is sorted.
     """
@@ -26,10 +23,9 @@ def text_lines(spark: SparkSession, path: str, extensions: tuple[str, ...] | Non
     return rows.join(blocks, ["file", "block"]).select("file", (F.col("m") - F.col("least") + F.col("base")).alias("line_no"), F.col("value").alias("line"))
 
 
-RENDERED = """
-select concat('app_', cast(user_id % 4 as string), '.log') as file,
-       cast(row_number() over (partition by user_id % 4 order by ts, event_id) - 1 as bigint) as line_no,
-       case event_type
+#: The text of an event as a log line, its file, and (for SQL) its number.
+EVENT_FILE = "concat('app_', cast(user_id % 4 as string), '.log')"
+EVENT_LINE = """case event_type
          when 'error' then case when value >= 150
               then 'FATAL: (EVT-' || cast(user_id % 7 as string) || '9): core dumped'
               else '**ERROR: (EVT-' || cast(user_id % 7 as string) || '1): failed in src/mod'
@@ -37,15 +33,17 @@ select concat('app_', cast(user_id % 4 as string), '.log') as file,
          when 'click'  then '**WARN: (UI-' || cast(user_id % 3 as string) || '0): slow'
          when 'view'   then '    at frame' || cast(user_id % 2 as string)
          when 'signup' then '--- Starting "s' || cast(user_id % 3 as string) || '" ---'
-         else               '--- Ending "s'   || cast(user_id % 3 as string) || '" ---' end as line,
-       ts, event_id
-from {events}
+         else               '--- Ending "s'   || cast(user_id % 3 as string) || '" ---' end"""
+RENDERED = f"""
+select {EVENT_FILE} as file, cast(row_number() over (partition by user_id % 4 order by ts, event_id) - 1 as bigint) as line_no,
+       {EVENT_LINE} as line, ts, event_id
+from {{events}}
 """
 
 
-def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as logs of four files."""
-    return spark.sql(RENDERED, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+def event_lines(events: DataFrame) -> DataFrame:
+    """file, ts, event_id, line of the events as logs of four files, in the order of ts and event_id."""
+    return events.select(F.expr(EVENT_FILE).alias("file"), "ts", "event_id", F.expr(EVENT_LINE).alias("line"))
 
 
 def classified(lines: DataFrame, profile: Profile) -> DataFrame:
@@ -65,16 +63,6 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFram
     return raw.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
-def workspace(spark: SparkSession, what: str) -> str:
-    """A new folder that all executors reach: under spark.checkpoint.dir; where that is unset, of this machine if Spark runs on it alone."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp()
-    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def write_logs(lines: DataFrame, path: str) -> None:
     """Text logs of lines (file, line_no, line), one under path/file=<file> each; a file's lines meet in one task, as a text file needs."""
     rows = lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no")
