@@ -79,8 +79,6 @@ def test_json_and_templates(spark):
 def test_retrieval_and_answers(spark):
     v = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0], [-3.0, -4.0])], "a array<float>, b array<float>, c array<float>")
     assert [round(x, 9) for x in v.select(retrieval.cosine(F.col("a"), F.col("b")), retrieval.cosine(F.col("a"), F.col("c"))).first()] == [1.0, -1.0]
-    docs = spark.createDataFrame([("d", "# A\n" + "x" * 700 + "\n" + "y" * 700 + "\nz\n## B\nend")], "source string, text string")
-    assert [(r["heading"], r["start_line"]) for r in retrieval.chunked(docs).collect()] == [("A", 1), ("A", 4), ("A > B", 5)]
     said = spark.createDataFrame([("1", "see a.log:2 and b.log:1 and a.log:9")], "id string, text string")
     total = spark.createDataFrame([("a.log", 3)], "file string, total long")
     assert [r[3] for r in rows(answers.checked(answers.citations(said), total))] == ["ok", "line out of range", "file not found"]

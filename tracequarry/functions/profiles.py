@@ -97,12 +97,23 @@ def wanted(severity: str) -> list[str]:
     return [s for s in re.split(r"[,\s/|]+", severity.lower()) if s in SEVERITIES]
 
 
+# What a message loses, in this order, and what stands in its place.
+STRIPPED = (
+    (r"(?i)^\s*(\*\*)?(FATAL|ERROR|ERR|WARN(ING)?|INFO|NOTE)\s*:?\s*", ""),
+    (r"\(\s*[A-Z][A-Z0-9_]+-[0-9]+\s*\)\s*:?\s*", ""),
+    (r"\S*/\S+", " "),
+    (r"\b0x[0-9a-fA-F]+\b", " "),
+    (r"['\"][^'\"]{1,80}['\"]", " "),
+    (r"\b[0-9]+(\.[0-9]+)?\b", " "),
+)
+
+
 def template(line: Column) -> Column:
-    """A message without severity prefix, code, paths, hex numbers, quoted text and numbers."""
-    x = F.regexp_replace(line, r"(?i)^\s*(\*\*)?(FATAL|ERROR|WARN(ING)?|INFO)\s*:?\s*", "")
-    for pattern in (r"\([A-Z][A-Z0-9_]+-[0-9]+\)", r"[A-Za-z0-9_.\-]*/[A-Za-z0-9_./\-]+", r"0x[0-9a-fA-F]+", r"\"[^\"]*\"|'[^']*'", r"[0-9]+(\.[0-9]+)?"):
-        x = F.regexp_replace(x, pattern, " ")
-    return F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" :.-"))
+    """A message without severity prefix, code, paths, hex numbers, short quoted text and numbers that are words."""
+    x = line
+    for pattern, put in STRIPPED:
+        x = F.regexp_replace(x, f"(?U){pattern}", put)
+    return F.btrim(F.regexp_replace(x, r"(?U)\s+", " "), F.lit(" :.-"))
 
 
 def eda_seconds(line: Column) -> Column:

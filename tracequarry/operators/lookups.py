@@ -142,8 +142,3 @@ def sniffed(lines: DataFrame, first: int = 5) -> DataFrame:
     head = head.where(F.trim("line") != "").groupBy("file").agg(F.min_by("line", "_k").alias("line"))
     is_object = F.trim("line").startswith("{") & F.from_json("line", "map<string,string>").isNotNull()
     return lines.select("file").distinct().join(head, "file", "left").select("file", F.coalesce(is_object, F.lit(False)).alias("jsonl"))
-
-
-def index_report(chunks: DataFrame) -> DataFrame:
-    """Chunks, sources, share with a heading, mean length of chunks (source, heading, text)."""
-    return chunks.agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.round(F.avg((F.col("heading") != "").cast("double")), 6).alias("with_heading"), F.round(F.avg(F.length("text")), 6).alias("mean_length"))

@@ -9,9 +9,9 @@ from tracequarry.functions.profiles import EDA
 from tracequarry.operators.logindex import LogIndex
 from tracequarry.sources.logs import event_lines
 from tracequarry.sources.numbering import numbered
-from tracequarry.sources.store import workspace
+from tracequarry.sources.store import shared, workspace
 
-_BUILT: dict[tuple[str, str], tuple[int, LogIndex]] = {}
+_BUILT: dict[tuple, tuple] = {}
 
 
 def table_state(spark: SparkSession, path: str) -> int:
@@ -26,10 +26,21 @@ def numbered_events(spark: SparkSession, sf_dir: str):
     return x.withColumn("ts_s", F.unix_seconds(F.col("ts").cast("timestamp")))
 
 
+def built(spark: SparkSession, what: str, sf_dir: str, table: str, build):
+    """What build() makes of a table, kept while the table, the application and the shared folder are the same and the index is there."""
+    key = spark.sparkContext.applicationId, shared(spark), what, sf_dir
+    state = table_state(spark, f"{sf_dir}/{table}.parquet")
+    known, index = _BUILT.get(key, (None, None))
+    if known != state or not index.store.commits():
+        index = build()
+        _BUILT[key] = state, index
+    return index
+
+
 def event_index(spark: SparkSession, sf_dir: str) -> LogIndex:
-    key, state = (spark.sparkContext.applicationId, sf_dir), table_state(spark, f"{sf_dir}/events.parquet")
-    if _BUILT.get(key, (None,))[0] != state:
+    def build() -> LogIndex:
         index = LogIndex(spark, workspace(spark, "logindex"), EDA)
         index.add(numbered_events(spark, sf_dir))
-        _BUILT[key] = state, index
-    return _BUILT[key][1]
+        return index
+
+    return built(spark, "logs", sf_dir, "events", build)

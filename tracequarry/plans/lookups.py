@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import profiles
 from tracequarry.functions.profiles import EDA
 from tracequarry.operators import answers, logs, lookups, retrieval
-from tracequarry.plans.registry import BM25, CLASSED, INCIDENT, MENTION_SQL, STAGED, TOKENS, _top, query, table_query
+from tracequarry.plans.registry import BM25, CLASSED, INCIDENT, MENTION_SQL, STAGED, TOKENS, _top, message, query, table_query
 from tracequarry.sources.logs import classified, read_logs, write_logs
 from tracequarry.sources.store import workspace
 
@@ -146,22 +146,14 @@ def census_parse(c):
 
 
 
-def _template(line: str) -> str:
-    """SQL for a message without severity prefix, code, paths, hex numbers, quoted text and numbers."""
-    x = f"regexp_replace({line}, '(?i)^\\s*(\\*\\*)?(FATAL|ERROR|WARN(ING)?|INFO)\\s*:?\\s*', '')"
-    for rx in ("\\([A-Z][A-Z0-9_]+-[0-9]+\\)", "[A-Za-z0-9_.\\-]*/[A-Za-z0-9_./\\-]+", "0x[0-9a-fA-F]+", "\"[^\"]*\"|''[^'']*''", "[0-9]+(\\.[0-9]+)?"):
-        x = f"regexp_replace({x}, '{rx}', ' ', 'g')"
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' :.-')"
-
-
 @query(f"""select file, code, case when len(string_split(q, ' ')) >= 2 then q else code end as question from (
-    select c.file, c.code, {_template('c.line')} as q from codes join c on c.file = codes.file and c.line_no = codes.first_line)""")
+    select c.file, c.code, {message('c.line')} as q from codes join c on c.file = codes.file and c.line_no = codes.first_line)""")
 def code_questions(c):
     """What a code is looked up by: the message of its first line, if it has two words at least."""
     return lookups.code_questions(c, 2).select("file", "code", "question")
 
 
-@table_query(f"""with {BM25.replace("unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as token from benchmark where item_id % 20 = 0)", "unnest(regexp_extract_all(lower(" + _template("'**ERROR: (DOC-' || item_id || '): ' || text") + "), '[a-z0-9_]+')) as token from benchmark where item_id % 20 = 0)")}
+@table_query(f"""with {BM25.replace("unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as token from benchmark where item_id % 20 = 0)", "unnest(regexp_extract_all(lower(" + message("'**ERROR: (DOC-' || item_id || '): ' || text") + "), '[a-z0-9_]+')) as token from benchmark where item_id % 20 = 0)")}
 select 'DOC-' || qid as code, id, r as score from (select *, row_number() over (partition by qid order by r desc, id) as k from (select qid, id, round(score, 6) as r from s)) where k <= 2 and r >= 20""")
 def code_passages(spark, read):
     """Codes to the messages of their first lines to the two best passages at or above the floor."""
@@ -302,9 +294,3 @@ def jsonl_sniff(spark, read):
     line = F.when(F.col("event_type") == "click", F.col("props")).when(F.col("event_type") == "error", "{broken").otherwise("plain")
     e = read("events").where("event_type <> 'view'")
     return lookups.sniffed(e.select((F.col("user_id") % 30).alias("file"), F.col("event_id").alias("line_no"), line.alias("line")))
-
-
-@table_query()
-def index_report(spark, read):
-    chunks = retrieval.chunked(read("documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
-    return lookups.index_report(chunks)

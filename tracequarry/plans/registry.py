@@ -104,6 +104,14 @@ def table_query(sql: str | None = None):
     return add
 
 
+def message(line: str) -> str:
+    """SQL for what a log line says, by the rules of the log's messages."""
+    x = f"regexp_replace(trim({line}), '^\\s*(\\*\\*)?(FATAL|ERROR|ERR|WARN(?:ING)?|INFO|NOTE)\\s*:?\\s*', '', 'i')"
+    for rx, put in (("\\(\\s*[A-Z][A-Z0-9_]+-\\d+\\s*\\)\\s*:?\\s*", ""), ("\\S*/\\S+", " "), ("\\b0x[0-9a-fA-F]+\\b", " "), ("[''\"][^''\"]{1,80}[''\"]", " "), ("\\b\\d+(?:\\.\\d+)?\\b", " ")):
+        x = f"regexp_replace({x}, '{rx}', '{put}', 'g')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' :.-')"
+
+
 SEVERE = ", ".join(f"count_if(severity = '{s}')::bigint as n_{s}" for s in ("fatal", "error", "warn"))
 
 
@@ -270,9 +278,7 @@ def time_interpolate(c):
     return logs.interpolated(c.withColumn("ts_s", F.when(F.col("line_no") % 10 == 3, F.col("ts_s"))))
 
 
-@query(r"""select file, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line,
- '(?i)^\s*(\*\*)?(FATAL|ERROR|WARN(ING)?|INFO)\s*:?\s*', ''), '\([A-Z][A-Z0-9_]+-[0-9]+\)', ' ', 'g'), '[A-Za-z0-9_.\-]*/[A-Za-z0-9_./\-]+', ' ', 'g'), '0x[0-9a-fA-F]+', ' ', 'g'),
- '"[^"]*"|''[^'']*''', ' ', 'g'), '[0-9]+(\.[0-9]+)?', ' ', 'g'), '\s+', ' ', 'g'), ' :.-') as template from log""")
+@query(f"select file, line_no, {message('line')} as template from log")
 def template_normalise(c):
     return c.select("file", "line_no", template(F.col("line")).alias("template"))
 
@@ -378,11 +384,6 @@ def hybrid_rank(spark, read):
     return _top(j.join(spans, "qid").withColumn("score", F.lit(0.5) * retrieval.scaled("b") + F.lit(0.5) * retrieval.scaled("cos")), 5)
 
 
-@table_query()
-def chunk_documents(spark, read):
-    return retrieval.chunked(read("documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
-
-
 FACTS = "(0, 'expected', 'sub', 'THE'), (0, 'expected', 'regex', '[a-z]+ing'), (1, 'expected', 'sub', 'and'), (1, 'forbidden', 'sub', 'scum'), (2, 'forbidden', 'regex', '[0-9]{3}')"
 SCORES = f"""facts(case_id, kind, op, pattern) as (values {FACTS}),
 sc as (select id, count_if(kind = 'expected' and met)::bigint as hits, count_if(kind = 'expected' and not met)::bigint as misses, count_if(kind = 'forbidden' and met)::bigint as forbidden from (
