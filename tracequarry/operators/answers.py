@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,20 +79,19 @@ def without_evidence(codes: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def sound(facts: DataFrame) -> DataFrame:
-    """facts (few rows) with op 'never' where a pattern isn't one, so that it counts as unmet instead of ending the job."""
+    """facts with op 'never' where a pattern isn't one, so that it counts as unmet instead of ending the job; facts are written by hand, and
+    their patterns are tried on the driver."""
 
-    def check(patterns: pd.Series) -> pd.Series:
-        def fine(p):
-            try:
-                re.compile(p)
-            except (re.error, TypeError):
-                return False
-            return True
+    def fine(pattern: str | None) -> bool:
+        try:
+            re.compile(pattern)
+        except (re.error, TypeError):
+            return False
+        return True
 
-        return patterns.map(fine).astype(bool)
-
-    fine = F.pandas_udf(check, "boolean")("pattern")
-    return facts.withColumn("op", F.when(fine | (F.col("op") != "regex"), F.col("op")).otherwise("never"))
+    bad = [r.pattern for r in facts.where("op = 'regex'").select("pattern").distinct().collect() if not fine(r.pattern)]
+    hit = F.coalesce(F.col("pattern").isin([p for p in bad if p is not None]), F.lit(True)) if bad else F.lit(False)
+    return facts.withColumn("op", F.when((F.col("op") == "regex") & hit, "never").otherwise(F.col("op")))
 
 
 def met(answer: Column, op: Column, pattern: Column) -> Column:
@@ -158,13 +156,19 @@ def sessions(history: DataFrame) -> DataFrame:
     return user.agg(F.count("*").alias("turns"), F.max_by("text", "turn").alias("last_question"))
 
 
+# How constraint files declare clocks, by name or by port, and use them.
+NAMED_CLOCK = r"(?U)\bcreate_clock\b[^#\n]*?-name\s+(\w+)"
+PORT_CLOCK = r"(?U)\bcreate_clock\b(?![^#\n]*?-name\b)[^#\n]*?\[get_ports\s+(\w+)\s*\]"
+USED_CLOCK = r"(?U)\bget_clocks\s+(\w+)"
+
+
 def clock_issues(lines: DataFrame) -> DataFrame:
-    """Clocks used before, or without, their declaration in constraint files (file, line_no, line)."""
+    """file, clock, line_no, declared: clocks used before, or without, their declaration in constraint files (file, line_no, line)."""
     x = lines.withColumn("code", F.substring_index("line", "#", 1))
-    named = F.regexp_extract("code", r"create_clock\b.*?-name\s+\{?([A-Za-z0-9_]+)", 1)
-    declared = x.select("file", "line_no", named.alias("clock")).where("clock <> ''").groupBy("file", "clock").agg(F.min("line_no").alias("declared"))
-    used = x.select("file", "line_no", F.explode(F.regexp_extract_all("code", F.lit(r"get_clocks\s+\{?([A-Za-z0-9_]+)"), F.lit(1))).alias("clock"))
-    return used.join(declared, ["file", "clock"], "left").where("declared is null or declared > line_no")
+    all_of = lambda rx: F.regexp_extract_all("code", F.lit(rx), F.lit(1))
+    declared = x.select("file", "line_no", F.explode(F.concat(all_of(NAMED_CLOCK), all_of(PORT_CLOCK))).alias("clock")).groupBy("file", "clock").agg(F.min("line_no").alias("declared"))
+    used = x.select("file", "line_no", F.explode(all_of(USED_CLOCK)).alias("clock"))
+    return used.join(declared, ["file", "clock"], "left").where("declared is null or declared > line_no").select("file", "clock", "line_no", "declared")
 
 
 def quotes(answers: DataFrame) -> DataFrame:

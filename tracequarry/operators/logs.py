@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracequarry.functions.profiles import MENTION, SOURCE_COMMAND, STAGE, UNCODED, Profile, rank
+from tracequarry.functions.profiles import MENTION, PROFILES, SOURCE_COMMAND, STAGE, UNCODED, Profile, detected, rank
 
 
 def levels():
@@ -317,10 +319,18 @@ def head_bytes(lines: DataFrame, most: int) -> DataFrame:
     return offsets(lines.where(F.col("line_no") < most)).where(F.col("start") < most)
 
 
-def time_samples(c: DataFrame, gap: int = 100) -> DataFrame:
-    """Lines at which a log whose lines all have a second is sampled: severe ones, and each `gap` lines after the sample before."""
-    x = carried(c, "last", F.when(F.col("severity").isin("fatal", "error") | (F.col("line_no") == 0), F.col("line_no")))
-    return x.where((F.col("line_no") - F.col("last")) % gap == 0).select("file", "line_no", "ts_s")
+def profile_hits(lines: DataFrame, active: Profile, most: int = 8192) -> DataFrame:
+    """file, active, detected, and for both profiles how often each severity's vocabulary occurs in the first `most` bytes of each log.
+
+    The detected profile's counts are null where it is the active one.
+    """
+    head = lines.where(F.col("line_no") < most).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", F.left("line", F.lit(most)).alias("line")))).alias("l"))  # `most` short lines
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    head = head.select("file", F.make_valid_utf8(F.substring(F.encode(text, "utf-8"), 1, most).cast("string")).alias("head"))
+    head = head.withColumn("detected", detected(F.col("head")))
+    counts = [F.regexp_count("head", F.lit(getattr(active, s))).cast("long").alias(f"active_{s}") for s in ("fatal", "error", "warn")]
+    other = lambda s: functools.reduce(lambda out, p: F.when(F.col("detected") == p.name, F.regexp_count("head", F.lit(getattr(p, s)))).otherwise(out), (p for p in PROFILES.values() if p is not active), F.lit(None))
+    return head.select("file", F.lit(active.name).alias("active"), "detected", *counts, *(other(s).cast("long").alias(f"detected_{s}") for s in ("fatal", "error", "warn")))
 
 
 def listing(lines: DataFrame) -> DataFrame:

@@ -52,11 +52,6 @@ def text_log_correlate(c):
     return logs.correlate(x, x.where("file = 'app_1.log' and line_no = 100").agg(F.max("ts_s").alias("anchor")), 3600)
 
 
-@query("select file, line_no, ts_s from (select *, max(case when severity in ('fatal', 'error') or line_no = 0 then line_no end) over (partition by file order by line_no) as l from c) where (line_no - l) % 5 = 0")
-def time_samples(c):
-    return logs.time_samples(c, 5)
-
-
 @query("""select r.file as name, r.name as stage, r.start_line, r.end_line, b.ts_s - a.ts_s as seconds from ranges r
 join c a on a.file = r.file and a.line_no = r.start_line left join c b on b.file = r.file and b.line_no = r.end_line and not r.incomplete""", f"{CLASSED}, {STAGED}")
 def stage_durations(c):

@@ -304,14 +304,6 @@ def json_field_filter(spark, read):
     return x.select("event_id", F.col("m")["k"].alias("k")).where(F.col("k").isin("1", "2", "3"))
 
 
-@table_query("select case when event_type = 'error' then 'error' when event_type = 'click' then 'warn' end as severity, count(*)::bigint as n from events group by all")
-def json_severity(spark, read):
-    line = F.to_json(F.struct(F.when(F.col("event_type") == "error", "ERR").when(F.col("event_type") == "click", "warning").otherwise("info").alias("level")))
-    level = F.lower(F.coalesce(*(F.col("m")[k] for k in ("level", "severity", "lvl", "log.level", "loglevel"))))
-    severity = F.when(level.isin("fatal", "critical", "crit", "emerg", "emergency", "panic", "0", "1", "2"), "fatal").when(level.isin("error", "err", "severe", "exception", "3"), "error").when(level.isin("warn", "warning", "4"), "warn")
-    return json_records(read("events").select(line.alias("line"))).groupBy(severity.alias("severity")).agg(F.count("*").alias("n"))
-
-
 @table_query("select doc_id, (i - 1)::bigint as line_no, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents))")
 def doc_lines(spark, read):
     return read("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracequarry.functions.profiles import EDA, GENERIC, detected
+from tracequarry.functions.profiles import GENERIC
 from tracequarry.operators import answers, logs, retrieval
 from tracequarry.plans.registry import BM25, CLASSED, SEVERE, STAGED, TRIAGE, _bm25, _top, query, table_query
-from tracequarry.sources.logs import classified, json_records
+from tracequarry.sources.logs import classified
 
 OFFSETS = "o as (select file, line_no, line, (sum(strlen(line) + 1) over (partition by file order by line_no) - strlen(line) - 1)::bigint as start from log)"
 NEAR = """near as (select file, line_no from (
@@ -23,14 +23,6 @@ def log_listing(c):
     return logs.listing(c)
 
 
-@query(rf"select file, case when bool_or(regexp_matches(line, '--- (Starting|Ending) \"|\([A-Z][A-Z0-9]+-\d+\)')) then 'eda' else 'generic' end as profile, {SEVERE.replace('severity', 's')} from (select o.*, c.severity as s from o join c using (file, line_no)) where start < 8192 group by file", f"{CLASSED}, {OFFSETS}")
-def profile_report(c):
-    head = logs.head_bytes(c, 8192)
-    n = lambda s: F.count_if(EDA.severity(F.col("line")) == s).alias(f"n_{s}")
-    hit = F.max(F.when(detected(F.col("line")) == EDA.name, 1).otherwise(0)) == 1
-    return head.groupBy("file").agg(F.when(hit, EDA.name).otherwise(GENERIC.name).alias("profile"), n("fatal"), n("error"), n("warn"))
-
-
 @query(r"select file, code, severity, n, first_line, line as example from codes join log using (file) where line_no = first_line")
 def log_summary(c):
     return logs.summary(c)
@@ -85,27 +77,6 @@ def plan_open(c):
     return answers.todos(told).join(done, ["id", "call"], "left_anti").select("id", "step", "call")
 
 
-@table_query("select event_id, 'k=' || json_extract_string(props, '$.k') as message from events")
-def json_message(spark, read):
-    x = json_records(read("events").withColumnRenamed("props", "line"))
-    named = F.coalesce(*(F.col("m")[k] for k in ("msg", "message", "text", "event")))
-    summary = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
-    return x.select("event_id", F.coalesce(named, summary).alias("message"))
-
-
-CLOCKS = "k as (select user_id % 4 as file, event_id as line_no, event_type, 'k' || user_id % 97 as clock from events)"
-
-
-@table_query(f"""with {CLOCKS}, d as (select file, clock, min(line_no) as declared from k where event_type = 'signup' and line_no % 5 = 0 group by all)
-select file, clock, k.line_no, declared from k left join d using (file, clock) where event_type = 'click' and (declared is null or declared > k.line_no)""")
-def constraint_lint(spark, read):
-    clock = F.concat(F.lit("k"), (F.col("user_id") % 97).cast("string"))
-    made = F.concat(F.lit("create_clock -period 2 -name "), clock, F.lit(" [get_ports c]"))
-    line = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 5 == 0), made).when(F.col("event_type") == "click", F.concat(F.lit("set_false_path -from [get_clocks "), clock, F.lit("] # x"))).otherwise(F.lit("# get_clocks none"))
-    lines = read("events").select((F.col("user_id") % 4).alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
-    return answers.clock_issues(lines).select("file", "clock", "line_no", "declared")
-
-
 @table_query(f"with {BM25} select qid, count(*)::bigint as n from s where score >= (select case when count(*) >= 50 then 20 else 0 end from documents) group by qid")
 def relevance_floor(spark, read):
     n = read("documents").agg(F.when(F.count("*") >= 50, 20.0).otherwise(0.0).alias("floor"))
