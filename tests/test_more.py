@@ -1,5 +1,3 @@
-import json
-import random
 import zlib
 
 import pytest
@@ -7,47 +5,14 @@ from pyspark.sql import functions as F
 
 from tracequarry import config
 from tracequarry.functions.profiles import EDA
-from tracequarry.operators import answers, logs, retrieval
+from tracequarry.operators import answers, retrieval
 from tracequarry.sources import documents
-from tracequarry.sources.logs import classified
-from tracequarry.streaming import live
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def streamed(spark, tmp_path, text, make):
-    """The rows that make() of a stream tells of a log that comes in three files of a trigger each."""
-    folder = tmp_path / "in"
-    folder.mkdir()
-    schema, told = "file string, line_no long, line string", f"told_{random.randrange(10**9)}"
-    for k in range(3):
-        part = [(f, i, x) for f, lines in text.items() for i, x in enumerate(lines) if i * 3 // len(lines) == k]
-        (folder / f"{k}.json").write_text("".join(json.dumps(dict(zip(("file", "line_no", "line"), r, strict=True))) + "\n" for r in part))
-        stream = spark.readStream.schema(schema).json(str(folder))
-        q = make(stream).writeStream.format("parquet").option("path", str(tmp_path / told)).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-    return rows(spark.read.parquet(str(tmp_path / told)))
-
-
-def test_live_incidents_like_whole_logs(spark, tmp_path):
-    r = random.Random(5)
-    text = {f: [r.choice(["ERROR x", "  at y", "", "done", "\tz", "FATAL q"]) for _ in range(90)] + ["ERROR last", "done"] for f in ("a.log", "b.log")}
-    text["c.log"] = ["ERROR long"] + ["  body"] * 40
-    got = streamed(spark, tmp_path, text, lambda s: live.live_incidents(classified(s, EDA)))
-    whole = spark.createDataFrame([(f, i, x) for f, lines in text.items() for i, x in enumerate(lines)], "file string, line_no long, line string")
-    assert got == rows(logs.incidents(classified(whole, EDA)).select("file", "head", "body_end", "severity"))
-
-
-def test_live_stages_like_whole_logs(spark, tmp_path):
-    r = random.Random(6)
-    text = {f: [f'--- {r.choice(["Starting", "Ending"])} "s{r.randrange(3)}" ---' if r.random() < 0.5 else "x" for _ in range(60)] for f in ("a.log", "b.log")}
-    got = streamed(spark, tmp_path, text, live.live_stages)
-    whole = spark.createDataFrame([(f, i, x) for f, lines in text.items() for i, x in enumerate(lines)], "file string, line_no long, line string")
-    assert got == rows(logs.stage_ranges(whole).where("not incomplete").select("file", "name", "start_line", "end_line"))
-
-
 def test_pdf_text(spark, tmp_path):
     shown = rb"BT (Chapter \(one\)) Tj T* [(Pla) -20 (cing)] TJ ET (not shown) BT (a\101\
 b) ' ET"

@@ -287,3 +287,18 @@ def code_lookup(index: PassageIndex, wanted: DataFrame, severe: DataFrame, k: in
     found = found.join(index.chunks(), "id").groupBy(F.col("qid").alias("code")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "id", "source", "start_line", "heading"))).alias("p"))
     told = F.transform("p", lambda e, i: F.struct((i + 1).cast("long").alias("rank"), e["source"].alias("source"), e["start_line"].alias("start_line"), e["heading"].alias("heading"), (-e["less"]).alias("score")))
     return x.join(found, "code", "left").select("code", "nth", "n", "line_no", "line", "state", "query", F.coalesce(told, F.array().cast("array<struct<rank: long, source: string, start_line: long, heading: string, score: double>>")).alias("passages"))
+
+
+def evidence(index: PassageIndex, asked: DataFrame, severe: DataFrame, file: str) -> DataFrame:
+    """id, text: for answers (id, codes in the order they were looked up) a line a code that the log has: where it came first and what it
+    said, with its best passage, or that the manual has none."""
+    each = asked.select("id", F.posexplode(F.array_distinct(F.transform("codes", lambda c: F.upper(F.trim(c))))).alias("k", "code")).where("code <> ''")
+    found = code_lookup(index, each.select("code", F.lit(None).cast("int").alias("nth")).distinct(), severe, 1).where("state = 'found'")
+    top = F.get("passages", F.lit(0))
+    text = found.withColumn("p", top).join(index.chunks().select("source", "start_line", F.col("text").alias("passage")), (F.col("p.source") == F.col("source")) & (F.col("p.start_line") == F.col("start_line")), "left")
+    words = F.trim(F.replace("passage", F.lit("\n"), F.lit(" ")))
+    short = F.when(F.length(words) > 220, F.concat(F.rtrim(F.left(words, F.lit(220))), F.lit("…"))).otherwise(words)
+    place = F.concat(F.lit("`"), F.substring_index("p.source", "/", -1), F.lit(":"), F.col("p.start_line").cast("string"), F.lit("` > "), "p.heading", F.lit(" — "), short)
+    bullet = F.concat(F.lit(f"- `{file}:"), (F.col("line_no") + 1).cast("string"), F.lit("` → "), "line", F.lit("\n  Manual: "), F.coalesce(place, F.concat(F.lit("no entry for "), "code")))
+    lines = each.join(text.select("code", bullet.alias("bullet")), "code").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "bullet"))).alias("b"))  # an answer's codes
+    return lines.select("id", F.array_join(F.transform("b", lambda b: b["bullet"]), "\n").alias("text"))

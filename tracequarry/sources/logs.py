@@ -57,9 +57,9 @@ def json_records(lines: DataFrame) -> DataFrame:
     return lines.withColumn("m", F.from_json("line", "map<string,string>")).where("m is not null")
 
 
-def documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
+def documents(spark: SparkSession, path: str, pattern: str = "*.{md,markdown,txt,rst}") -> DataFrame:
     """source, text of whole files."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 

@@ -31,6 +31,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+COMMIT = "number int, name string, instead boolean"
+
+
 class Generations:
     """Tables that grow by whole generations. A generation counts once its commit is written, which is one append of one row: what a
     failed writer leaves behind is never read. Old generations are never rewritten."""
@@ -39,19 +42,21 @@ class Generations:
         self.spark, self.path = spark, path.rstrip("/")
 
     def commits(self) -> list[str]:
-        """Names of the committed generations, in order; one row an update."""
+        """Names of the generations that count, in order; one row an update."""
         if not exists(self.spark, f"{self.path}/commits"):
             return []
-        done = self.spark.read.schema("number int, name string").json(f"{self.path}/commits").collect()
-        return [r.name for r in sorted(done, key=lambda r: r.number)]
+        done = sorted(self.spark.read.schema(COMMIT).json(f"{self.path}/commits").collect(), key=lambda r: r.number)
+        first = max((k for k, r in enumerate(done) if r.instead), default=0)
+        return [r.name for r in done[first:]]
 
     def begin(self) -> str:
         """The name of a new generation; nobody reads it before it is committed."""
         return uuid.uuid4().hex
 
-    def commit(self, name: str) -> None:
-        rows = self.spark.createDataFrame([(len(self.commits()), name)], "number int, name string")
-        rows.coalesce(1).write.mode("append").json(f"{self.path}/commits")
+    def commit(self, name: str, instead: bool = False) -> None:
+        """Makes a generation count: beside the others, or in their place."""
+        number = self.spark.read.schema(COMMIT).json(f"{self.path}/commits").count() if self.commits() else 0
+        self.spark.createDataFrame([(number, name, instead)], COMMIT).coalesce(1).write.mode("append").json(f"{self.path}/commits")
 
     def write(self, df: DataFrame, name: str, table: str) -> None:
         df.write.parquet(f"{self.path}/{table}/generation={name}")
