@@ -208,3 +208,36 @@ def test_vectors_that_cannot_be_cut(spark):
     assert books is None and found.first().code is None
     found, books = o13.vector_codes(spark.createDataFrame([(1, [0.5] * 16, 1), (2, [0.5] * 32, 1), (3, [], 1)], schema))
     assert {r.vec_id: r.code for r in found.collect()} == {1: "00" * 16, 2: None, 3: None}
+
+
+def test_license_words_far_apart_are_no_statement(spark):
+    from tracequarry.llm import op8_license_scan as o8
+
+    far = lambda words, fill: " ".join(w + (" " + fill) * 250 for w in words.split())
+    texts = ["mot " * 500 + far("released under the mit license", "mot") + " mot" * 500, far("dedicated to the public domain under cc0", "wort"), "x " * 17 + "Released under the MIT license" + " x" * 90]
+    got = {r.doc_id: (r.labels, r.score) for r in o8.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("mit", 1.0)}
+
+
+def test_trees_are_built_once_a_shard(spark, monkeypatch):
+    from tracequarry.llm import op4_ball_tree as o4
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(700)] + [(50, rng.normal(size=8).tolist()) for _ in range(600)]  # many vectors of one id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    built, searched = [], []
+    trees, found_by = o4.trees, o4.found_by
+    monkeypatch.setattr(o4, "trees", lambda data: built.append(1) or trees(data))
+    monkeypatch.setattr(o4, "found_by", lambda *a: searched.append(len(a[1])) or found_by(*a))
+    monkeypatch.setattr(o4, "QUERY_BLOCK", 100)
+    got = {}
+    for r in o4.top_products(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert len(built) == 1 and len(searched) == 2 * -(-614 // 100)  # the block's first trees, and the rest
+    assert o4.trees(o4.whole_numbers(df)).count() == 3
+    whole = {}
+    for i, e in rows:
+        whole.setdefault(i, []).append(np.floor(256 * np.float32(e).astype(float)))
+    for q in range(0, 700, 50):
+        best = sorted((-max(int(a @ b) for a in whole[q] for b in v), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]

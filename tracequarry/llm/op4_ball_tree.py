@@ -1,10 +1,10 @@
 """Exact top-k by integer inner product: ball trees per shard, searched best bound first.
 
-A block of queries (at most about QUERY_BLOCK, so what is broadcast is bounded) goes over all vectors at a time. Each task gathers shards
-of SHARD_ROWS vectors, builds a ball tree, and visits its nodes in the order of their upper bound q.c + |q| r. A node whose bound is
-below the query's current kth score is cut off with all that follow; one that only ties is skipped unless it holds a smaller id. The kth
-score is shared: it starts from a bounded sample of the vectors, searched before, and is carried from shard to shard in a task. What the
-tasks found is merged by query.
+Each task gathers shards of vectors and builds a ball tree of each, once; the trees are a stored table. Blocks of queries (about QUERY_BLOCK,
+so what is broadcast is bounded) go over the trees, whose nodes are visited in the order of their upper bound q.c + |q| r. A node whose bound
+is below the query's current kth score is cut off with all that follow; one that only ties is skipped unless it holds a smaller id. The kth
+score is shared: a block first searches every TURNS-th tree, the kth scores found are collected (one number a query of the block), and the
+other trees are searched from those on; within a task they go from tree to tree. What the tasks found is merged by query.
 
 Vectors null or holding null or non-finite components take no part, nor do null ids; only vectors of the query's length are compared. Of
 repeated ids the best score counts, and an id is reported once. Products are exact: where doubles could round, leaves are
@@ -14,17 +14,21 @@ multiplied in Python's integers, and scores beyond a long are held at its ends.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, scratch
+from .common import read, scratch, written
 
 TOP, SCALE, LEAF = 5, 256, 128
-QUERY_BLOCK, SHARD_ROWS, SEED_ROWS = 2048, 32_768, 4096
+QUERY_BLOCK, TURNS = 2048, 16
+#: A tree has at most so many vectors, and so many bytes of them.
+SHARD_ROWS, SHARD_BYTES = 32_768, 16 << 20
 LONG = 2**63 - 1
 
 Top = list[tuple[int, int]]  # (-score, id), in order
@@ -59,6 +63,16 @@ class BallTree:
         self.centers, self.radii, self.least = np.array(centers), np.array(radii), np.array(least)
         self.ids, self.vectors = ids[self.order], vectors[self.order]
 
+    def stored(self) -> bytes:
+        return pickle.dumps((self.nodes, self.centers, self.radii, self.least, self.ids, self.vectors))
+
+    @staticmethod
+    def of(data: bytes) -> BallTree:
+        tree = BallTree.__new__(BallTree)
+        tree.nodes, tree.centers, tree.radii, tree.least, tree.ids, tree.vectors = pickle.loads(data)
+        tree.rounded = None
+        return tree
+
     def exact(self, a: int, b: int, query: np.ndarray) -> np.ndarray:
         """Products of vectors a to b - 1 in Python's integers, held at a long's ends."""
         whole = [int(x) for x in query]
@@ -103,12 +117,10 @@ def exact_in_doubles(*parts: np.ndarray) -> bool:
     return most * most * parts[0].shape[1] < 2.0**52
 
 
-def search_block(tops: dict[int, Top], floors: dict[int, int], q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-    """Betters tops (by the queries' numbers) with the vectors of one shard."""
-    if not len(ids) or not len(q_ids):
-        return
+def search_block(tops: dict[int, Top], floors: dict[int, int], q_ids: np.ndarray, queries: np.ndarray, tree: BallTree) -> None:
+    """Betters tops (by the queries' numbers) with the vectors of one tree."""
+    tree.rounded = None if exact_in_doubles(queries, tree.vectors) else True
     with np.errstate(all="ignore"):  # bounds beyond doubles are infinite and cut nothing off
-        tree = BallTree(ids, vectors, None if exact_in_doubles(queries, vectors) else True)
         bounds = queries @ tree.centers.T + np.sqrt((queries**2).sum(1))[:, None] * tree.radii
         bounds += 1e-9 * (np.abs(bounds) + np.abs(queries) @ np.abs(tree.centers.T)) + 1e-6
     bounds = np.nan_to_num(bounds, nan=np.inf, posinf=np.inf, neginf=np.inf)
@@ -133,49 +145,78 @@ def arrays(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield n, ids[own], flat[start[own][:, None] + np.arange(n)]
 
 
+def trees(data: DataFrame) -> DataFrame:
+    """width, turn, tree of the shards of whole_numbers()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        turn = TaskContext.get().partitionId()
+
+        def built(n: int) -> pa.RecordBatch:
+            nonlocal turn
+            ids, v = (np.concatenate(x) for x in zip(*held.pop(n), strict=True))
+            with np.errstate(all="ignore"):
+                tree = BallTree(ids, v)
+            turn += 1
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([(turn - 1) % TURNS], pa.int32()), pa.array([tree.stored()], pa.binary())], ["width", "turn", "tree"])
+
+        for n, ids, v in (g for b in batches if b.num_rows for g in arrays(b)):
+            most = max(1, min(SHARD_ROWS, SHARD_BYTES // max(8 * n, 1)))
+            for at in range(0, len(ids), most):
+                held.setdefault(n, []).append((ids[at : at + most], v[at : at + most]))
+                if sum(len(i) for i, _ in held[n]) >= most:
+                    yield built(n)
+        for n in list(held):
+            yield built(n)
+
+    return data.mapInArrow(run, "width int, turn int, tree binary")
+
+
+Block = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by width: query ids, queries, their rows in the block
+
+
+def found_by(table: DataFrame, block: Block, floors: dict[int, int]) -> DataFrame:
+    """row (of the block), vec_id, score: what a task's trees have for each query of the block; floors: kth scores by row."""
+    shared = table.sparkSession.sparkContext.broadcast((block, floors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, floors = shared.value
+        tops: dict[int, dict[int, Top]] = {n: {} for n in block}
+        for b in batches:
+            for n, data in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                if n in block:
+                    ids, queries, rows = block[n]
+                    own = {k: floors[r] for k, r in enumerate(rows.tolist()) if r in floors}
+                    search_block(tops[n], own, ids, queries, BallTree.of(data.as_py()))
+        told = [(int(block[n][2][k]), i, -s) for n, by in tops.items() for k, top in by.items() for s, i in top]
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*told, strict=True)], ["row", "vec_id", "score"])
+
+    return table.mapInArrow(run, "row long, vec_id long, score long")
+
+
 def top_products(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rank, vec_id, score of each query's TOP best."""
     spark = vectors.sparkSession
-    data, asked = whole_numbers(vectors), whole_numbers(queries).dropDuplicates()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    seed = data.limit(SEED_ROWS).toArrow().combine_chunks().to_batches()
+    asked = whole_numbers(queries).dropDuplicates()
+    table = written(trees(whole_numbers(vectors)), "trees")
     path, out = scratch(spark, "top"), "query_id long, vec_id long, score long"
     spark.createDataFrame([], out).write.parquet(path)
-    for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks().to_batches()
-        groups: dict[int, tuple[np.ndarray, np.ndarray, dict[int, int]]] = {}
-        for n, ids, q in (g for b in mine for g in arrays(b)):
-            order = np.argsort(ids, kind="stable")
-            tops: dict[int, Top] = {}
-            for m, other, v in (g for b in seed for g in arrays(b)):
-                if m == n:
-                    search_block(tops, {}, ids[order], q[order], other, v)
-            groups[n] = (ids[order], q[order], {k: -t[TOP - 1][0] for k, t in tops.items() if len(t) >= TOP})
-        shared = spark.sparkContext.broadcast(groups)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            groups = shared.value
-            tops: dict[int, dict[int, Top]] = {n: {} for n in groups}
-            held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-            def flush(n: int) -> None:
-                ids, v = (np.concatenate(x) for x in zip(*held.pop(n), strict=True))
-                q_ids, q, floors = groups[n]
-                search_block(tops[n], floors, q_ids, q, ids, v)
-
-            for n, ids, v in (g for b in batches if b.num_rows for g in arrays(b)):
-                if n in groups:
-                    held.setdefault(n, []).append((ids, v))
-                    if sum(len(i) for i, _ in held[n]) >= SHARD_ROWS:
-                        flush(n)
-            for n in list(held):
-                flush(n)
-            rows = [(int(groups[n][0][k]), i, -s) for n, by in tops.items() for k, top in by.items() for s, i in top]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
-
-        data.mapInArrow(run, out).write.mode("append").parquet(path)
-        shared.unpersist()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    for number in range(blocks):
+        # Dealt by id and vector, so the different vectors of one repeated id are spread over the blocks too.
+        mine = asked.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == number).toArrow().combine_chunks().to_batches()
+        block: Block = {}
+        base, names = 0, []
+        for n, ids, q in (g for b in mine if b.num_rows for g in arrays(b)):
+            block[n] = ids, q, base + np.arange(len(ids))
+            names += ids.tolist()
+            base += len(ids)
+        named = F.broadcast(spark.createDataFrame([(k, i) for k, i in enumerate(names)], "row long, query_id long"))  # the block's queries
+        first = written(found_by(table.where("turn = 0"), block, {}), "top-first")
+        best = first.dropDuplicates(["row", "vec_id"]).withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score")))).where(F.col("k") == TOP)
+        rest = found_by(table.where("turn > 0"), block, {r.row: r.score for r in best.select("row", "score").collect()})
+        first.unionByName(rest).join(named, "row").select("query_id", "vec_id", "score").write.mode("append").parquet(path)
     best = spark.read.schema(out).parquet(path).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= TOP).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

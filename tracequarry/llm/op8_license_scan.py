@@ -1,12 +1,13 @@
-r"""License scan: an exact set-similarity join of text blocks (lines, and windows of words across them) with license templates by containment.
+r"""License scan: an exact set-similarity join of text blocks (windows of words) with license templates by containment.
 
 Tokens of the templates are ordered by their frequency in the whole corpus, rarest first. A template of n tokens that needs an overlap
 of o can only match a block with one of its first n - o + 1 tokens (prefix filter), with o tokens of the vocabulary (length filter), and
 with enough tokens after the first shared one on either side (positional filter); what remains is verified. The template table is small
 and fixed, so the join needs no shuffle: each block is probed against it where it lies, with built-in functions only.
 
-Statements may be wrapped, so texts of several lines are also taken in windows of twice the longest template's words, each by that many
-words after the one before: what is no longer than the longest template is in one window. The SQL has the lines only.
+Blocks are windows of twice the longest template's words, each begun by that template's length after the one before, whatever the lines:
+what is no longer than the longest template is whole in a window, wrapped or not, and no block is so long that a template's words meet in it
+by chance.
 
 Nulls and empty texts have no words and no labels. Repeated rows each get their row, null ids stay null, only the id and the text are
 read, an empty table gives an empty result.
@@ -41,6 +42,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc0", "dedicated to the public domain under cc0"),
 ]
 THRESHOLD = 0.9
+#: Words of the longest template: from window to window; a window has twice as many.
+STEP = max(len(t.split()) for _, t in TEMPLATES)
 
 
 def lowered(text: Column) -> Column:
@@ -102,13 +105,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
         "doc_id",
         F.size(words_of(text)).cast("long").alias("n_words"),
         F.when(text.rlike(phrase), words_of(lowered(text))).otherwise(F.array().cast("array<string>")).alias("_l_words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(hint)).alias("_l_lines"),
-        "_l_text",
+        F.when(text.rlike(hint), words_of(lowered(text))).otherwise(F.array().cast("array<string>")).alias("_l_all"),
     )
-    vocab, longest = F.array(*map(F.lit, order)), max(len(t.split()) for _, t in TEMPLATES)
-    rows = rows.withColumn("_l_all", F.when((F.size("_l_lines") > 0) & text.contains("\n"), words_of(lowered(text))).otherwise(F.array().cast("array<string>")))
-    at = F.sequence(F.lit(1), F.greatest(F.size("_l_all"), F.lit(1)), F.lit(longest))
-    blocks = F.concat(F.transform("_l_lines", lambda x: words_of(lowered(x))), F.transform(at, lambda i: F.slice("_l_all", i, 2 * longest)))
+    vocab = F.array(*map(F.lit, order))
+    at = F.sequence(F.lit(1), F.greatest(F.size("_l_all"), F.lit(1)), F.lit(STEP))
+    blocks = F.transform(at, lambda i: F.slice("_l_all", i, 2 * STEP))
     least = min(needed(len(set(t.split())), threshold) for _, t in TEMPLATES)
     rows = rows.withColumn("_l_blocks", F.filter(F.transform(blocks, lambda x: F.array_intersect(vocab, x)), lambda x: F.size(x) >= least))
     rows = rows.withColumns({f"_l_p{k}": places(F.col("_l_words"), p) for k, p in enumerate(PHRASES)} | {f"_l_t{k}": best(F.col("_l_blocks"), order, t.split(), threshold) for k, (_, t) in enumerate(TEMPLATES)})
@@ -145,7 +146,7 @@ with t as (
 b as (
     select doc_id, count(*) as n, min(i) - 1 as a, max(i) - 1 as z, string_agg(distinct label, ',' order by label) as labels from h group by doc_id
 ), templates(k, label, tokens) as (values {tokens}),
-lines as (select doc_id, regexp_extract_all(unnest(string_split(text, chr(10))), '[^{gap}]+') as words from t),
+lines as (select doc_id, w[i : i + {2 * STEP - 1}] as words from (select doc_id, w, unnest(range(1, len(w) + 1, {STEP})) as i from t)),
 c as (
     select doc_id, label, len(list_intersect(tokens, words)) / len(tokens) as share from lines, templates
     where len(list_intersect(tokens, words)) >= ceil({THRESHOLD}e0 * len(tokens) - 1e-9)
