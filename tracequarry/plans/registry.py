@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -347,23 +345,15 @@ COS = """cs as (select q.vec_id as qid, v.vec_id as id, list_dot_product(q.e, v.
 from (select vec_id, embedding::double[] as e from embeddings where vec_id % 20 = 0) q, (select vec_id, embedding::double[] as e from embeddings) v)"""
 
 
-#: Queries that go over all vectors at a time, so what is broadcast is bounded.
-QUERY_BLOCK = 2048
-
-
-def _cosine(read):
-    """The stated query set, ids divisible by 20, against all vectors, block by block."""
+def _cosine(read, k=None):
+    """The stated query set, ids divisible by 20, against all vectors."""
     v = read("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    of = lambda k: F.broadcast(q.where(F.pmod(F.floor(F.col("qid") / 20), F.lit(blocks)) == k))
-    parts = [v.crossJoin(of(k)).select("qid", "id", retrieval.cosine(F.col("query"), F.col("embedding")).alias("cos")) for k in range(blocks)]
-    return reduce(DataFrame.unionAll, parts)
+    return retrieval.similar(v, v.where("id % 20 = 0").withColumnRenamed("id", "qid"), k)
 
 
 @table_query(f"with {COS} select qid, id, r as score from (select *, row_number() over (partition by qid order by r desc, id) as k from (select qid, id, round(cos, 6) as r from cs)) where k <= 5")
 def cosine_topk(spark, read):
-    return _top(_cosine(read), 5, "cos")
+    return _top(_cosine(read, 5), 5, "cos")
 
 
 @table_query(f"""with {BM25}, {COS}, j as (select coalesce(s.qid, cs.qid) as qid, coalesce(s.id, cs.id) as id, coalesce(score, 0) as b, coalesce(cos, 0) as c from s full join cs on cs.qid = s.qid and cs.id = s.id),
