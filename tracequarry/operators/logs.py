@@ -231,8 +231,8 @@ def head_tail(lines: DataFrame, head: int, tail: int) -> DataFrame:
     return lines.join(total, "file").where((F.col("line_no") < head) | (F.col("line_no") >= F.col("total") - tail)).drop("total")
 
 
-def triage(c: DataFrame, most: int = 200, around: int = 2, many: int = 2000) -> DataFrame:
-    """The first third of `most` severe lines and all fatal ones with context, stage banners, and the last quarter; a file's first `most` of these.
+def triage(c: DataFrame, most: int = 200, around: int = 2, many: int = 2000, clip: int | None = None) -> DataFrame:
+    """The first third of `most` severe lines and all fatal ones with context, stage banners, and the last quarter; a file's first `clip` (`most`) of these.
 
     The last quarter is of severe lines in files with more than `many`, else of all lines. Files without severe lines show their last `most`.
     """
@@ -247,7 +247,7 @@ def triage(c: DataFrame, most: int = 200, around: int = 2, many: int = 2000) ->
     banners = c.where(F.col("line").rlike(STAGE)).join(size.where("n_severe > 0"), "file", "left_semi").select("file", "line_no")
     shown = near(hits, around).union(ends).union(banners).distinct()
     x = c.select("file", "line_no", "line").join(shown, ["file", "line_no"], "left_semi")
-    return x.withColumn("k", F.row_number().over(up)).where(F.col("k") <= most).drop("k")
+    return x.withColumn("k", F.row_number().over(up)).where(F.col("k") <= (clip or most)).drop("k")
 
 
 def nth_occurrence(c: DataFrame, nth: int, most: int = 16) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.functions.profiles import EDA, GENERIC, detected
-from tracequarry.operators import answers, logs, records, sampling, scan
+from tracequarry.functions.profiles import EDA, GENERIC
+from tracequarry.operators import answers, logs, readlog, records, sampling, scan
 from tracequarry.plans.eventlog import event_index
-from tracequarry.plans.registry import CLASSED, ORACLES, QUERIES, query, table_query
+from tracequarry.plans.registry import CLASSED, ORACLES, QUERIES, TRIAGE, index_query, query, table_query
 
 #: Records of an event, by its id; {n} stands for the id, {w} for a long word.
 RECORDS = (
@@ -117,9 +120,50 @@ def _scan(context: int, most: int):
 QUERIES["early_stop"] = _scan(0, 40)
 QUERIES["early_stop_context"] = _scan(2, 40)
 ORACLES["early_stop"] = rf"""with {CLASSED} select line_no, line, true as is_hit from c where file = 'app_1.log' and regexp_matches(line, '(?i)mod[0-2]\.py') and severity in ('error') order by line_no limit 40"""
-ORACLES["early_stop_context"] = rf"""with {CLASSED}, x as (select line_no, line, regexp_matches(line, '(?i)mod[0-2]\.py') and regexp_matches(line, '(?i)\bERROR\b') as is_hit from c where file = 'app_1.log'),
+#: SQL for the lines that a scan with context chooses: z has all lines with is_hit, near and fwd; `last` where the scan ends.
+SCANNED = r"""x as (select line_no, line, regexp_matches(line, '(?i)mod[0-2]\.py') and regexp_matches(line, '(?i)\bERROR\b') as is_hit from c where file = 'app_1.log'),
 y as (select *, max(is_hit::int) over (order by line_no rows between 2 preceding and 2 following) as near, max(is_hit::int) over (order by line_no rows between 2 preceding and current row) as tail,
              max(is_hit::int) over (order by line_no rows between 1 preceding and current row) as fwd from x),
-z as (select *, sum(near) over (order by line_no) as n from y)
-select line_no, line, is_hit from z where near = 1 and line_no <= (
-    select coalesce(min(line_no), 1000000000) from (select *, (select count(*) from z a where a.near = 1 and a.line_no <= z.line_no and (a.tail = 1 or exists (select 1 from z b where b.is_hit and b.line_no between a.line_no and least(a.line_no + 2, z.line_no)))) as got from z) where got >= 40 and fwd = 0)"""
+z as (select * from y),
+ends as (
+    select coalesce(min(line_no), 1000000000) as last from (
+        select *, (select count(*) from z a where a.near = 1 and a.line_no <= z.line_no and (a.tail = 1 or exists (select 1 from z b where b.is_hit and b.line_no between a.line_no and least(a.line_no + 2, z.line_no)))) as got from z
+    ) where got >= {most} and fwd = 0
+)"""
+ORACLES["early_stop_context"] = f"with {CLASSED}, {SCANNED.format(most=40)} select line_no, line, is_hit from z, ends where near = 1 and line_no <= last"
+
+MODES = {"head": {"head": 30}, "tail": {"tail": 45}, "pattern": {"pattern": r"mod[0-2]\.py", "severity": "error"}, "severity": {"severity": "FATAL/bogus, warning"}, "triage": {"severity": "warning"}}
+
+
+@index_query("""select mode, line_no, line, n, run_first, gap, clipped from out""", f"""{CLASSED}, {TRIAGE}, {SCANNED.format(most=41)},
+own as (select * from c where file = 'app_1.log'),
+sel as (
+    select 'head' as mode, line_no, line from own where line_no < 30 union all select 'tail', line_no, line from own where line_no >= (select count(*) from own) - 45
+    union all select 'pattern', line_no, line from z, ends where near = 1 and line_no <= last
+    union all select 'severity', line_no, line from (select *, max((coalesce(severity = 'fatal', false))::int) over (order by line_no rows between 2 preceding and 2 following) as near from own) where near = 1
+    union all select 'triage', line_no, line from (
+        select *, max(hit::int) over (order by line_no rows between 2 preceding and 2 following) as near from (
+            select *, count_if(severity in ('fatal', 'error')) over () as sev, count(*) over () as total, coalesce(severity = 'fatal' or (severity = 'error' or severity = 'fatal') and sum((severity in ('fatal', 'error'))::int) over (order by line_no) <= 13, false) as hit from own))
+        where near = 1 or regexp_matches(line, '--- (Starting|Ending) "') or line_no >= total - 10
+),
+cl as (select *, count(*) over (partition by mode) > 40 as clipped from sel qualify row_number() over (partition by mode order by line_no) <= 40),
+rp as (
+    select min(line_no) as run_first, count(*)::bigint as n from (select *, sum(brk) over (order by line_no) as run from (select *, case when line is distinct from lag(line) over (order by line_no) then 1 else 0 end as brk from own))
+    where trim(line) <> '' group by run having count(*) >= 3
+),
+jn as (select cl.*, rp.n, rp.run_first, lag(line_no) over (partition by mode order by line_no) as before from cl left join rp on line_no >= run_first and line_no < run_first + n),
+out as (select *, before is not null and before <> line_no - 1 as gap from jn where not (run_first is not null and before = line_no - 1 and coalesce(before >= run_first, false)))""")
+def read_logs(ix):
+    """One log read in each way: precedence, context, clip at 40 lines, runs as one, gaps."""
+    part = lambda mode, asked: readlog.read_logs(ix, "app_1.log", 40, **asked).select(F.lit(mode).alias("mode"), "line_no", "line", "n", "run_first", "gap", "clipped")
+    return reduce(DataFrame.unionAll, (part(*m) for m in MODES.items()))
+
+
+@index_query("select total, n_fatal, n_error, n_warn, n_fatal + n_error - (select count(*) from c where file = 'app_1.log' and severity in ('fatal', 'error') and line_no < 30)::bigint as unseen from (select count(*)::bigint as total, count_if(severity = 'fatal')::bigint as n_fatal, count_if(severity = 'error')::bigint as n_error, count_if(severity = 'warn')::bigint as n_warn from c where file = 'app_1.log')")
+def read_header(ix):
+    return readlog.header(ix, "app_1.log", readlog.read_logs(ix, "app_1.log", 40, head=30))
+
+
+@index_query("select codes.file, codes.code, codes.severity, n, first_line, trim(line)[:110] as example from codes join c on c.file = codes.file and c.line_no = first_line where codes.severity in ('fatal', 'error')")
+def summary_of_severities(ix):
+    return readlog.log_summary(ix, "ERROR fatal")
