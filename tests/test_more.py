@@ -42,9 +42,9 @@ def test_nested_facts(spark):
 
 
 def test_settings_precedence(tmp_path):
-    (tmp_path / "s.json").write_text('{"max_steps": 4, "data": "x", "bogus": 1}')
-    s = config.load(str(tmp_path / "s.json"), {"data": "y", "master": None, "strict": True})
-    assert (s.max_steps, s.data, s.master, s.verify_max_passes, s.auto_execute_todos) == (4, "y", "local[*]", 5, True)
+    (tmp_path / "s.json").write_text('{"shuffle_partitions": 4, "data": "x", "bogus": 1}')
+    s = config.load(str(tmp_path / "s.json"), {"data": "y", "master": None})
+    assert (s.shuffle_partitions, s.data, s.master) == (4, "y", "local[*]")
     (tmp_path / "bad.json").write_text("[1")
     assert config.load(str(tmp_path / "bad.json")) == config.Settings()
 

@@ -14,7 +14,6 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--config", help="JSON file of settings")
     parser.add_argument("--data", help="folder of the Parquet tables")
     parser.add_argument("--master")
-    parser.add_argument("--strict", action="store_true", default=None)
     sub = parser.add_subparsers(dest="what", required=True)
     sub.add_parser("queries", help="names of all queries")
     sub.add_parser("settings", help="settings in effect, as JSON")
@@ -25,11 +24,11 @@ def main(argv: list[str] | None = None) -> None:
             one.add_argument("--rows", type=int, default=20, help="rows to print")
             one.add_argument("--out", help="write all rows there as Parquet instead")
     args = parser.parse_args(argv)
-    settings = config.load(args.config, {"data": args.data, "master": args.master, "strict": args.strict})
+    settings = config.load(args.config, {"data": args.data, "master": args.master})
     if args.what == "settings":
         print(json.dumps(asdict(settings), indent=1))
         return
-    from tracequarry.plans import lookups, registry, reports  # noqa: F401  they add their queries to the registry
+    from tracequarry.plans import lookups, manual, registry, reports, rules, stores  # noqa: F401  the others add their queries to the registry
 
     if args.what == "queries":
         print("\n".join(sorted(registry.QUERIES)))
@@ -42,6 +41,8 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.master(settings.master).config("spark.sql.shuffle.partitions", settings.shuffle_partitions).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if settings.checkpoint_dir:
+        spark.sparkContext.setCheckpointDir(settings.checkpoint_dir)
     rows = registry.QUERIES[args.query](spark, settings.data)
     if args.what == "plan":
         rows.explain("formatted")

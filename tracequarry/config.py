@@ -1,4 +1,4 @@
-"""Settings: defaults, then a JSON file, then given values, then the strict preset, which only tightens."""
+"""Settings of the command line: defaults, then a JSON file, then given values."""
 
 from __future__ import annotations
 
@@ -6,33 +6,13 @@ import json
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
-#: Fixed values of the strict preset: at most, at least, exactly.
-AT_MOST = {"max_steps": 6, "tool_result_char_budget": 4000}
-AT_LEAST = {"verify_max_passes": 5, "history_compact_keep_recent": 10}
-EXACTLY = {"max_repeated_tool_call": 1, "history_compact_budget": 200, "max_tool_calls_per_response": 1, "auto_execute_todos": True}
-
 
 @dataclass(frozen=True)
 class Settings:
     data: str = "/root/testdata/sf0.001"
     master: str = "local[*]"
     shuffle_partitions: int = 8
-    # Defaults of the answer loop.
-    max_steps: int = 12
-    tool_result_char_budget: int = 6000
-    verify_max_passes: int = 3
-    history_compact_keep_recent: int = 8
-    max_repeated_tool_call: int = 2
-    history_compact_budget: int = 600
-    max_tool_calls_per_response: int = 0  # 0: no limit
-    auto_execute_todos: bool = False
-    strict: bool = False
-
-
-def strictly(s: Settings) -> Settings:
-    most = {k: min(getattr(s, k), v) for k, v in AT_MOST.items()}
-    least = {k: max(getattr(s, k), v) for k, v in AT_LEAST.items()}
-    return replace(s, strict=True, **most, **least, **EXACTLY)
+    checkpoint_dir: str = ""  # a folder that all executors share; needed on a cluster, where stored indexes lie there
 
 
 def load(path: str | None = None, given: dict | None = None) -> Settings:
@@ -46,5 +26,4 @@ def load(path: str | None = None, given: dict | None = None) -> Settings:
     own = {f.name for f in fields(Settings)}
     told = {k: v for k, v in told.items() if k in own} if isinstance(told, dict) else {}
     s = replace(Settings(), **told)
-    s = replace(s, **{k: v for k, v in (given or {}).items() if v is not None and k in own})
-    return strictly(s) if s.strict else s
+    return replace(s, **{k: v for k, v in (given or {}).items() if v is not None and k in own})
