@@ -39,7 +39,7 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Share of a set's hashes by which the first filter's prefixes are longer than needed.
 EXTRA = 0.05
-BLOCK_TOKENS, BLOCK_SETS, HOT, HOT_MOST, SHORT = 1_000_000, 2000, 50, 200_000, 32
+BLOCK_TOKENS, BLOCK_SETS, HOT, HOT_MOST, SHORT = 1_000_000, 800, 50, 200_000, 32
 #: The same for the prefixes that make the index lists.
 LIST_EXTRA = 0.1
 #: Ids that may be broadcast (16 bytes each); beyond, texts are shuffled.
