@@ -106,3 +106,12 @@ def test_clocks_of_ports(spark):
     text = ["create_clock -period 2 [get_ports clk]", "set_x [get_clocks clk] [get_clocks late]", "create_clock [get_ports a] -name late", "set_y [get_clocks a] [get_clocks {b c}] # [get_clocks d]", "recreate_clock -name z"]
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(text)], "file string, line_no long, line string")
     assert sorted((x.clock, x.line_no, x.declared) for x in answers.clock_issues(df).collect()) == [("a", 3, None), ("late", 1, 2)]
+
+
+def test_profiles_of_modes(spark):
+    from tracequarry.functions.profiles import EDA, GENERIC
+    from tracequarry.operators.contract import resolve
+
+    heads = spark.createDataFrame([("b.log", "eda"), ("a.log", "generic")], "file string, detected string")
+    assert [resolve(m) for m in ("eda", "GENERIC", "bogus", None)] == [EDA, GENERIC, EDA, EDA]
+    assert (resolve("auto", heads), resolve("auto", heads.where("file = 'b.log'")), resolve("auto")) == (GENERIC, EDA, GENERIC)

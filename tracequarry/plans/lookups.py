@@ -186,7 +186,7 @@ def query_variants(spark, read):
     return _top(best.withColumnRenamed("base", "qid"), 5)
 
 
-SKILLS = """sk as (select doc_id as id, split_part(text, ' ', 1) || '-' || doc_id as name, text[:200] as description, case doc_id % 3 when 0 then 'any' when 1 then 'EDA' else 'generic' end as domain from documents),
+SKILLS = """sk as (select doc_id as id, split_part(text, ' ', 1) || '-' || doc_id as name, text as description, case doc_id % 3 when 0 then 'any' when 1 then 'EDA' else 'generic' end as domain from documents),
 mine as (select id, regexp_extract_all(lower(name || ' ' || description), '[a-z]{3,}') as t from sk where lower(domain) in ('', 'any', 'eda')),
 tf as (select id, token, count(*) as tf from (select id, unnest(t) as token from mine) group by all)"""
 
@@ -197,7 +197,7 @@ select qid, id, score from (select *, row_number() over (partition by qid order
 def skill_ranking(spark, read):
     d = read("documents")
     domain = F.when(F.col("doc_id") % 3 == 0, "any").when(F.col("doc_id") % 3 == 1, "EDA").otherwise("generic")
-    skills = d.select(F.col("doc_id").alias("id"), F.concat_ws("-", F.split("text", " ")[0], F.col("doc_id").cast("string")).alias("name"), F.left("text", F.lit(200)).alias("description"), domain.alias("domain"))
+    skills = d.select(F.col("doc_id").alias("id"), F.concat_ws("-", F.split("text", " ")[0], F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("description"), domain.alias("domain"))
     asked = read("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text")
     return _top(lookups.skill_scores(skills.where(lookups.domain_fits(F.col("domain"), "eda")), asked), 8)
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.functions.profiles import EDA, GENERIC
-from tracequarry.operators import answers, logs, readlog, records, sampling, scan
+from tracequarry.operators import answers, contract, logs, readlog, records, sampling, scan
+from tracequarry.operators.logindex import LogIndex
 from tracequarry.plans.eventlog import event_index
-from tracequarry.plans.registry import CLASSED, ORACLES, QUERIES, TRIAGE, index_query, query, table_query
+from tracequarry.plans.registry import CLASSED, MENTION_SQL, ORACLES, QUERIES, STAGED, TRIAGE, index_query, query, table_query
 
 #: Records of an event, by its id; {n} stands for the id, {w} for a long word.
 RECORDS = (
@@ -167,3 +168,34 @@ def read_header(ix):
 @index_query("select codes.file, codes.code, codes.severity, n, first_line, trim(line)[:110] as example from codes join c on c.file = codes.file and c.line_no = first_line where codes.severity in ('fatal', 'error')")
 def summary_of_severities(ix):
     return readlog.log_summary(ix, "ERROR fatal")
+
+
+CALLS = [
+    ("list_logs", {}),
+    ("read_logs", {"path": "app_1.log", "tail": 25}),
+    ("read_logs", {"path": "app_1.log", "no_such": 1}),
+    ("read_logs", {}),
+    ("log_summary", {"severity": "fatal"}),
+    ("stage_codes", {"path": "app_2.log"}),
+    ("find_mentions", {"token": "mod3"}),
+    ("grep", {}),
+]
+
+
+@index_query("""select * from (
+    select 0 as call, count(distinct file) as n, null as error from c union all
+    select 1, count(*) filter (where not again), null from (select coalesce(line = lag(line) over (order by line_no) and cnt >= 3, false) as again, line_no, total from (
+        select *, count(*) over () as total, count(*) over (partition by run) as cnt from (select *, sum(brk) over (order by line_no) as run from (select *, case when line is distinct from lag(line) over (order by line_no) then 1 else 0 end as brk from c where file = 'app_1.log'))))
+        where line_no >= total - 25 union all
+    select 2, 1, 'running read_logs: TypeError' union all select 3, 1, 'running read_logs: TypeError' union all
+    select 4, count(*), null from codes where severity = 'fatal' union all
+    select 5, count(*), null from (select distinct stage, code from owned where file = 'app_2.log' and code <> '(uncoded)') union all
+    select 6, count(*), null from m where contains(token, 'mod3') union all
+    select 7, 1, 'unknown tool ''grep''. Available: list_logs, read_logs, log_summary, incidents, find_mentions, stage_timeline, stage_codes' union all
+    select 8, 1, 'tool ''stage_timeline'' requires the ''eda'' profile (active: ''generic'')')""", f"{CLASSED}, {STAGED}, {MENTION_SQL}")
+def tool_calls(ix):
+    """Calls of tools by name, good ones and bad ones: how many rows each gives, and its error."""
+    other = LogIndex(ix.spark, ix.store.path, GENERIC)
+    each = [contract.call(ix, *c) for c in CALLS] + [contract.call(other, "stage_timeline")]
+    counts = [x.agg(F.count("*").alias("n"), F.max("error" if "error" in x.columns else F.lit(None)).cast("string").alias("error")).select(F.lit(k).alias("call"), "n", "error") for k, x in enumerate(each)]
+    return reduce(DataFrame.unionAll, counts)
