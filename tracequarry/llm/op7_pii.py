@@ -1,6 +1,7 @@
 """Personal data by candidate gradient boosting.
 
-High-recall generators propose overlapping spans (numbers, written-out addresses, account and document numbers). Boosted trees score each
+High-recall generators propose overlapping spans (numbers, written-out mail, account and document numbers, streets with house numbers, names
+after a title or a word that announces one, dates). Boosted trees score each
 by its format and its context, and spans at or above their kind's threshold are added; thresholds are calibrated on held-out examples for
 a precision of PRECISION if RATE of the candidates were personal. Of overlapping ones the likeliest stays, and none overlaps a base span. The base kinds (email, ip, card, phone) are always reported.
 
@@ -33,7 +34,7 @@ NUMERIC = re.compile(r"[0-9+][0-9+ ().-]*")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-KINDS = ("email", "ip", "card", "phone", "address_like", "number_like", "document_like")
+KINDS = ("email", "ip", "card", "phone", "address_like", "number_like", "document_like", "street_like", "name_like", "date_like")
 #: RATE: the share of personal candidates that thresholds reckon with.
 EXAMPLES, SEED, PRECISION, RATE = 12_000, 20240, 0.98, 0.05
 
@@ -94,6 +95,24 @@ ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?:
 PAPER = re.compile(r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,9}(?![A-Za-z0-9])")
 
 
+#: What streets, titles and months are called in the corpus's languages.
+STREET = re.compile(
+    r"(?<![\w.,-])[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace)\b"
+    r"|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?\b"
+    r"|(?<![\w.,-])[0-9]{1,4},? (?:rue|avenue|boulevard|chemin) (?:de |du |des |la |l')*[A-ZÀ-Þ][a-zà-ÿ]+"
+    r"|\b(?:Calle|Avenida|Plaza) (?:de |del |la |los )*[A-ZÀ-Þ][a-zà-ÿ]+,? [0-9]{1,4}\b"
+)
+ANNOUNCED = re.compile(r"\b(?:[Nn]ame(?: is|:)?|[Nn]amed|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Herrn?|Frau|Monsieur|Madame|Señora?|[Ss]igned(?: by)?:?|[Pp]atient:?|[Cc]ustomer:?|[Nn]om:?|[Nn]ombre:?) ")
+NAME = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ'-]+(?: [A-Z]\.)?(?: [A-ZÀ-Þ][a-zà-ÿ'-]+){1,2}")
+#: What a text with a street or an announced name has; told before the patterns look at each place.
+STREETS = (" Street", " St", " Avenue", " Ave", " Road", " Rd", " Lane", " Ln", " Drive", " Boulevard", " Blvd", " Court", " Square", " Terrace", "straße ", "strasse ", "weg ", "platz ", "allee ", "gasse ", " rue ", " avenue ", " boulevard ", " chemin ", "Calle ", "Avenida ", "Plaza ")
+ANNOUNCING = ("ame ", "ame:", "amed ", "Mr", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Señor", "igned", "atient", "ustomer", "Nom", "nom ", "nom:", "Nombre", "nombre")
+DAY = re.compile(r"[0-9]{1,4}[./ -]")
+MONTHS = "January February March April May June July August September October November December Januar Februar März Juni Juli Oktober Dezember janvier février mars avril mai juin juillet août septembre octobre novembre décembre enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+DATE = re.compile(rf"(?<![\w.-])(?:[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{{2}}|(?:19|20)[0-9]{{2}}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9]\.? (?:de )?(?:{'|'.join(MONTHS)}) (?:de )?(?:19|20)[0-9]{{2}})(?![\w-])")
+BIRTH = ("born", "birth", "birthday", "dob", "geboren", "geburtsdatum", "geb", "née", "né", "naissance", "nacido", "nacida", "nacimiento")
+
+
 def checked_account(s: str) -> bool:
     """Whether an account number's check digits hold (remainder 1 by 97)."""
     s = s.replace(" ", "")
@@ -105,6 +124,11 @@ def candidates(text: str) -> list[Span]:
     if "@" in text or "at)" in text or "at]" in text or "at}" in text:
         out |= {(m.start(), 4, m.end()) for m in WRITTEN.finditer(text)}
     out |= {(m.start(), 6, m.end()) for rx in (ACCOUNT, PAPER) for m in rx.finditer(text)}
+    if any(w in text for w in STREETS):
+        out |= {(m.start(), 7, m.end()) for m in STREET.finditer(text)}
+    if any(w in text for w in ANNOUNCING):
+        out |= {(m.start(), 8, m.end()) for told in ANNOUNCED.finditer(text) if (m := NAME.match(text, told.end()))}
+    out |= {(m.start(), 9, m.end()) for day in DAY.finditer(text) if (m := DATE.match(text, day.start()))}
     for zone in NUMERIC.finditer(text):
         a, b = zone.span()
         if b - a >= 7:
@@ -122,8 +146,13 @@ HINTS = {
 }
 
 
-#: The feature that tells document numbers.
-DOCUMENT = 25
+#: Capitalised words that stand after a title or a number without being a name or a street; words before where someone lives.
+NOT_NAMES = frozenset("The This That Company Group Service Version Number January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday University Street Office Server System Project".split())
+NOT_STREETS = frozenset("Points Ways Rules Steps Chapters Great Next Best First Wall".split())
+LIVED = frozenset("live lives lived address at home resident wohnt adresse anschrift habite demeurant adresse vive dirección domicilio reside resides".split())
+
+#: The feature that tells document numbers; those of the later kinds.
+DOCUMENT, LATER = 25, {7: 27, 8: 28, 9: 29}
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -139,10 +168,15 @@ def features(text: str, span: Span) -> list[float]:
         float("@" in s), float("at" in s.lower()), float("dot" in s.lower() or "." in s), float(before.isalnum() or before in "-_./"), float(after.isalnum() or after in "-_/%"),
         float(d[:2] in ("19", "20") and len(groups) > 0 and len(groups[0]) == 4), float(groups == [x for x in groups if len(x) in (3, 4)] and len(groups) == 3), float([len(x) for x in groups] == [3, 2, 4]), float(bool(re.match(r"\W{0,3}[0-9]", right))),
         float(kind == 6), float(kind == 6 and len(s) >= 12 and checked_account(s)),
+        float(kind == 7), float(kind == 8), float(kind == 9), float(any(w in BIRTH for w in near)), float(kind == 9 and int(re.search("(?:19|20)[0-9]{2}", s)[0])), float(kind == 8 and any(w in NOT_NAMES for w in s.split())), float(kind == 7 and any(w in NOT_STREETS for w in s.split())),
+        float(any(w in LIVED for w in near)),
     ]
     return out + [float(any(w in words for w in near)) for words in HINTS.values()]
 
 
+TITLES = ("name is", "Name:", "named", "Mr", "Mr.", "Mrs", "Ms.", "Dr.", "Herr", "Frau", "Monsieur", "Madame", "Señor", "signed by", "Patient:", "customer")
+
+
 def written_examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Seeded sentences with one personal or harmless item each: features and labels of all candidates in them."""
     r = random.Random(seed)
@@ -150,8 +184,28 @@ def written_examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, n
     word = lambda: "".join(r.choices("aeinorstlu", k=r.randint(2, 8)))
     sep = lambda: r.choice("- .")
 
+    name = lambda: word().capitalize() + r.choice(["", "n", "r"])
+
+    def street() -> str:
+        return r.choice([
+            lambda: f"{r.randint(1, 9999)} {name()} {r.choice(['Street', 'St', 'Avenue', 'Road', 'Lane', 'Drive', 'Court'])}",
+            lambda: f"{name()}{r.choice(['straße', 'weg', 'platz', 'allee'])} {r.randint(1, 300)}",
+            lambda: f"{r.randint(1, 300)} {r.choice(['rue', 'avenue', 'boulevard'])} {r.choice(['', 'de ', 'du '])}{name()}",
+            lambda: f"{r.choice(['Calle', 'Avenida', 'Plaza'])} {r.choice(['', 'de '])}{name()} {r.randint(1, 300)}",
+        ])()
+
+    def date(first: int, last: int) -> str:
+        day, month, year = r.randint(1, 28), r.randint(1, 12), r.randint(first, last)
+        return r.choice([f"{day:02d}.{month:02d}.{year}", f"{year}-{month:02d}-{day:02d}", f"{day}/{month}/{year}", f"{day} {r.choice(MONTHS)} {year}"])
+
     def personal() -> tuple[str, str]:
-        kind = r.randrange(8)
+        kind = r.randrange(12)
+        if kind == 8:
+            return r.choice(sorted(LIVED)), street()
+        if kind in (9, 10):
+            return r.choice(TITLES), f"{name()} {name()}" if r.random() < 0.7 else f"{name()} {r.choice('ABCDEF')}. {name()}"
+        if kind == 11:
+            return r.choice(BIRTH), date(1920, 2012)
         if kind == 5:
             body, country = num(r.choice([16, 18, 20])), "".join(r.choices("ABDEFGILNPST", k=2))
             s = next(x for x in (f"{country}{k:02d}{body}" for k in range(2, 99)) if checked_account(x))
@@ -172,8 +226,14 @@ def written_examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, n
         return r.choice(HINTS["phone"]), f"0{num(2)} {num(3)} {num(4)}"
 
     def harmless() -> tuple[str, str]:
-        kind = r.randrange(9)
+        kind = r.randrange(13)
         other = r.choice(HINTS["other"])
+        if kind in (9, 10):
+            return r.choice([other, word(), "on", "since", "until"]), date(1950, 2030)
+        if kind == 11:
+            return r.choice(["Dr", "Mr.", "customer:", "signed", "named", "name", "name is"]), " ".join(r.sample(sorted(NOT_NAMES), r.choice([1, 2])) + [name()][: r.choice([0, 1, 1])])
+        if kind == 12:
+            return word(), f"{r.randint(1, 99)} {r.choice(sorted(NOT_STREETS))} {r.choice(['Street', 'Road', 'Drive', 'Court'])}"
         if kind == 7:
             return r.choice([other, word()]), "".join(r.choices("ABCDEFGHKMX", k=r.randint(1, 2))) + num(r.randint(6, 9))
         if kind == 8:
@@ -197,7 +257,9 @@ def written_examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, n
         good = r.random() < 0.5
         hint, item = personal() if good else harmless()
         lead = [word() for _ in range(r.randint(1, 6))]
-        if item.isalnum() and good or r.random() < (0.6 if good else 0.8):
+        if good and hint in TITLES:
+            lead.append(hint)  # a name is proposed by what announces it
+        elif item.isalnum() and good or good and hint in BIRTH or r.random() < (0.6 if good else 0.8):
             lead.append(hint + r.choice(["", ":", " is"]))  # a bare number is personal by its hint alone, so these always have theirs
         text = f"{' '.join(lead)} {item}{r.choice(['', ',', '.', '.'])} {' '.join(word() for _ in range(4))}"
         a = text.index(item)
@@ -214,7 +276,9 @@ def trained() -> tuple[BoostedTrees, dict[int, float]]:
     x, y = written_examples()
     model = BoostedTrees().fit(x, y)
     kind = np.where(x[:, 0] > 0, 4, np.where(x[:, DOCUMENT] > 0, 6, 5))
-    return model, {k: model.threshold(x, y, PRECISION, RATE, kind == k) for k in (4, 5, 6)}
+    for k, column in LATER.items():
+        kind[x[:, column] > 0] = k
+    return model, {k: model.threshold(x, y, PRECISION, RATE, kind == k) for k in (4, 5, 6, *LATER)}
 
 
 def added(text: str, base: list[Span], model: BoostedTrees, least: dict[int, float]) -> list[Span]:
