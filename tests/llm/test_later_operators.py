@@ -191,14 +191,18 @@ def test_bounds_spare_most_distances():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(2000, 64))
     x = np.floor(256 * v / np.linalg.norm(v, axis=1)[:, None]).astype(np.int64).reshape(2000, 16, 4)
-    books = o13.Codebooks(x[:64].swapaxes(0, 1).copy(), False)
-    entry, upper, lower, all_ = o13.assign(books, x, None)
+    books = o13.Codebooks(x[:64].swapaxes(0, 1).copy())
+    state, all_ = o13.assign(books, x, None)
+    entry = state[0]
     means = np.array([[x[entry[:, p] == k, p].sum(0) // (entry[:, p] == k).sum() for k in range(64)] for p in range(16)])
     moved = np.sqrt(((means - books.entries) ** 2).sum(-1).astype(float)) * (1 + 1e-9)
-    after = o13.Codebooks(means, False, moved)
-    again, *_, some = o13.assign(after, x, (entry, upper, lower))
-    assert (again == o13.assign(after, x, None)[0]).all()
-    assert some < 0.1 * all_
+    after = o13.Codebooks(means, "i8", moved)
+    again, some = o13.assign(after, x, state)
+    whole, _ = o13.assign(after, x, None)
+    assert (again[0] == whole[0]).all() and some < 0.1 * all_
+    exact = np.sqrt(((x[:, :, None, :] - means[None]) ** 2).sum(-1).astype(float))
+    for p in range(16):  # bounds are bounds
+        assert (o13.steps(again[2][:, p], again[3][:, p]) <= exact[:, p]).all() and (again[1][:, p] >= exact[np.arange(2000), p, again[0][:, p]]).all()
 
 
 def test_vectors_that_cannot_be_cut(spark):

@@ -3,8 +3,8 @@
 Every round is one pass over a written table that holds, of each vector, its whole-number components, each part's entry, an upper bound of
 the part's distance to that entry and a lower bound of its distance to every entry. An entry is passed over only if its lower bound, or half
 its distance to the part's entry, is strictly above the upper bound; whatever could tie is settled by exact squared distances in whole
-numbers, the lower index first. When entries have moved, lower bounds fall and upper bounds rise by the movement, in the next pass. Bounds
-are kept in 32 and 16 bits, rounded to the safe side, so rounding can only cost work. Sums by part and entry come from partial sums of each
+numbers, the lower index first. When entries have moved, lower bounds fall and upper bounds rise by the movement, in the next pass. Upper
+bounds are kept in 32 bits, lower ones in 8 bits of a part's own scale, rounded to the safe side, so rounding can only cost work. Sums by part and entry come from partial sums of each
 task; what the driver holds is the codebooks: ENTRIES vectors.
 
 Vectors null or holding null or non-finite components take no part. Rows count as often as they occur; the first codebooks are the ENTRIES
@@ -37,14 +37,16 @@ LIMB = 32
 #: Labels of at least so small a share of all rows meet their sums by broadcast, so at most so many are broadcast.
 FREQUENT = 50_000
 
-STATE = "vec_id long, label string, unlabelled boolean, x binary, entry binary, upper binary, lower binary"
+STATE = "vec_id long, label string, unlabelled boolean, x binary, entry binary, upper binary, lower binary, step binary"
 
 
 class Codebooks:
-    """entries: parts x entries x width, int64 where `wide` is False, else Python's integers; moved: how far each entry came since the pass before."""
+    """entries: parts x entries x width, int64 or, without a kind in which components are stored, Python's integers; moved: how far each
+    entry came since the pass before."""
 
-    def __init__(self, entries: np.ndarray, wide: bool, moved: np.ndarray | None = None):
-        self.entries, self.wide, self.moved = entries, wide, moved
+    def __init__(self, entries: np.ndarray, kind: str | None = "i8", moved: np.ndarray | None = None):
+        self.entries, self.kind, self.wide, self.moved = entries, kind, kind is None, moved
+        wide = self.wide
         self.parts, self.count, self.width = entries.shape
         with np.errstate(over="ignore"):
             e = np.clip(entries, -FAR, FAR).astype(np.float64) if wide else entries.astype(np.float64)  # clipping brings none further apart
@@ -71,28 +73,37 @@ def up32(x: np.ndarray) -> np.ndarray:
         return np.nextafter((x * (1 + 1e-9)).astype(np.float32), np.float32(np.inf))
 
 
-def down16(x: np.ndarray) -> np.ndarray:
-    """At most x, at least 0, within half floats."""
-    out = np.minimum(x, 65504.0).astype(np.float16)
-    return np.where(out > x * (1 - 1e-9), np.nextafter(out, np.float16(-1)), out).clip(0).astype(np.float16)
+def down8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds (rows x entries) as steps of 8 bits and each row's size of a step; what steps() makes of them is at most x."""
+    x = np.clip(x, 0.0, 1e30)
+    size = np.maximum((x.max(1) / 255).astype(np.float32), np.float32(1e-30))
+    return np.minimum(np.floor(x / size[:, None].astype(np.float64) * (1 - 1e-6)), 255).astype(np.uint8), size
 
 
-def assign(books: Codebooks, x: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Entry, upper and lower bounds of each vector's parts (x: rows x parts x width), and the number of distances computed."""
+def steps(count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return count * (size.astype(np.float64) * (1 - 1e-6))[:, None]
+
+
+State = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # entry, upper bound, lower bounds in steps, size of a step
+
+
+def assign(books: Codebooks, x: np.ndarray, state: State | None) -> tuple[State, int]:
+    """The state of each vector's parts (x: rows x parts x width), and the number of distances computed."""
     n, made = len(x), 0
-    entry, upper, lower = np.zeros((n, books.parts), np.uint8), np.zeros((n, books.parts), np.float32), np.zeros((n, books.parts, books.count), np.float16)
+    entry, upper, lower, size = np.zeros((n, books.parts), np.uint8), np.zeros((n, books.parts), np.float32), np.zeros((n, books.parts, books.count), np.uint8), np.zeros((n, books.parts), np.float32)
     rows = np.arange(n)
     for p in range(books.parts):
         if state is None:
             squared = np.stack([books.squared(p, x[:, p], np.full(n, k)) for k in range(books.count)], 1)
             made += squared.size
             best = squared.argmin(1) if not books.wide else np.array([min(range(books.count), key=row.__getitem__) for row in squared.tolist()], np.int64).reshape(n)
-            entry[:, p], upper[:, p], lower[:, p] = best, up32(root(squared[rows, best])), down16(root(squared))
+            entry[:, p], upper[:, p] = best, up32(root(squared[rows, best]))
+            lower[:, p], size[:, p] = down8(root(squared) * (1 - 1e-9))
             continue
         own = state[0][:, p].astype(np.int64)
         moved = books.moved[p]
         high = state[1][:, p].astype(np.float64) + moved[own]
-        low = np.maximum(state[2][:, p].astype(np.float64) - moved, 0.0)
+        low = np.maximum(steps(state[2][:, p], state[3][:, p]) - moved, 0.0)
         # Only parts that some other entry could reach, by both tests, are looked at; their upper bound is then made exact.
         half = books.apart[p][own] / 2
         open_ = ~((low > high[:, None]) | (half > high[:, None]))
@@ -116,26 +127,32 @@ def assign(books: Codebooks, x: np.ndarray, state: tuple[np.ndarray, np.ndarray,
                 least[at] = np.where(better, other, least[at])
             own[near] = best
             high[near] = root(least)
-        entry[:, p], upper[:, p], lower[:, p] = own, up32(high), down16(low)
-    return entry, upper, lower, made
+        entry[:, p], upper[:, p] = own, up32(high)
+        lower[:, p], size[:, p] = down8(low)
+    return (entry, upper, lower, size), made
 
 
-def pack(x: np.ndarray, wide: bool) -> list[bytes]:
-    """Rows of components as bytes; Python's integers as text."""
-    return [" ".join(map(str, r)).encode() for r in x.reshape(len(x), -1).tolist()] if wide else [r.tobytes() for r in x.reshape(len(x), -1).astype(np.int64)]
+def pack(x: np.ndarray, kind: str | None) -> pa.Array:
+    """Rows of components as bytes of a kind; without one, Python's integers as text."""
+    return pa.array([" ".join(map(str, r)).encode() for r in x.reshape(len(x), -1).tolist()], pa.binary()) if kind is None else binary(x.astype(kind))
 
 
-def unpack(column: pa.Array, wide: bool, width: int) -> np.ndarray:
-    n = len(column)
-    if wide:
-        flat = np.array([int(v) for r in column.to_pylist() for v in r.split()], object)
-    else:
-        flat = flat_bytes(column, np.int64)
-    return flat.reshape(n, PARTS, width)
+def unpack(column: pa.Array, kind: str | None, width: int) -> np.ndarray:
+    flat = np.array([int(v) for r in column.to_pylist() for v in r.split()], object) if kind is None else flat_bytes(column, kind).astype(np.int64)
+    return flat.reshape(len(column), PARTS, width)
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes, without a copy of its own."""
+    data = np.ascontiguousarray(rows)
+    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.nbytes // max(1, len(data)))
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
 
 
-def flat_bytes(column: pa.Array, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def flat_bytes(column: pa.Array, kind: str) -> np.ndarray:
+    """The bytes of all rows, one after another, as numbers of a kind."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +161,6 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, BATCH)
 
 
-def binary(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
-
-
 def whole_numbers(values: np.ndarray, wide: bool) -> np.ndarray:
     with np.errstate(over="ignore"):
         scaled = np.floor(SCALE * values.astype(np.float64))
@@ -157,29 +170,34 @@ def whole_numbers(values: np.ndarray, wide: bool) -> np.ndarray:
     return np.array([int(s) if np.isfinite(s) else int(v) * SCALE for s, v in zip(scaled.ravel().tolist(), values.ravel().tolist(), strict=True)], object).reshape(values.shape)
 
 
+NAMES = [c.split()[0] for c in STATE.split(", ")]
+
+
+def stored(x: pa.Array, state: State) -> list[pa.Array]:
+    return [x, *map(binary, state)]
+
+
 def first_pass(rows: DataFrame, books: Codebooks) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             flat = b.column(3).flatten().to_numpy(zero_copy_only=False)
             x = whole_numbers(flat, books.wide).reshape(b.num_rows, books.parts, books.width)
-            entry, upper, lower, _ = assign(books, x, None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(pack(x, books.wide), pa.binary()), binary(entry), binary(upper), binary(lower)], [c.split()[0] for c in STATE.split(", ")])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *stored(pack(x, books.kind), assign(books, x, None)[0])], NAMES)
 
     return rows.mapInArrow(run, STATE)
 
 
-def later_state(b: pa.RecordBatch, books: Codebooks) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def of_state(b: pa.RecordBatch, books: Codebooks) -> tuple[np.ndarray, State]:
     n = b.num_rows
-    state = flat_bytes(b.column(4), np.uint8).reshape(n, PARTS), flat_bytes(b.column(5), np.float32).reshape(n, PARTS), flat_bytes(b.column(6), np.float16).reshape(n, PARTS, books.count)
-    return unpack(b.column(3), books.wide, books.width), state
+    state = flat_bytes(b.column(4), "u1").reshape(n, PARTS), flat_bytes(b.column(5), "f4").reshape(n, PARTS), flat_bytes(b.column(6), "u1").reshape(n, PARTS, books.count), flat_bytes(b.column(7), "f4").reshape(n, PARTS)
+    return unpack(b.column(3), books.kind, books.width), state
 
 
 def later_pass(table: DataFrame, books: Codebooks) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x, state = later_state(b, books)
-            entry, upper, lower, _ = assign(books, x, state)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], binary(entry), binary(upper), binary(lower)], b.schema.names)
+            x, state = of_state(b, books)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *stored(b.column(3), assign(books, x, state)[0])], NAMES)
 
     return table.mapInArrow(run, STATE)
 
@@ -187,8 +205,8 @@ def later_pass(table: DataFrame, books: Codebooks) -> DataFrame:
 def last_pass(table: DataFrame, books: Codebooks) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x, state = later_state(b, books)
-            entry, _, _, _ = assign(books, x, state)
+            x, state = of_state(b, books)
+            entry = assign(books, x, state)[0][0]
             error = sum(books.squared(p, x[:, p], entry[:, p].astype(np.int64)) for p in range(books.parts))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r.tobytes().hex() for r in entry]), pa.array([min(LONG, int(e)) for e in error.tolist()], pa.int64())], ["vec_id", "label", "unlabelled", "code", "error"])
 
@@ -197,13 +215,13 @@ def last_pass(table: DataFrame, books: Codebooks) -> DataFrame:
 
 def partial_sums(table: DataFrame, books: Codebooks, limbs: int) -> DataFrame:
     """Of each task, part and entry: the number of parts and the sum of each component, in limbs."""
-    wide, width, parts, count = books.wide, books.width, books.parts, books.count
+    kind, width, parts, count = books.kind, books.width, books.parts, books.count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((parts, count), np.int64)
         total = np.zeros((parts, count, width), object if limbs > 1 else np.int64)
         for b in slices(batches):
-            x, entry = unpack(b.column(0), wide, width), flat_bytes(b.column(1), np.uint8).reshape(b.num_rows, PARTS)
+            x, entry = unpack(b.column(0), kind, width), flat_bytes(b.column(1), "u1").reshape(b.num_rows, PARTS)
             for p in range(parts):
                 n[p] += np.bincount(entry[:, p], minlength=count)
                 np.add.at(total[p], entry[:, p], x[:, p])
@@ -226,7 +244,7 @@ def moved_books(table: DataFrame, books: Codebooks, limbs: int) -> Codebooks:
     d = entries - books.entries
     with np.errstate(over="ignore"):
         moved = root((d * d).sum(-1)) * (1 + 1e-9)
-    return Codebooks(entries, books.wide, moved)
+    return Codebooks(entries, books.kind, moved)
 
 
 def vector_codes(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Codebooks | None]:
@@ -245,7 +263,7 @@ def vector_codes(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, C
     wide = 2 * (bits + 1) + length.bit_length() > 62
     limbs = 1 if bits + int(n).bit_length() < 62 else -(-(bits + 1) // LIMB) + 1
     seeds = [r.x for r in first if len(r.x) == length]
-    books = Codebooks(whole_numbers(np.array(seeds), wide).reshape(len(seeds), PARTS, width).swapaxes(0, 1).copy(), wide)
+    books = Codebooks(whole_numbers(np.array(seeds), wide).reshape(len(seeds), PARTS, width).swapaxes(0, 1).copy(), None if wide else "i4" if bits < 31 else "i8")
     state = written(first_pass(fit, books), "codes-state")
     for k in range(rounds):
         books = moved_books(state, books, limbs)
