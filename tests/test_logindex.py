@@ -54,6 +54,11 @@ def test_updates_give_the_index_of_the_whole(spark, tmp_path, monkeypatch, block
     for name, want in whole(spark, lines).items():
         assert rows(getattr(index, name)()) == rows(want), name
     assert index.table("lines").count() == len(lines)
+    if (block, steps) == (5, 3):
+        index.compact()
+        assert len(index.store.commits()) == 1
+        for name in ("census", "repeats", "incidents", "stage_hist", "code_hits"):
+            assert rows(getattr(index, name)()) == rows(whole(spark, lines)[name]), name
 
 
 def test_an_update_reads_no_earlier_line_and_failed_ones_leave_no_trace(spark, tmp_path):

@@ -12,6 +12,7 @@ from tracequarry.operators import answers, contract, logs, readlog, records, sam
 from tracequarry.operators.logindex import LogIndex
 from tracequarry.plans.eventlog import event_index
 from tracequarry.plans.registry import CLASSED, MENTION_SQL, ORACLES, QUERIES, STAGED, TRIAGE, index_query, query, table_query
+from tracequarry.sources.logs import classified
 
 #: Records of an event, by its id; {n} stands for the id, {w} for a long word.
 RECORDS = (
@@ -199,3 +200,43 @@ def tool_calls(ix):
     each = [contract.call(ix, *c) for c in CALLS] + [contract.call(other, "stage_timeline")]
     counts = [x.agg(F.count("*").alias("n"), F.max("error" if "error" in x.columns else F.lit(None)).cast("string").alias("error")).select(F.lit(k).alias("call"), "n", "error") for k, x in enumerate(each)]
     return reduce(DataFrame.unionAll, counts)
+
+
+#: Lines of an application's log, with the severity and code that each has.
+GENERIC_LINES = [
+    ("FATAL: [FATAL-9001] disk", "fatal", "FATAL-9001"),
+    ("E0520 12:00:01.123 lost", "error", "E0520"),
+    ("exception (ABC_D-7) raised by XYZ-12", "error", "ABC_D-7"),
+    ("svc XYZ-12 failed (ABC-1)", "error", "XYZ-12"),
+    ("[CRITICAL] out", "fatal", "(uncoded)"),
+    ("Traceback (most recent call last):", "fatal", "(uncoded)"),
+    ("<3>kernel oops", "error", "(uncoded)"),
+    ("W1234 slow", "warn", "W1234"),
+    ("warning XY-1 small", "warn", "(uncoded)"),
+    ("all fine XYZ-12", None, None),
+    ("an emergency: Warning", "fatal", "(uncoded)"),
+]
+
+
+def _text(value: str | None) -> str:
+    return "null" if value is None else f"'{value}'"
+
+
+@table_query("select event_id, severity, code from events join (values " + ", ".join(f"({k}, {_text(s)}, {_text(c)})" for k, (_, s, c) in enumerate(GENERIC_LINES)) + f") as t(k, severity, code) on k = event_id % {len(GENERIC_LINES)}")
+def generic_lines(spark, read):
+    line = F.element_at(F.array(*(F.lit(x) for x, *_ in GENERIC_LINES)), (F.col("event_id") % len(GENERIC_LINES) + 1).cast("int"))
+    return classified(read("events").select("event_id", line.alias("line")), GENERIC).select("event_id", "severity", "code")
+
+
+@table_query("""select file, token, count(*)::bigint as n, min(event_id) as first_line from (
+    select user_id % 4 as file, event_id, unnest(case event_id % 3 when 0 then ['CMD:scripts/run_' || user_id % 9 || '.tcl', 'scripts/run_' || user_id % 9 || '.tcl'] when 1 then ['lib/a.v', 'top.sdc'] else ['CMD:setup'] end) as token from events) group by all""")
+def command_mentions(spark, read):
+    """Paths and sourced scripts; a path that a line names twice counts once."""
+    n = F.col("event_id") % 3
+    line = F.when(n == 0, F.concat(F.lit("<CMD> source scripts/run_"), (F.col("user_id") % 9).cast("string"), F.lit(".tcl"))).when(n == 1, "lib/a.v:3 and lib/a.v need top.sdc, not top.sdcx").otherwise("<CMD>  source setup  # x.so")
+    return logs.mention_counts(read("events").select((F.col("user_id") % 4).alias("file"), F.col("event_id").alias("line_no"), line.alias("line")))
+
+
+@index_query("select file, stage, code, count(*)::bigint as n from owned where code <> '(uncoded)' group by all", f"{CLASSED}, {STAGED}")
+def stage_codes(ix):
+    return ix.stage_codes()
