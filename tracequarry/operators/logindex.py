@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions.profiles import STAGE, UNCODED, Profile, eda_seconds, generic_seconds
 from tracequarry.operators import logs
 from tracequarry.sources.logs import classified, text_lines
-from tracequarry.sources.store import Generations, written
+from tracequarry.sources.store import Generations, discard, written
 
 #: Lines of a file that one window holds.
 BLOCK = 65_536
@@ -143,6 +143,7 @@ class LogIndex:
         seconds = eda_seconds(F.col("line")) if self.profile.stages else generic_seconds(F.col("line"))
         rows = lines.join(base, "segment").select("file", (F.col("line_no") + F.col("base")).alias("line_no"), "line", seconds.alias("ts_s"))
         self.add(rows, self.spark.createDataFrame([(r.segment, r.length, r.changed) for r in new], SEGMENTS))
+        discard(lines)
         return len(new)
 
     def compact(self) -> None:

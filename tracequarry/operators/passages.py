@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions.profiles import bare_code, codes_like, template
 from tracequarry.operators.retrieval import K1, B, pdf_level, tokens
 from tracequarry.sources.numbering import numbered
-from tracequarry.sources.store import Generations
+from tracequarry.sources.store import Generations, discard
 
 #: Characters after which a chunk is cut, headings that a breadcrumb has, ends of lines, headings of text documents, what a chunk
 #: without heading is called; the score below which a passage isn't relevant, in corpora of so many chunks.
@@ -165,6 +165,7 @@ class PassageIndex:
         # A short key stands for the source, so no text but the chunks' own is sorted; equal keys are told apart by the source.
         rows = numbered(found.withColumn("len", length).withColumn("corpus", F.lit(0)), ["corpus"], ["source", "start_line", "page"], "id")
         self.store.write(rows.select(*(c.split()[0] for c in STORED.split(", "))), name, "chunks")
+        discard(rows)
         self.names = [name]
         c = self.chunks()
         self.store.write(c.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).coalesce(1), name, "stats")

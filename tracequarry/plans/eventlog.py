@@ -9,7 +9,7 @@ from tracequarry.functions.profiles import EDA
 from tracequarry.operators.logindex import LogIndex
 from tracequarry.sources.logs import event_lines
 from tracequarry.sources.numbering import numbered
-from tracequarry.sources.store import shared, workspace
+from tracequarry.sources.store import discard, shared, workspace
 
 _BUILT: dict[tuple, tuple] = {}
 
@@ -21,11 +21,6 @@ def table_state(spark: SparkSession, path: str) -> int:
     return files.agg(F.xxhash64(F.count("*"), F.sum(mark))).first()[0]
 
 
-def numbered_events(spark: SparkSession, sf_dir: str):
-    x = numbered(event_lines(spark.read.parquet(f"{sf_dir}/events.parquet")), ["file"], ["ts", "event_id"])
-    return x.withColumn("ts_s", F.unix_seconds(F.col("ts").cast("timestamp")))
-
-
 def built(spark: SparkSession, what: str, sf_dir: str, table: str, build):
     """What build() makes of a table, kept while the table, the application and the shared folder are the same and the index is there."""
     key = spark.sparkContext.applicationId, shared(spark), what, sf_dir
@@ -40,7 +35,9 @@ def built(spark: SparkSession, what: str, sf_dir: str, table: str, build):
 def event_index(spark: SparkSession, sf_dir: str) -> LogIndex:
     def build() -> LogIndex:
         index = LogIndex(spark, workspace(spark, "logindex"), EDA)
-        index.add(numbered_events(spark, sf_dir))
+        x = numbered(event_lines(spark.read.parquet(f"{sf_dir}/events.parquet")), ["file"], ["ts", "event_id"])
+        index.add(x.withColumn("ts_s", F.unix_seconds(F.col("ts").cast("timestamp"))))
+        discard(x)
         return index
 
     return built(spark, "logs", sf_dir, "events", build)

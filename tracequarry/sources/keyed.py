@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.functions.profiles import chunk_key
-from tracequarry.sources.store import Generations, exists, written
+from tracequarry.sources.store import Generations, discard, exists, written
 
 #: Parts that keys are dealt to by hash; a change rewrites the parts of its keys and no others.
 PARTS = 64
@@ -54,6 +54,7 @@ class KeyedTable:
         filled = {r.part for r in after.select("part").distinct().collect()}
         for empty in set(touched) - filled:  # a part that lost all its rows is an empty folder with the table's columns
             self.spark.createDataFrame([], self.schema).write.parquet(f"{self.path}/{folder}/part={empty}")
+        discard(new)
         rows = self.spark.createDataFrame([(number, p, f"{folder}/part={p}") for p in touched], "number int, part int, folder string")
         rows.coalesce(1).write.mode("append").json(f"{self.path}/commits")
 
@@ -155,6 +156,7 @@ class VectorCache:
             name = self.store.begin()
             self.store.write(compute(missed).select("key", F.col("vector").cast("array<float>").alias("vector")), name, "vectors")
             self.store.commit(name)
+        discard(missed)
         stored = self.store.read("vectors", VECTORS)
         return keyed.join(stored.dropDuplicates(["key"]) if len(self.store.commits()) > 1 else stored, "key", "left")
 

@@ -13,6 +13,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "line
 
     Rows are dealt by ranges of keys and order and written sorted, so a number is its place in its range and the rows of the ranges before;
     a group of any size is spread over many tasks. The ranges' counts, a row a range and key, are all that a window orders.
+    discard() deletes what was written, once the result has been read for the last time.
     """
     ranges = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     x = written(ranges.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ranges")
@@ -21,4 +22,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "line
     before = Window.partitionBy(*groups).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(keys, groups, strict=True)]
-    return x.join(counts, [*same, F.col("_range") == F.col("_at")]).select(*df.columns, (F.col("_place") - F.col("_first") + F.col("_base")).alias(name))
+    out = x.join(counts, [*same, F.col("_range") == F.col("_at")]).select(*df.columns, (F.col("_place") - F.col("_first") + F.col("_base")).alias(name))
+    out.scratch_path = x.scratch_path
+    return out

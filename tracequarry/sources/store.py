@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def shared(spark: SparkSession) -> str:
     if where is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        own = tempfile.mkdtemp(prefix="tracequarry")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
@@ -28,7 +32,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and a lost executor loses nothing."""
     path = workspace(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of written() whose last reader is done."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 COMMIT = "number int, name string, instead boolean"
