@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracequarry import config
-from tracequarry.functions.profiles import EDA
 from tracequarry.operators import answers, retrieval
 from tracequarry.sources import documents
 

@@ -314,11 +314,6 @@ def offsets(lines: DataFrame) -> DataFrame:
     return x.join(base, ["file", "block"]).select("file", "line_no", "line", (F.sum("own").over(within()) - F.col("own") + F.col("base")).alias("start"))
 
 
-def head_bytes(lines: DataFrame, most: int) -> DataFrame:
-    """The lines that begin in a file's first `most` bytes; a line has a byte at least, so its first `most` lines hold them."""
-    return offsets(lines.where(F.col("line_no") < most)).where(F.col("start") < most)
-
-
 def profile_hits(lines: DataFrame, active: Profile, most: int = 8192) -> DataFrame:
     """file, active, detected, and for both profiles how often each severity's vocabulary occurs in the first `most` bytes of each log.
 

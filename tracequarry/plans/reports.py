@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.profiles import GENERIC
 from tracequarry.operators import answers, logs, retrieval
-from tracequarry.plans.registry import BM25, CLASSED, SEVERE, STAGED, TRIAGE, _bm25, _top, query, table_query
+from tracequarry.plans.registry import BM25, CLASSED, SEVERE, STAGED, TRIAGE, _bm25, query, table_query
 from tracequarry.sources.logs import classified
 
 OFFSETS = "o as (select file, line_no, line, (sum(strlen(line) + 1) over (partition by file order by line_no) - strlen(line) - 1)::bigint as start from log)"
