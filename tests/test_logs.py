@@ -142,7 +142,7 @@ def test_results_do_not_depend_on_blocks(spark, monkeypatch):
 
     def every():
         found = logs.incidents(c)
-        return [rows(x) for x in (logs.repeats(c), logs.repeat_of_line(c), found, logs.incident_around(found, c), logs.interpolated(c), logs.offsets(c), logs.stage_of_severe(c, ranges), logs.time_samples(c, 9))]
+        return [rows(x) for x in (logs.repeats(c), logs.repeat_of_line(c), found, logs.incident_around(found, c), logs.interpolated(c), logs.offsets(c), logs.stage_of_severe(c, ranges))]
 
     whole = every()
     monkeypatch.setattr(logs, "BLOCK", 11)
@@ -173,15 +173,17 @@ def test_stage_errors_by_closing_order(spark):
 
 
 def test_time_samples_like_the_greedy_rule(spark):
-    text = random_log(3, 900)
-    c = classified(lines(spark, text), EDA).withColumn("ts_s", F.col("line_no"))
-    severe = {r["line_no"] for r in c.where("severity in ('fatal', 'error')").collect()}
-    want, last = [], None
-    for i in range(len(text)):
-        if last is None or i in severe or i - last >= 20:
-            want.append(i)
-            last = i
-    assert [r["line_no"] for r in logs.time_samples(c, 20).orderBy("line_no").collect()] == want
+    from tracequarry.operators import sampling
+
+    c = classified(lines(spark, random_log(8)), EDA).withColumn("ts_s", F.col("line_no") * 2)
+    want, last = [], -20
+    for r in c.orderBy("line_no").collect():
+        if r["severity"] is not None or r["line_no"] - last >= 20:
+            want.append(r["line_no"])
+            last = r["line_no"]
+    if want[-1] != 399:
+        want.append(399)
+    assert [r["line_no"] for r in sampling.time_samples(c, 20).orderBy("line_no").collect()] == want
 
 
 def test_triage_of_quiet_and_loud_logs(spark):
