@@ -245,3 +245,12 @@ def test_trees_are_built_once_a_shard(spark, monkeypatch):
     for q in range(0, 700, 50):
         best = sorted((-max(int(a @ b) for a in whole[q] for b in v), i) for i, v in whole.items() if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_the_query_takes_texts_without_ids(spark, tmp_path):
+    """An empty text has no last piece: under ANSI rules element_at failed the whole query there."""
+    spark.createDataFrame([(1, ""), (2, None), (3, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in o11.op11_sentencepiece(spark, str(tmp_path)).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert [tuple(rows[i])[1:] for i in (1, 2)] == [(0, nothing, nothing, 0)] * 2
+    assert rows[3].n_tokens == len(S.SentencePieceProcessor(model_file=MODEL).encode("a b")) and rows[3].n_bytes == 3
