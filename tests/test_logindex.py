@@ -110,3 +110,34 @@ def test_segments_are_read_once(spark, tmp_path):
     (folder / "0003.txt").write_text("other")
     with pytest.raises(ValueError, match="changed"):
         index.update(str(tmp_path / "logs"))
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_stages_over_blocks_without_broadcasts(spark, tmp_path, monkeypatch, block):
+    """Banners and severe lines grow with a log: what is open is found by blocks, and no side of that join goes through the driver."""
+    monkeypatch.setattr(logindex, "BLOCK", block)
+    monkeypatch.setattr(logs, "BLOCK", block)
+    lines = random_logs(block, 700)
+    index = LogIndex(spark, str(tmp_path / "ix"), EDA)
+    index.add(spark.createDataFrame(lines, SCHEMA))
+    open_, hist, codes = {}, {}, {}
+    for file, i, line, _ in lines:
+        stack = open_.setdefault(file, [])
+        if line.startswith("---"):
+            kind, name = line.split()[1], line.split('"')[1]
+            if kind == "Starting":
+                stack.append(name)
+            elif name in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(name)]
+        code = next((c for c in ("AB-1", "CD-2", "AB-3") if f"({c})" in line), "(uncoded)" if line.startswith("ERROR") else None)
+        if code:
+            stage = stack[-1] if stack else "<pre-stage>"
+            h = hist.setdefault((file, stage), [0, 0, 0, set()])
+            h[{"CD-2": 0, "AB-3": 2}.get(code, 1)] += 1
+            h[3].add(code)
+            codes[file, stage, code] = codes.get((file, stage, code), 0) + 1
+    assert {(r.file, r.stage, r.code): r.n for r in index.stage_codes().collect()} == {k: n for k, n in codes.items() if k[2] != "(uncoded)"}
+    got = {(r.file, r.stage): (r.n_fatal, r.n_error, r.n_warn, r.n_codes) for r in index.stage_hist().collect()}
+    assert got == {k: (*h[:3], len(h[3])) for k, h in hist.items()}
+    met = logs.owners(index.table("lines").select("file", "line_no"), index.table("banners").select("file", "name", F.col("line_no").alias("start_line"), (F.col("line_no") + 3 * block).alias("end_line")), F.col("start_line"), -F.col("start_line"))
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
