@@ -143,3 +143,44 @@ def test_messages(spark):
     lines = ["ERR: (AB-12): Met1 in /a/b+c failed 3", "  **note x2y 12.5 \"q\" it's", "(  AB_C-9 ) : 0xFFg 0x1f v1.2.3", "Error text 'x' - end.", f"WARN '{'w' * 81}' kept"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "l string").select(template(F.col("l"))).collect()]
     assert got == ["Met1 in failed", "x2y it's", "0xFFg v1", "text - end", f"'{'w' * 81}' kept"]
+
+
+def test_postings_are_made_when_a_search_asks_for_them(spark, tmp_path):
+    """Reports on chunks took the time of an index of all words; a search's few words are no reason to deal all blocks by token."""
+    import os
+
+    rows = [(f"d{i:03}", passages.NO_HEADING, f"common w{i % 7} only{i}", 1, None) for i in range(150)]
+    index = passages.PassageIndex(spark, str(tmp_path / "ix")).build(spark.createDataFrame(rows, passages.CHUNKS))
+    assert index.chunks().count() == 150 and not os.path.exists(tmp_path / "ix" / "postings")
+    asked = spark.createDataFrame([(1, "only77"), (2, "common w3")], "qid long, text string")
+    found = index.search(asked, 3).collect()
+    assert sorted((r.qid, r.id) for r in found) == [(1, 77), (2, 3), (2, 10), (2, 17)]
+    words = index.words(asked)
+    ranges = spark.createDataFrame([(1, 1)], "qid long, range long")
+    plan = index.scores(words, ranges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    top = passages.blocks_of(spark.createDataFrame([(i, 3, ["a", "a", f"b{i % 2}"]) for i in range(100)], "id long, len long, tokens array<string>"), 3.0, 4)
+    got = {(r.token, r.range): (len(r.ids), set(r.tfs), len(r.top)) for r in top.collect()}
+    assert got == {("a", 0): (64, {2}, 4), ("a", 1): (36, {2}, 0), ("b0", 0): (32, {1}, 4), ("b0", 1): (18, {1}, 0), ("b1", 0): (32, {1}, 4), ("b1", 1): (18, {1}, 0)}
+
+
+@pytest.mark.parametrize("k", [None, 2])
+def test_cosines_a_few_queries_at_a_time(spark, monkeypatch, k):
+    """A worker held the cosines of all queries with a batch, 0.5 GB and its copies for 16,384 queries."""
+    from tracequarry.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    vectors = [(i, None if i == 4 else [float(i % 5), 1.0, float(i % 3)][: 2 if i == 7 else 3]) for i in range(20)]
+    v = spark.createDataFrame(vectors, "id long, embedding array<double>").coalesce(1)
+    got = {(r.qid, r.id): r.cos for r in retrieval.similar(v, v.withColumnRenamed("id", "qid"), k).collect()}
+    want = {}
+    for q, a in vectors:
+        for i, b in vectors:
+            sound = a is not None and b is not None and len(a) == len(b)
+            want[q, i] = sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 if sound else 0.0
+    if k is None:
+        assert got.keys() == want.keys()
+    for q, _ in vectors:
+        kth = sorted((want[q, i] for i, _ in vectors), reverse=True)[(k or 20) - 1]
+        assert {i for i, _ in vectors if want[q, i] > kth - 1e-6} <= {i for x, i in got if x == q}
+    assert all(abs(c - want[key]) < 1e-9 for key, c in got.items())
